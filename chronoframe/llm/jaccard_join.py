@@ -10,9 +10,10 @@ Two texts link when the Jaccard similarity of their sets of k-word shingles reac
    frequent tokens of a hash group cover all but one of them. Rare tokens are indexed singly, frequent ones as pairs within
    their group: two linked sets then share a single token or a pair (else they would share too few prefix tokens).
 4. Within an index entry each class is first verified against one leader. What is linked by then is joined to
-   components, and only pairs of an entry that lie in different components are verified after that, so a group of
-   thousands of near copies costs a star rather than all its pairs, while every link that could join two components is
-   tested.
+   components, and only pairs of an entry that lie in different components are verified after that: entries of a few
+   members as pairs, larger ones by pairs of bounded blocks, whose overlaps are matrix products in one task and of which only
+   links that join components come out. A group of thousands of near copies so never becomes rows of pairs, while every link
+   that could join two components is tested.
 
 Rows with a null or wordless text have an empty set, and no links. Rows with a null id have no links either, and no component.
 Repeated ids keep all their rows; sets, not ids, are what links.
@@ -37,7 +38,11 @@ from ._shared import cut
 COUNTER_BITS = 20
 BLOCK = 4096
 _SCAN = "doc_id long, n long, k1 long, k2 long, block int, counts binary"
-_CACHE = 256
+_LINK = "a long, b long"
+_CACHE = 1024
+#: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
+PAIR_ROWS = 16
+BLOCK_ROWS = 256
 
 
 def _sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -164,28 +169,98 @@ def _sign(k: int, percent: int, shared, bar: int):
     return run
 
 
-def _verify(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[tuple[int, int], np.ndarray | None] = {}
+class _Sets:
+    """The sets of the classes that a task met last, found again from their texts."""
+
+    def __init__(self, k: int):
+        self.k, self.kept = k, {}
+
+    def __call__(self, key: tuple[int, int], text: str) -> np.ndarray | None:
+        if key not in self.kept:
+            if len(self.kept) >= _CACHE:
+                del self.kept[next(iter(self.kept))]
+            s = next(_sets([text], self.k))
+            self.kept[key] = s if _digest(s) == key else None  # else another row's text under a repeated id
+        return self.kept[key]
 
-        def at(key: tuple[int, int], text: str) -> np.ndarray | None:
-            if key not in cache:
-                if len(cache) >= _CACHE:
-                    del cache[next(iter(cache))]
-                s = next(_sets([text], k))
-                cache[key] = s if _digest(s) == key else None  # else another row's text under a repeated id
-            return cache[key]
 
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _verify(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = _Sets(k)
         for batch in batches:
-            kept: list[tuple[int, int, bool]] = []
+            found = []
             for part in _bytes_of(batch.column("ta")):
                 cols = [batch.column(c)[part].to_pylist() for c in ("a", "a2", "ta", "b", "b2", "tb")]
                 for a, a2, ta, b, b2, tb in zip(*cols, strict=True):
                     if (x := at((a, a2), ta)) is None or (y := at((b, b2), tb)) is None:
                         continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    kept.append((a, b, 100 * both >= percent * (len(x) + len(y) - both)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        found.append((a, b))
+            yield _links(found)
+
+    return run
+
+
+def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of all intersections, by products of 0/1 matrices over the tokens that at least two sets hold."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    row, token = row[times[token] > 1], rank[token[times[token] > 1]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        a, b = np.searchsorted(token, (low, low + width))
+        held = np.zeros((len(sets), width), np.float32)
+        held[row[a:b], token[a:b] - low] = 1
+        out += held @ held.T
+    return out
+
+
+def _join_unit(unit: list[tuple], at: _Sets, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as few as join all that the unit's links join."""
+    members = [(k1, c, s) for k1, k2, c, text in unit if (s := at((k1, k2), text)) is not None]
+    if len({c for _, c, _ in members}) < 2:
+        return []
+    both = _overlaps([s for *_, s in members])
+    size = np.array([len(s) for *_, s in members], np.float64)
+    near = np.argwhere(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    found = []
+    for i, j in near:
+        a, b = top(members[i][1]), top(members[j][1])
+        if a != b:
+            root[a] = b
+            found.append((members[i][0], members[j][0]))
+    return found
+
+
+def _verify_blocks(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, unit = _Sets(k), None, []
+        for batch in batches:
+            found = []
+            for part in _bytes_of(batch.column("text")):
+                cols = [batch.column(c)[part].to_pylist() for c in ("sig", "i", "j", "k1", "k2", "c", "text")]
+                for sig, i, j, *member in zip(*cols, strict=True):
+                    if (sig, i, j) != now:
+                        found += _join_unit(unit, at, percent)
+                        now, unit = (sig, i, j), []
+                    unit.append(tuple(member))
+            yield _links(found)
+        yield _links(_join_unit(unit, at, percent))
 
     return run
 
@@ -194,7 +269,7 @@ class JaccardJoin:
     """The join over ``docs`` (doc_id, text; other columns are not read).
 
     ``rows``: doc_id, n, k1, k2 per input row, where (k1, k2) names its set. ``links``: pairs of classes (a, b as k1) that are
-    linked and were needed to find the components. ``result()``: doc_id, n_shingles, component_id per input row.
+    linked, enough of them to join what links join. ``result()``: doc_id, n_shingles, component_id per input row.
     """
 
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80):
@@ -211,45 +286,47 @@ class JaccardJoin:
         entries = signed.groupBy("sig").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).where("leader != other")
         self.index = cut(signed.join(entries.select("sig", "leader"), "sig"), "index")
         self.classes = self.rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-        self.tested = self.links = self.found = None
+        indexed = self.index.select("k1").distinct().join(self.classes, "k1").join(self.docs.withColumnRenamed("doc_id", "rep"), "rep")
+        self.texts = cut(indexed.select("k1", "k2", "n", "text"), "texts")
         self._solve()
 
-    def _test(self, pairs: DataFrame) -> None:
-        """Verify ``pairs`` (a < b), which were not verified before."""
-        pairs = pairs.select("a", "b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        size = self.classes.select("k1", "k2", "n", "rep")
-        ends = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct().join(size, "k1")
-        texts = ends.join(self.docs.withColumnRenamed("doc_id", "rep"), "rep").select("k1", "k2", "n", "text")
-        texts = cut(texts, "texts")
+    def _test(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a < b)."""
+        pairs = cut(pairs.select("a", "b").distinct(), "pairs")
         near = pairs
         for side in ("a", "b"):
-            near = near.join(texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("n").alias(f"n{side}"), F.col("text").alias(f"t{side}")), side)
-            if side == "a":
-                near = near.select("a", "b", "a2", "na", "ta")
+            near = near.join(self.texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("n").alias(f"n{side}"), F.col("text").alias(f"t{side}")), side)
         near = near.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        done = cut(near.select("a", "a2", "ta", "b", "b2", "tb").mapInArrow(_verify(self.k, self.percent), "a long, b long, linked boolean"), "tested")
-        self.tested = done if self.tested is None else self.tested.union(done)
-        self.links = self.tested.where("linked").select("a", "b")
-        self.found = cut(components(self.links, "a", "b"), "components")
+        return near.select("a", "a2", "ta", "b", "b2", "tb").mapInArrow(_verify(self.k, self.percent), _LINK)
+
+    def _test_blocks(self, entries: DataFrame) -> DataFrame:
+        """Links that join the components ``c`` within large ``entries`` (sig, k1, c, m), m members each.
 
-    def _open(self) -> DataFrame:
-        """The index entries that hold classes of different components: sig, k1, c."""
-        labelled = self.index.select("sig", "k1").join(self.found.withColumnRenamed("node", "k1"), "k1", "left").select("sig", "k1", F.coalesce("component", "k1").alias("c"))
-        labelled = cut(labelled, "labelled")
-        ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-        return labelled.join(ends.select("sig"), "sig")
+        Members are dealt into blocks of about BLOCK_ROWS, and each pair of blocks is one bounded unit of work; of a unit
+        only links that join components come out, no pairs.
+        """
+        blocks = F.ceil(F.col("m") / BLOCK_ROWS)
+        dealt = entries.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("k1"), "blocks"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "k1", "c")
+        units = dealt.join(self.texts.select("k1", "k2", "text"), "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        return units.mapInArrow(_verify_blocks(self.k, self.percent), _LINK)
 
     def _solve(self) -> None:
         def pair(x: str, y: str) -> list:
             return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-        self._test(self.index.where("k1 != leader").select(*pair("k1", "leader")))
-        left = cut(self._open(), "open")
-        other = left.select("sig", F.col("k1").alias("l1"), F.col("c").alias("lc"))
-        self._test(left.join(other, "sig").where("c < lc").select(*pair("k1", "l1")))
+        links = cut(self._test(self.index.where("k1 != leader").select(*pair("k1", "leader"))), "links")
+        found = components(links, "a", "b")
+        labelled = self.index.select("sig", "k1").join(found.withColumnRenamed("node", "k1"), "k1", "left")
+        labelled = cut(labelled.select("sig", "k1", F.coalesce("component", "k1").alias("c")), "labelled")
+        ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low != high")
+        still = cut(labelled.join(ends.select("sig", "m"), "sig"), "open")
+        few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
+        other = few.select("sig", F.col("k1").alias("l1"), F.col("c").alias("lc"))
+        more = self._test(few.join(other, "sig").where("c < lc").select(*pair("k1", "l1")))
+        self.links = cut(links.union(more).union(self._test_blocks(many)), "links")
+        self.found = cut(components(self.links, "a", "b"), "components")
 
     def result(self) -> DataFrame:
         member = self.found.withColumnRenamed("node", "k1")
