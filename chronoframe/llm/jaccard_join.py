@@ -41,7 +41,7 @@ _SCAN = "doc_id long, n long, k1 long, k2 long, block int, counts binary"
 _LINK = "a long, b long"
 _CACHE = 1024
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
-PAIR_ROWS = 16
+PAIR_ROWS = 128
 BLOCK_ROWS = 256
 
 
@@ -320,7 +320,9 @@ class JaccardJoin:
         found = components(links, "a", "b")
         labelled = self.index.select("sig", "k1").join(found.withColumnRenamed("node", "k1"), "k1", "left")
         labelled = cut(labelled.select("sig", "k1", F.coalesce("component", "k1").alias("c")), "labelled")
-        ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low != high")
+        seal = [F.bit_xor(F.xxhash64("k1", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+        ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), *seal).where("low != high")
+        ends = ends.groupBy("m", "low", "high", "x1", "x2").agg(F.min("sig").alias("sig"))  # of entries with the same members one is enough
         still = cut(labelled.join(ends.select("sig", "m"), "sig"), "open")
         few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
         other = few.select("sig", F.col("k1").alias("l1"), F.col("c").alias("lc"))
