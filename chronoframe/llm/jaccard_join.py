@@ -13,7 +13,8 @@ Two texts link when the Jaccard similarity of their sets of k-word shingles reac
    components, and only pairs of an entry that lie in different components are verified after that: entries of a few
    members as pairs, larger ones by pairs of bounded blocks, whose overlaps are matrix products in one task and of which only
    links that join components come out. A group of thousands of near copies so never becomes rows of pairs, while every link
-   that could join two components is tested.
+   that could join two components is tested. Pairs whose sizes or 2048-bit parities prove them apart are dropped before
+   their texts are fetched.
 
 Rows with a null or wordless text have an empty set, and no links. Rows with a null id have no links either, and no component.
 Repeated ids keep all their rows; sets, not ids, are what links.
@@ -37,7 +38,8 @@ from ._shared import cut
 
 COUNTER_BITS = 20
 BLOCK = 4096
-_SCAN = "doc_id long, n long, k1 long, k2 long, block int, counts binary"
+_SCAN = "doc_id long, n long, k1 long, k2 long, parity binary, block int, counts binary"
+PARITY_BITS = 2048
 _LINK = "a long, b long"
 _CACHE = 1024
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
@@ -54,6 +56,12 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of the set's tokens hash to i. Two sets differ by at least as many tokens as these bits do."""
+    at = (_words.mix(s) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+
+
 def _bytes_of(column: pa.Array, most: int = 1 << 22) -> Iterator[slice]:
     """Slices of a batch with few bytes each."""
     at = size = 0
@@ -73,7 +81,7 @@ def _scan(k: int):
         import pyarrow.compute  # noqa: F401
 
         counters = np.zeros(1 << COUNTER_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for part in _bytes_of(batch.column("text")):
                 ids, texts = batch.column("doc_id")[part], batch.column("text")[part].to_pylist()
@@ -82,10 +90,10 @@ def _scan(k: int):
                 if sets and (together := np.concatenate(sets)).size:
                     counters += np.bincount((together >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
                 none = len(sets)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array([_parity(s) for s in sets], pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
         blocks = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counters.reshape(-1, BLOCK)) if c.any()]
         none = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64())] * 4 + [pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64())] * 4 + [pa.nulls(none, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], schema=schema)
 
     return run
 
@@ -188,6 +196,22 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _may_link(percent: int):
+    """Drop pairs that sizes or parities prove not to be linked; no linked pair is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for c in ("pa", "pb"))
+            apart = np.bitwise_count(pa_ ^ pb).sum(axis=1, dtype=np.int64)
+            # a link: (100 + p) * both >= p * (na + nb); they differ by na + nb - 2 * both
+            most = (100 - percent) * (na + nb) // (100 + percent)
+            keep = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (apart <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _Sets(k)
@@ -278,6 +302,7 @@ class JaccardJoin:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         scanned = cut(self.docs.mapInArrow(_scan(k), _SCAN), "sets")
         self.rows = scanned.where("block is null").select("doc_id", "n", "k1", "k2")
+        parity = scanned.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("p")).drop("k2")
         counters = _counters(scanned)
         mean = counters.sum() / len(counters)
         bar = math.ceil(mean + 8 * math.sqrt(mean) + 32)
@@ -286,17 +311,19 @@ class JaccardJoin:
         entries = signed.groupBy("sig").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).where("leader != other")
         self.index = cut(signed.join(entries.select("sig", "leader"), "sig"), "index")
         self.classes = self.rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+        self.parity = cut(self.index.select("k1").distinct().join(parity, "k1"), "parities")
         indexed = self.index.select("k1").distinct().join(self.classes, "k1").join(self.docs.withColumnRenamed("doc_id", "rep"), "rep")
-        self.texts = cut(indexed.select("k1", "k2", "n", "text"), "texts")
+        self.texts = cut(indexed.select("k1", "k2", "text"), "texts")
         self._solve()
 
     def _test(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a < b)."""
-        pairs = cut(pairs.select("a", "b").distinct(), "pairs")
-        near = pairs
+        pairs = pairs.select("a", "b").distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(self.parity.select(F.col("k1").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")), side)
+        near = pairs = cut(pairs.mapInArrow(_may_link(self.percent), _LINK), "pairs")
         for side in ("a", "b"):
-            near = near.join(self.texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("n").alias(f"n{side}"), F.col("text").alias(f"t{side}")), side)
-        near = near.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
+            near = near.join(self.texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("text").alias(f"t{side}")), side)
         return near.select("a", "a2", "ta", "b", "b2", "tb").mapInArrow(_verify(self.k, self.percent), _LINK)
 
     def _test_blocks(self, entries: DataFrame) -> DataFrame:
