@@ -1,8 +1,8 @@
 """Vectorised word splitting and 64-bit word hashes over UTF-8 bytes.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A word's hash is a polynomial over a table of random
+Words are maximal runs of bytes outside a set of separators, by default 0x20 and 0x09-0x0D. A word's hash is a polynomial over a table of random
 64-bit values, found for all words of a segment at once from one wrapping cumulative sum:
-``(S[end] - S[start]) * B ** -start`` with odd ``B``. Segments are cut at white space, so memory follows the segment
+``(S[end] - S[start]) * B ** -start`` with odd ``B``. Segments are cut at separators, so memory follows the segment
 (or the longest word), not the text.
 """
 
@@ -15,8 +15,11 @@ import numpy as np
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(9, 14)]] = True
+#: Which bytes separate words: white space; everything but digits, letters and non-ASCII bytes; line feeds.
+SPACE, MARKS, LINES = np.zeros(256, bool), np.ones(256, bool), np.zeros(256, bool)
+SPACE[[0x20, *range(9, 14)]] = True
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+LINES[0x0A] = True
 _powers: list[np.ndarray] = []
 
 
@@ -41,61 +44,61 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def spans(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(buf: bytes, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes, and the start and end of each word."""
     a = np.frombuffer(buf, np.uint8)
     inside = np.empty(len(a) + 2, np.int8)
     inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[a]
+    inside[1:-1] = ~gap[a]
     edge = np.flatnonzero(np.diff(inside))
     return a, edge[::2], edge[1::2]
 
 
-def _hash_segment(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a, start, end = spans(buf)
+def _hash_segment(buf: bytes, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, start, end = spans(buf, gap)
     power, inverse = _power_tables(len(a))
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_TABLE[a] * power[: len(a)], out=total[1:])
     return start, mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def _segments(buf: bytes) -> Iterator[bytes]:
+def _segments(buf: bytes, gap: np.ndarray) -> Iterator[bytes]:
     at = 0
     while len(buf) - at > SEGMENT:
         window = np.frombuffer(buf, np.uint8, SEGMENT, at)
-        gaps = np.flatnonzero(_SPACE[window])
+        gaps = np.flatnonzero(gap[window])
         if len(gaps):
             stop = at + int(gaps[-1]) + 1
         else:  # one word fills the segment: go on to its end
-            rest = np.flatnonzero(_SPACE[np.frombuffer(buf, np.uint8, -1, at)])
+            rest = np.flatnonzero(gap[np.frombuffer(buf, np.uint8, -1, at)])
             stop = at + int(rest[0]) + 1 if len(rest) else len(buf)
         yield buf[at:stop]
         at = stop
     yield buf[at:]
 
 
-def hashes(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+def hashes(texts: Iterable[bytes], gap: np.ndarray = SPACE) -> Iterator[np.ndarray]:
     """For each text the uint64 hashes of its words, in order; short texts are hashed together."""
     group: list[bytes] = []
     size = 0
     for t in texts:
         if len(t) > SEGMENT // 2:
-            yield from _flush(group)
+            yield from _flush(group, gap)
             group, size = [], 0
-            yield np.concatenate([_hash_segment(s)[1] for s in _segments(t)])
+            yield np.concatenate([_hash_segment(s, gap)[1] for s in _segments(t, gap)])
             continue
         if size + len(t) + 1 > SEGMENT:
-            yield from _flush(group)
+            yield from _flush(group, gap)
             group, size = [], 0
         group.append(t)
         size += len(t) + 1
-    yield from _flush(group)
+    yield from _flush(group, gap)
 
 
-def _flush(group: list[bytes]) -> Iterator[np.ndarray]:
+def _flush(group: list[bytes], gap: np.ndarray) -> Iterator[np.ndarray]:
     if not group:
         return
-    start, h = _hash_segment(b" ".join(group))
+    start, h = _hash_segment(bytes([int(np.argmax(gap))]).join(group), gap)
     ends = np.cumsum([len(t) + 1 for t in group])
     yield from np.split(h, np.searchsorted(start, ends[:-1]))
 

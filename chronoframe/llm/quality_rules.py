@@ -114,13 +114,13 @@ def ablation(ledger_rows: DataFrame, policy: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, unnest(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '')) AS w,
-        unnest(range(1, 1 + len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '')))) AS i FROM d),
+w AS (SELECT rid, unnest(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w,
+        unnest(range(1, 1 + len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')))) AS i FROM d),
 g AS (SELECT rid, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT rid, i FROM g WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, w, w2, w3) > 1),
 c AS (SELECT rid, count(DISTINCT i + o) AS n FROM r, (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid),
 n AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY rid),
-l AS (SELECT rid, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 m AS (SELECT d.rid, doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
