@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._components import components
-from ._shared import cut
+from ._shared import cut, discard
 
 COUNTER_BITS = 20
 BLOCK = 4096
 _SCAN = "doc_id long, n long, k1 long, k2 long, parity binary, block int, counts binary"
 PARITY_BITS = 2048
+ID_BITS = 23
 _LINK = "a long, b long"
 _CACHE = 1024
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
@@ -196,6 +197,26 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _id_at(ids: pa.Array) -> np.ndarray:
+    return (_words.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def _id_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(1 << ID_BITS, bool)
+    for batch in batches:
+        held[_id_at(batch.column("rep"))] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
+
+
+def _with_bits(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(held[_id_at(batch.column("doc_id"))])).rename_columns(["rep", "text"])
+
+    return run
+
+
 def _may_link(percent: int):
     """Drop pairs that sizes or parities prove not to be linked; no linked pair is dropped."""
 
@@ -310,20 +331,33 @@ class JaccardJoin:
         signed = cut(self.docs.where("doc_id is not null").mapInArrow(_sign(k, percent, shared, bar), "sig long, k1 long"), "signatures")
         entries = signed.groupBy("sig").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).where("leader != other")
         self.index = cut(signed.join(entries.select("sig", "leader"), "sig"), "index")
+        discard(signed)
         self.classes = self.rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
         self.parity = cut(self.index.select("k1").distinct().join(parity, "k1"), "parities")
-        indexed = self.index.select("k1").distinct().join(self.classes, "k1").join(self.docs.withColumnRenamed("doc_id", "rep"), "rep")
-        self.texts = cut(indexed.select("k1", "k2", "text"), "texts")
         self._solve()
 
+    def _texts(self, ends: DataFrame) -> DataFrame:
+        """(k1, k2, text) of the classes in ``ends`` (k1).
+
+        A bitmap of their ids' hashes, 1 MB at any size, keeps most other texts out of the join's shuffle.
+        """
+        wanted = cut(ends.distinct().join(self.classes, "k1").select("k1", "k2", "rep"), "wanted")
+        bits = np.zeros(1 << (ID_BITS - 3), np.uint8)
+        for (part,) in wanted.select("rep").coalesce(4).mapInArrow(_id_bits, "bits binary").collect():
+            bits |= np.frombuffer(bytes(part), np.uint8)
+        shared = self.docs.sparkSession.sparkContext.broadcast(bits)
+        near = self.docs.where("doc_id is not null").mapInArrow(_with_bits(shared), "rep long, text string")
+        return cut(wanted.join(near, "rep").select("k1", "k2", "text"), "texts")
+
     def _test(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a < b)."""
         pairs = pairs.select("a", "b").distinct()
         for side in ("a", "b"):
             pairs = pairs.join(self.parity.select(F.col("k1").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")), side)
         near = pairs = cut(pairs.mapInArrow(_may_link(self.percent), _LINK), "pairs")
+        texts = self._texts(pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))))
         for side in ("a", "b"):
-            near = near.join(self.texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("text").alias(f"t{side}")), side)
+            near = near.join(texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("text").alias(f"t{side}")), side)
         return near.select("a", "a2", "ta", "b", "b2", "tb").mapInArrow(_verify(self.k, self.percent), _LINK)
 
     def _test_blocks(self, entries: DataFrame) -> DataFrame:
@@ -332,11 +366,12 @@ class JaccardJoin:
         Members are dealt into blocks of about BLOCK_ROWS, and each pair of blocks is one bounded unit of work; of a unit
         only links that join components come out, no pairs.
         """
+        texts = self._texts(entries.select("k1"))
         blocks = F.ceil(F.col("m") / BLOCK_ROWS)
         dealt = entries.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("k1"), "blocks"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "k1", "c")
-        units = dealt.join(self.texts.select("k1", "k2", "text"), "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        units = dealt.join(texts.select("k1", "k2", "text"), "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         return units.mapInArrow(_verify_blocks(self.k, self.percent), _LINK)
 
     def _solve(self) -> None:
