@@ -35,12 +35,13 @@ def score(docs: DataFrame, keep: dict[str, Column], rate: Callable[[list[bytes]]
     """The columns ``keep`` and ``score`` of each row; ``rate`` maps texts to scores."""
     given = docs.select(*(c.alias(n) for n, c in keep.items()), F.col("text").cast("string").alias("text"))
     out = given.drop("text").withColumn("score", F.lit(0.0)).schema
+    names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch.column("text")):
-                cols = [batch.column(n)[part] for n in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(rate(texts), pa.float64())], names=[*keep, "score"])
+                cols = [batch.column(n)[part] for n in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(rate(texts), pa.float64())], names=[*names, "score"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return given.mapInArrow(run, out)

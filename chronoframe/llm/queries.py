@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, license_scan, packing, quality_rules, secret_scan, url_filter
-from ._shared import table
+from . import jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, toxicity, url_filter
+from ._shared import fold_of, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, fold_of(F.col("doc_id"), 5) != 0)
+    return toxicity.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": fold_of(F.col("doc_id"), 5) == 0})
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"), "failures")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, labels, fold_of(F.col("doc_id"), 3) != 1)
+    return quality_classifier.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": fold_of(F.col("doc_id"), 3) == 1})
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
@@ -41,8 +53,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_packing": op4_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
 

@@ -24,6 +24,8 @@ SAMPLE_ROWS = 20_000
 FEATURES = 2048
 BUCKETS = 20
 RANK = 4
+#: The chi-square of a term with the label below which it is taken for noise (one in a thousand by chance).
+CHI = 10.83
 
 
 def terms(texts: list[bytes]) -> list[np.ndarray]:
@@ -68,9 +70,9 @@ def fit(found: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float =
     neg = np.bincount(term[y[row] == 0], minlength=1 << BUCKETS).astype(float)
     p, q = pos / y.sum(), neg / (len(y) - y.sum())
     both = share * p + (1 - share) * q
-    chi = (p - q) ** 2 / np.maximum(both * (1 - both), 1e-9) * (pos + neg >= 3)
+    chi = len(y) * share * (1 - share) * (p - q) ** 2 / np.maximum(both * (1 - both), 1e-9) * (pos + neg >= 3)
     chosen = np.argsort(-chi, kind="stable")[:FEATURES]
-    chosen = chosen[chi[chosen] > 0]
+    chosen = chosen[chi[chosen] > CHI]
     table[chosen] = np.arange(len(chosen))
     feature = table[term]
     row, feature = row[feature >= 0], feature[feature >= 0]
