@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
@@ -43,5 +43,5 @@ def score(docs: DataFrame, keep: dict[str, Column], rate: Callable[[list[bytes]]
                 cols = [batch.column(n)[part] for n in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(rate(texts), pa.float64())], names=[*names, "score"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return given.mapInArrow(run, out)

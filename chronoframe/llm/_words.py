@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Which bytes separate words: white space; everything but digits, letters and non-ASCII bytes; line feeds.

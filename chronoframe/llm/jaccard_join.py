@@ -63,7 +63,7 @@ def _parity(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
 
 
-def _bytes_of(column: pa.Array, most: int = 1 << 22) -> Iterator[slice]:
+def _bytes_of(column: pa.Array, most: int = 1 << 19) -> Iterator[slice]:
     """Slices of a batch with few bytes each."""
     at = size = 0
     for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)):
@@ -320,7 +320,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80):
         self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent
         spark = docs.sparkSession
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         scanned = cut(self.docs.mapInArrow(_scan(k), _SCAN), "sets")
         self.rows = scanned.where("block is null").select("doc_id", "n", "k1", "k2")
         parity = scanned.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("p")).drop("k2")

@@ -161,7 +161,7 @@ def _pack(name: str, window: int, size: int):
 
 def pack(docs: DataFrame, name: str = "byte_bpe_50k", window: int = WINDOW) -> DataFrame:
     """Per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_pack(name, window, 2000), SCHEMA)
 
