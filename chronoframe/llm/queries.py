@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, toxicity, url_filter
+from . import jaccard_join, license_scan, media, packing, pieces, quality_classifier, quality_rules, secret_scan, toxicity, url_filter
 from ._shared import fold_of, table
 
 
@@ -19,10 +19,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, fold_of(F.col("doc_id"), 5) != 0)
@@ -52,7 +60,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_media_columns": op3_media_columns,
     "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
