@@ -35,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents that with the smallest id stays, once; texts without words and null ids stay."""
+    """Of each group of near-duplicate documents that with the smallest id stays (all rows of it, if ids repeat); texts without words and null ids stay."""
     groups = jaccard_join.ngram_jaccard_components(docs, K, PERCENT)
     gone = groups.where("doc_id != component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
