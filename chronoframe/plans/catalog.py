@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoframe import session
+from chronoframe.plans import composed, relational
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-PRICING = """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc,
-       count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus
-"""
+
+def _relational(name: str) -> Query:
+    text = relational.texts(name)[0]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if tables := relational.tables_of(text):
+            session.views(spark, sf_dir, *tables)
+        return spark.sql(text)
+
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: _relational(name) for name in relational.SQL} | {name: run for name, (run, _) in composed.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: relational.texts(name)[1] for name in relational.SQL} | {name: sql for name, (_, sql) in composed.QUERIES.items() if sql}
