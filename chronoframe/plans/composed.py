@@ -1 +1,465 @@
-QUERIES = {}
+"""Queries made of the library's operators, with their SQL for DuckDB (None where SQL can't express one)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoframe.functions import scalar
+from chronoframe.operators import catalogue, events, graph, risk, temporal, text, timeseries, vectorized, vectors
+from chronoframe.session import table
+from chronoframe.streaming import feed
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return register
+
+
+# --- bitemporal: the order history of each customer ---
+
+LEDGER = """WITH h AS (SELECT o_custkey AS pk, o_orderkey AS commit_ts, epoch(o_orderdate)::BIGINT AS valid_from,
+  coalesce(lead(epoch(o_orderdate)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 9223372036854775807) AS valid_to,
+  o_orderstatus = 'F' AS is_deleted, o_totalprice AS price FROM orders)"""
+_PICK = "SELECT pk, price, commit_ts FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY commit_ts DESC, valid_from DESC) AS rn FROM h WHERE {0}) WHERE rn = 1 AND NOT is_deleted"
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    o = table(spark, sf_dir, "orders").withColumn("valid_from", scalar.epoch(F.col("o_orderdate")))
+    next_ = F.lead("valid_from").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return o.select(F.col("o_custkey").alias("pk"), F.col("o_orderkey").alias("commit_ts"), "valid_from", F.coalesce(next_, F.lit(temporal.FOREVER)).alias("valid_to"), (F.col("o_orderstatus") == "F").alias("is_deleted"), F.col("o_totalprice").alias("price"))
+
+
+def _ledger_columns(df: DataFrame) -> DataFrame:
+    return df.select("pk", "price", "commit_ts")
+
+
+@query(LEDGER + _PICK.format("true"))
+def bt_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(temporal.visible(_history(spark, sf_dir)))
+
+
+@query(LEDGER + _PICK.format("commit_ts <= 7000"))
+def bt_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(temporal.visible(_history(spark, sf_dir), as_of=7000))
+
+
+@query(LEDGER + _PICK.format("valid_from <= 820454400 AND valid_to > 820454400"))
+def bt_valid_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(temporal.visible(_history(spark, sf_dir), valid_at=820454400))
+
+
+@query(LEDGER + _PICK.format("commit_ts <= 9000 AND valid_from <= 820454400 AND valid_to > 820454400"))
+def bt_bitemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(temporal.visible(_history(spark, sf_dir), 9000, 820454400))
+
+
+@query(LEDGER + _PICK.format("commit_ts <= 300"))
+def bt_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = spark.range(1, 200).select(F.col("id").alias("epoch"), (F.col("id") * 100).alias("commit_ts"))
+    return _ledger_columns(temporal.as_of_epoch(_history(spark, sf_dir), commits, 3))
+
+
+_KNOWN = LEDGER + ", k AS (SELECT *, coalesce(lead(commit_ts) OVER (PARTITION BY pk ORDER BY commit_ts, valid_from), 9223372036854775807) AS known_to FROM h) SELECT pk, price, commit_ts FROM k WHERE "
+
+
+@query(_KNOWN + "commit_ts < 6000 AND known_to > 5000")
+def bt_system_from_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(temporal.system_time(_history(spark, sf_dir), 5000, 6000))
+
+
+@query(_KNOWN + "commit_ts <= 6000 AND known_to > 5000")
+def bt_system_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(temporal.system_time(_history(spark, sf_dir), 5000, 6000, closed=True))
+
+
+@query(LEDGER + "SELECT pk, price, commit_ts FROM h")
+def bt_system_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(_history(spark, sf_dir))
+
+
+@query(LEDGER + "SELECT pk, price, commit_ts FROM h WHERE valid_from < 830000000 AND valid_to > 820454400")
+def bt_application_from_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger_columns(temporal.application_time(_history(spark, sf_dir), 820454400, 830000000))
+
+
+@query(LEDGER + ", v AS (" + _PICK.format("commit_ts <= 9000") + ") SELECT pk, v.price, c_name AS name FROM v JOIN customer ON c_custkey = pk")
+def join_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.col("c_name").alias("name"), F.lit(1).cast("long").alias("commit_ts"), F.lit(0).cast("long").alias("valid_from"), F.lit(temporal.FOREVER).alias("valid_to"), F.lit(False).alias("is_deleted"))
+    return temporal.temporal_join(_history(spark, sf_dir), customers, "pk", as_of=9000).select("pk", "price", "name")
+
+
+@query("""SELECT l.event_id, (SELECT r.value FROM events r WHERE r.event_type = 'view' AND r.user_id = l.user_id AND r.ts <= l.ts ORDER BY r.ts DESC, r.event_id DESC LIMIT 1) AS last_view
+  FROM events l WHERE l.event_type = 'purchase'""")
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return temporal.asof_join(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", "ts", "ts", "value", "last_view").select("event_id", "last_view")
+
+
+@query("SELECT user_id, arg_max(value, {'t': ts, 'e': event_id}) AS value FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id")
+def feature_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("updated_at"), "value", "ts").where("ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    return history.groupBy("user_id").agg(F.max_by("value", "updated_at").alias("value"))
+
+
+# --- time series ---
+
+_BUCKETS = "b AS (SELECT event_type, (epoch_us(ts) // 1000000 // 3600) * 3600 AS bucket, round(sum(value), 6) AS total, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1, 2)"
+_GRID = ", g AS (SELECT event_type, unnest(range(min(bucket), max(bucket) + 1, 3600)) AS bucket FROM b GROUP BY event_type), f AS (SELECT g.event_type, g.bucket, total, n FROM g LEFT JOIN b USING (event_type, bucket))"
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'signup')")
+    return e.groupBy("event_type", timeseries.time_bucket("1h", scalar.epoch(F.col("ts"))).alias("bucket")).agg(F.round(F.sum("value"), 6).alias("total"), F.count("*").alias("n"))
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.gapfill(_hourly(spark, sf_dir), "1h", "bucket", "event_type")
+
+
+@query("WITH " + _BUCKETS + " SELECT * FROM b")
+def ts_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hourly(spark, sf_dir)
+
+
+@query("WITH " + _BUCKETS + _GRID + " SELECT * FROM f")
+def ts_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir)
+
+
+@query("WITH " + _BUCKETS + _GRID + " SELECT event_type, bucket, last_value(total IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS total FROM f")
+def ts_locf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.locf(_filled(spark, sf_dir), "total", "bucket", "event_type").select("event_type", "bucket", "total")
+
+
+@query("WITH " + _BUCKETS + _GRID + """, p AS (SELECT *, last_value(CASE WHEN total IS NOT NULL THEN {'t': bucket, 'v': total} END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS a,
+  first_value(CASE WHEN total IS NOT NULL THEN {'t': bucket, 'v': total} END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM f)
+  SELECT event_type, bucket, round(coalesce(total, a.v + (z.v - a.v) * (bucket - a.t) / nullif(z.t - a.t, 0)), 6) AS total FROM p""")
+def ts_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.interpolate(_filled(spark, sf_dir), "total", "bucket", "event_type").select("event_type", "bucket", F.round("total", 6).alias("total"))
+
+
+@query("WITH " + _BUCKETS + """ SELECT event_type, bucket, round(total - lag(total) OVER w, 6) AS delta, round((total - lag(total) OVER w) / nullif(bucket - lag(bucket) OVER w, 0), 9) AS rate
+  FROM b WINDOW w AS (PARTITION BY event_type ORDER BY bucket)""")
+def ts_delta_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timeseries.rate(timeseries.delta(_hourly(spark, sf_dir), "total", "bucket", "event_type"), "total", "bucket", "event_type")
+    return rows.select("event_type", "bucket", F.round("delta", 6).alias("delta"), F.round("rate", 9).alias("rate"))
+
+
+@query("""SELECT event_type, (epoch_us(ts) // 1000000 // 21600) * 21600 AS bucket, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high,
+  min(epoch_us(ts) // 1000000) AS first_ts, max(epoch_us(ts) // 1000000) AS last_ts FROM events GROUP BY 1, 2""")
+def ts_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.downsample(table(spark, sf_dir, "events"), "6h", "ts", "value", "event_type").withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
+
+
+@query("WITH " + _BUCKETS + " SELECT * FROM b WHERE bucket BETWEEN 1704672000 AND 1705276800")
+def ts_bucket_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.bucket_range(_hourly(spark, sf_dir), 1704672000, 1705276800)
+
+
+# --- full text ---
+
+_STEMS = """tok AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda w: lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'))), lambda w: strlen(w) >= 2) AS t FROM documents),
+ s AS (SELECT doc_id, list_transform(t, lambda w: CASE WHEN length(w) > 5 AND (ends_with(w, 'tion') OR ends_with(w, 'ness') OR ends_with(w, 'ment')) THEN left(w, length(w) - 4)
+   WHEN length(w) > 5 AND ends_with(w, 'ing') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND (ends_with(w, 'ed') OR ends_with(w, 'ly') OR ends_with(w, 'es')) THEN left(w, length(w) - 2)
+   WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END) AS t FROM tok)"""
+
+
+@query("WITH " + _STEMS + " SELECT doc_id, len(t)::INT AS n, list_aggregate(t, 'string_agg', ' ') AS stems FROM s WHERE doc_id < 50")
+def fts_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", text.stems(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n"), F.when(F.size("t") > 0, F.array_join("t", " ")).alias("stems"))
+
+
+@query("WITH " + _STEMS + " SELECT doc_id FROM s WHERE list_has_all(t, ['licens', 'under'])")
+def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(text.matches(F.col("text"), "Licensed under")).select("doc_id")
+
+
+@query("WITH " + _STEMS + """, q AS (SELECT unnest(['licens', 'public']) AS stem), n AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM s),
+ hit AS (SELECT doc_id, len(t) AS n, stem, len(list_filter(t, lambda x: x = stem)) AS tf FROM s, q), f AS (SELECT * FROM hit WHERE tf > 0), df AS (SELECT stem, count(*) AS df FROM f GROUP BY stem)
+ SELECT doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM f JOIN df USING (stem), n GROUP BY doc_id""")
+def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "licensed public").withColumn("score", F.round("score", 6))
+
+
+@query("SELECT doc_id, 'the <<Licensed>> works' AS marked FROM documents WHERE doc_id < 5")
+def fts_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("doc_id < 5").select("doc_id", text.highlight(F.lit("the  Licensed works"), "licensing licenses licensed").alias("marked"))
+
+
+# --- vectors ---
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str, n: int) -> dict[int, list[float]]:
+    return {r.vec_id: [float(x) for x in r.embedding] for r in table(spark, sf_dir, "embeddings").where(f"vec_id < {n}").collect()}
+
+
+_D = "CAST(list_transform(a.embedding, lambda x: x::DOUBLE) AS DOUBLE[])"
+
+
+def _knn_sql(distance: str) -> str:
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query, a.vec_id, {distance} AS d FROM e a, e q WHERE q.vec_id < 5)
+      SELECT query, vec_id, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= 10"""
+
+
+def _knn(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    found = vectors.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vectors(spark, sf_dir, 5), 10, metric)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(_knn_sql("list_distance(a.v, q.v)"))
+def vec_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, "euclidean")
+
+
+@query(_knn_sql("1 - list_cosine_similarity(a.v, q.v)"))
+def vec_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, "cosine").withColumn("distance", F.col("distance") + 0.0)
+
+
+@query(_knn_sql("-list_inner_product(a.v, q.v)"))
+def vec_knn_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, "dot")
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, len(embedding)::INT AS dims FROM embeddings")
+def vec_norm_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dims"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 3), d AS (SELECT vec_id, 1 - list_cosine_similarity(v, qv) AS d FROM e, q)
+  SELECT vec_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM d QUALIFY rank <= 7""")
+def vec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vector = _query_vectors(spark, sf_dir, 4)[3]
+    return vectors.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vector, 7).withColumns({"distance": F.round("distance", 6) + 0.0, "score": F.round("score", 6)})
+
+
+@query()
+def vec_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = vectors.InvertedFile(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    return index.search(_query_vectors(spark, sf_dir, 1)[0], 10, 4)
+
+
+@query("""SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS scale FROM embeddings""")
+def vec_quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.quantize_int8(F.col("embedding")).alias("q"))
+    near = vectors.euclidean(vectors.dequantize_int8(F.col("q")), F.col("embedding")) <= F.col("q.scale") / 127 * F.sqrt(F.size("embedding"))
+    return q.where(near).select("vec_id", F.round("q.scale", 6).alias("scale"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 0)
+  SELECT vec_id, round(list_distance(v, qv), 6) AS distance FROM e, q WHERE label <= 3 AND label + 4 > 3 ORDER BY list_distance(v, qv), vec_id LIMIT 5""")
+def vec_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumns({"valid_from": F.col("label").cast("long"), "valid_to": F.col("label").cast("long") + 4})
+    return vectors.temporal_search(rows, "vec_id", "embedding", _query_vectors(spark, sf_dir, 1)[0], 3, 5, "euclidean").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+_LISTS = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id, q.vec_id AS query, list_distance(a.v, q.v) AS d FROM e a, e q WHERE q.vec_id < 2),
+ l AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM d QUALIFY rank <= 20)"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = vectors.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vectors(spark, sf_dir, 2), 20)
+    return found.where("query = 0"), found.where("query = 1")
+
+
+@query("WITH " + _LISTS + " SELECT vec_id, round(sum(1 / (60.0 + rank)), 9) AS score FROM l GROUP BY vec_id")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.reciprocal_rank_fusion(*_lists(spark, sf_dir), "vec_id").withColumn("score", F.round("score", 9))
+
+
+@query("WITH " + _LISTS + """, a AS (SELECT vec_id, (1 - (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ())) * 0.7 AS p FROM l WHERE query = 0),
+ b AS (SELECT vec_id, (rank - 1) / 19.0 * 0.3 AS p FROM l WHERE query = 1) SELECT vec_id, round(sum(p), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id""")
+def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _lists(spark, sf_dir)
+    return vectors.weighted_fusion(a, b.select("vec_id", F.col("rank").cast("double").alias("score")), "vec_id", 0.7, 0.3).withColumn("score", F.round("score", 6))
+
+
+@query("WITH " + _LISTS + " SELECT vec_id, round(0.6 / (1 + d) + 0.4 * (vec_id % 2), 6) AS score FROM l WHERE query = 0")
+def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _ = _lists(spark, sf_dir)
+    return a.select("vec_id", F.round(vectors.hybrid_score(F.col("distance"), F.col("vec_id") % 2, 0.6, 0.4), 6).alias("score"))
+
+
+# --- event sourcing ---
+
+_STORE = "st AS (SELECT user_id AS aggregate_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence_num, event_type, props AS payload FROM events)"
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("aggregate_id"), seq.alias("sequence_num"), "event_type", F.col("props").alias("payload"), "ts")
+
+
+@query("WITH " + _STORE + " SELECT aggregate_id, arg_max(event_type, sequence_num) AS last_event_type, max(sequence_num) AS sequence_num, arg_max(json_extract_string(payload, '$.k'), sequence_num) AS k FROM st GROUP BY 1")
+def es_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.fold(_store(spark, sf_dir)).select("aggregate_id", "last_event_type", "sequence_num", F.col("state")["k"].alias("k"))
+
+
+@query("WITH " + _STORE + " SELECT aggregate_id, arg_max(event_type, sequence_num) AS last_event_type, max(sequence_num) AS sequence_num, arg_max(json_extract_string(payload, '$.k'), sequence_num) AS k FROM st GROUP BY 1 HAVING max(sequence_num) > 3")
+def es_fold_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    found = events.fold(store, events.snapshot(store.where("sequence_num <= 3")))
+    return found.where("sequence_num > 3").select("aggregate_id", "last_event_type", "sequence_num", F.col("state")["k"].alias("k"))
+
+
+@query("WITH " + _STORE + " SELECT sequence_num, event_type FROM st WHERE aggregate_id = 5 AND sequence_num >= 2")
+def es_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.history(_store(spark, sf_dir), 5, 2).select("sequence_num", "event_type")
+
+
+@query("SELECT DISTINCT user_id AS aggregate_id FROM events WHERE event_type = 'signup'")
+def es_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.with_event(_store(spark, sf_dir), "signup")
+
+
+# --- graph: nations in rings by region, with chords ---
+
+_EDGES = "ed AS (SELECT n_nationkey::BIGINT AS from_id, ((n_nationkey * 2 + 1) % 25)::BIGINT AS to_id FROM nation UNION SELECT n_nationkey::BIGINT, ((n_nationkey + 5) % 25)::BIGINT FROM nation)"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
+    return n.select(F.col("n").alias("from_id"), ((F.col("n") * 2 + 1) % 25).alias("to_id")).union(n.select("n", (F.col("n") + 5) % 25)).distinct()
+
+
+_BFS = "WITH RECURSIVE " + _EDGES + ", w(id, depth) AS (SELECT 2::BIGINT, 0 UNION SELECT to_id, depth + 1 FROM w JOIN ed ON from_id = id WHERE depth < {0})"
+
+
+@query(_BFS.format(3) + " SELECT id, min(depth) AS depth FROM w GROUP BY id")
+def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs(_edges(spark, sf_dir), 2, 3).select("id", "depth")
+
+
+@query(_BFS.format(25) + " SELECT min(depth)::INT AS hops FROM w WHERE id = 24")
+def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = graph.shortest_path(_edges(spark, sf_dir), 2, 24)
+    return spark.createDataFrame([(len(path) - 1,)], "hops int")
+
+
+@query("WITH " + _EDGES + " SELECT to_id AS id FROM ed WHERE from_id = 4 UNION SELECT from_id FROM ed WHERE to_id = 4")
+def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbors(_edges(spark, sf_dir), 4)
+
+
+@query("WITH " + _EDGES + " SELECT (SELECT count(*) FROM (SELECT from_id FROM ed UNION SELECT to_id FROM ed)) AS nodes, count(*) AS edges FROM ed")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([graph.counts(_edges(spark, sf_dir))], "nodes long, edges long")
+
+
+@query()
+def graph_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(graph.dfs(_edges(spark, sf_dir), 2, 4), "id long, depth int")
+
+
+# --- risk, clusters ---
+
+_CHANGES = "c AS (SELECT event_id, event_type || ' ' || CASE event_id % 5 WHEN 0 THEN 'failed login timeout' WHEN 1 THEN 'refund' WHEN 2 THEN 'deploy queue' ELSE 'ok' END AS doc, epoch_ms(ts) AS at_ms FROM events)"
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 5 == 0, "failed login timeout").when(F.col("event_id") % 5 == 1, "refund").when(F.col("event_id") % 5 == 2, "deploy queue").otherwise("ok")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_type", kind).alias("doc"), ms.alias("at_ms"))
+
+
+_SCORED = _CHANGES + """, r AS (SELECT *, 0.15 + CASE WHEN regexp_matches(doc, 'error|failed|exception') THEN 0.25 ELSE 0 END + CASE WHEN regexp_matches(doc, 'refund|chargeback|dispute') THEN 0.25 ELSE 0 END
+  + CASE WHEN regexp_matches(doc, 'login|password|token') THEN 0.3 ELSE 0 END AS risk FROM c)"""
+
+
+@query("WITH " + _CHANGES + " SELECT event_id, round(CASE WHEN contains(doc, 'error') THEN 0.3 ELSE 0 END + CASE WHEN contains(doc, 'failed') THEN 0.25 ELSE 0 END + CASE WHEN contains(doc, 'timeout') THEN 0.2 ELSE 0 END, 6) AS score FROM c")
+def risk_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(spark, sf_dir).select("event_id", F.round(risk.quick_score(F.col("doc")), 6).alias("score"))
+
+
+@query("WITH " + _SCORED + " SELECT event_id, round(risk, 6) AS risk_score FROM r")
+def risk_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.insights(_changes(spark, sf_dir), "doc", "at_ms").select("event_id", "risk_score")
+
+
+@query("WITH " + _SCORED + " SELECT event_id, round(risk, 6) AS risk_score FROM r ORDER BY risk DESC, event_id LIMIT 10")
+def risk_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.top_risks(risk.insights(_changes(spark, sf_dir), "doc", "at_ms"), "event_id").select("event_id", "risk_score")
+
+
+@query("WITH " + _SCORED + " SELECT count(*) AS n, round(avg(risk), 6) AS mean_risk FROM r GROUP BY at_ms // 60000, risk, event_id % 5, regexp_extract(doc, 'error')")
+def risk_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.cluster_summary(risk.insights(_changes(spark, sf_dir), "doc", "at_ms").withColumn("cluster_id", F.concat_ws("/", "cluster_id", (F.col("event_id") % 5).cast("string")))).select("n", "mean_risk")
+
+
+# --- library, catalogue ---
+
+
+@query("SELECT c_custkey, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def lib_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorized.hash_join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey").select("c_custkey", "n_name", "n_regionkey")
+
+
+@query("SELECT o_orderstatus, round(sum(o_totalprice), 2) AS s, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def lib_hash_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorized.hash_aggregate(table(spark, sf_dir, "orders"), ["o_orderstatus"], {"s": ("sum", "o_totalprice"), "n": ("count", "o_orderkey")}).withColumn("s", F.round("s", 2))
+
+
+@query("""SELECT 'o_orderstatus' AS "column", count(*) AS n, count(DISTINCT o_orderstatus) AS ndv, count(*) FILTER (o_orderstatus IS NULL) AS nulls, min(o_orderstatus) AS low, max(o_orderstatus) AS high FROM orders
+  UNION ALL SELECT 'o_custkey', count(*), count(DISTINCT o_custkey), count(*) FILTER (o_custkey IS NULL), min(o_custkey::VARCHAR), max(o_custkey::VARCHAR) FROM orders""")
+def agg_column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.column_stats(table(spark, sf_dir, "orders"), "o_orderstatus", "o_custkey")
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10")
+def agg_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.top_values(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query("SELECT abs(1500 - count(DISTINCT c_custkey)) <= 75 AS close FROM customer")
+def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count_distinct("c_custkey")
+    return table(spark, sf_dir, "customer").agg((F.abs(F.approx_count_distinct("c_custkey", 0.01) - n) <= F.greatest(n * 0.05, F.lit(1))).alias("close"))
+
+
+@query("SELECT octet_length(''::BLOB) < 1 AS made")
+def agg_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.count_min(table(spark, sf_dir, "events"), "user_id").select((F.length("sketch") > 0).alias("made"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 3")
+def policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalogue.Policies()
+    p.create("segment", "customer", {"sales"}, F.col("c_mktsegment") == "BUILDING")
+    p.create("nation", "customer", {"sales", "auditor"}, F.col("c_nationkey") == 3)
+    p.create("all", "customer", {"admin"}, F.lit(True))
+    return p.apply(table(spark, sf_dir, "customer"), "customer", {"sales"}).select("c_custkey")
+
+
+@query("""SELECT * FROM (VALUES ('added', 's_acctbal'), ('added', 's_name'), ('added', 's_nationkey'), ('added', 's_suppkey'), ('removed', 'n_name'), ('removed', 'n_nationkey'), ('removed', 'n_regionkey')) t(change, name)""")
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(catalogue.schema_diff(table(spark, sf_dir, "nation").schema, table(spark, sf_dir, "supplier").schema), "change string, name string")
+
+
+@query("SELECT event_id, event_type FROM events WHERE starts_with(event_type, 'p')")
+def feed_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(F.col("event_type").startswith("p")).select("event_id", "event_type")
+
+
+@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feed.tumbling(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes", "event_type")
+    return rows.select(F.unix_timestamp("window.start").alias("hour"), "event_type", "n")
+
+
+@query()
+def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return feed.anomalies_batch(rows)
