@@ -27,7 +27,10 @@ TOKEN = "[A-Za-z0-9+/_-]{24,}"
 KINDS = ["assign", "access", "hex", "token", "example", "live"]
 EXAMPLE_OWNERS = 3
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string,skip:int>>"
-_NONE = F.array().cast(_SPAN)
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
 
 
 def _found(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
@@ -42,17 +45,17 @@ def _found(text: Column, pattern: str, kind: int, group: int, least: int) -> Col
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), (F.length(x["all"]) - F.length(x["value"])).alias("skip"))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), _NONE.alias("spans")), step, lambda acc: acc["spans"])
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("spans")), step, lambda acc: acc["spans"])
 
 
 def candidates(text: Column) -> Column:
     """All candidate spans of ``text``: array of (kind, start, end, value, skip); the value starts ``skip`` after the start."""
     base = F.concat(
-        F.when(text.rlike(ASSIGN_GATE), _found(text, ASSIGN, 0, 2, 12)).otherwise(_NONE),
-        F.when(F.contains(text, F.lit("AKIA")), _found(text, ACCESS, 1, 0, 18)).otherwise(_NONE),
-        F.when(text.rlike("[0-9a-f]{16}"), _found(text, HEX, 2, 0, 16)).otherwise(_NONE),
+        F.when(text.rlike(ASSIGN_GATE), _found(text, ASSIGN, 0, 2, 12)).otherwise(_none()),
+        F.when(F.contains(text, F.lit("AKIA")), _found(text, ACCESS, 1, 0, 18)).otherwise(_none()),
+        F.when(text.rlike("[0-9a-f]{16}"), _found(text, HEX, 2, 0, 16)).otherwise(_none()),
     )
-    tokens = F.when(text.rlike(TOKEN), F.filter(_found(text, TOKEN, 3, 0, 24), lambda x: _looks_live(x["value"]))).otherwise(_NONE)
+    tokens = F.when(text.rlike(TOKEN), F.filter(_found(text, TOKEN, 3, 0, 24), lambda x: _looks_live(x["value"]))).otherwise(_none())
     return F.concat(base, F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
 
 

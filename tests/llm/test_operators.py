@@ -1,0 +1,471 @@
+"""Operators against brute-force versions, exact round trips, SQL, and edge cases: nulls, empty and long texts, ties, repeats."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from chronoframe.llm import jaccard_join, license_scan, media, packing, pieces, quality_classifier, quality_rules, queries, secret_scan, stages, toxicity, url_filter
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def edited(text: str, seed: int, times: int) -> str:
+    r, w = random.Random(seed), text.split(" ")
+    for _ in range(times):
+        w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+EDGES = [
+    None, "", " \t\n ", "one", "one two", "é漢字 🙂 \x00\x01 <|endoftext|>", "﻿a▁b", "A" * 3000, "word " * 4000, "x\n" * 300, "TOKEN = 'abcdEF123456789xyz'", "mit license " * 40,
+]
+
+
+@pytest.fixture(scope="module")
+def texts() -> list[str | None]:
+    base = prose(1, 300)
+    copies = [edited(base, i, i % 9) for i in range(60)]
+    return [*EDGES, base, base, *copies, *(prose(i, 40 + i * 7) for i in range(2, 30)), *(prose(99, 120) + " " + prose(i, 30) for i in range(30, 60))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, ["en", "de", None][i % 3], f"src{i % 5}" if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[20], rows[20], (None, "null id " + prose(5, 60), "en", "src1", 9), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def against_sql(spark, tables: dict, got, sql: str) -> None:
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toPandas())
+    want = con.sql(sql).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+
+    def rows(f: pd.DataFrame) -> list:
+        return sorted(tuple("~" if x is None or x is pd.NA or x != x else str(float(x)) if isinstance(x, (int, float, np.number)) else str(x) for x in r) for r in f[cols].astype(object).itertuples(index=False))
+
+    assert rows(got.toPandas()) == rows(want)
+
+
+# --- 1 ---
+
+
+def pages(spark, urls):
+    return spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+
+URLS = [
+    None, "", "no scheme", "http://", "https://Example.COM/en/77?x#y", "https://a.example.com/en/1", "http://example.com?en/", "http://b.example.net/de/8", "http://b.example.net/de/9", "http://net.org/es/", "http://x.org/fr/é",
+    "http://com/en/", "http://notcom/en/", "ftp://u@h.com:8/en/7",
+]
+
+
+def test_url_rules_and_sql(spark):
+    many = URLS * 2 + [f"https://{h}.example.{t}/{p}/{i}" for i, (h, t, p) in enumerate([(h, t, p) for h in ("a", "bb", "casino") for t in ("com", "net", "org") for p in ("en", "de", "es", "fr")] * 8)]
+    df = pages(spark, many)
+    got = url_filter.judge(df).withColumn("score", F.round("score"))
+    against_sql(spark, {"pages": df}, got, url_filter.SQL)
+    by = {r.page_id: r for r in got.collect()}
+    assert (by[4].host, by[4].path, by[4].rule, by[4].verdict) == ("example.com", "/en/77", "example.com/en/7", "allow")
+    assert (by[5].rule, by[5].verdict) == ("com/en/", "block") and by[6].rule is None and by[7].rule == "example.net/de/8" and by[12].rule is None
+    assert (by[0].host, by[0].path, by[2].host, by[0].verdict) == ("", "", "", "block")
+
+
+def test_url_without_labels(spark):
+    assert url_filter.judge(pages(spark, [])).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages(spark, ["http://a.org/fr/1", "http://b.org/fr/2"])).collect()} == {"allow"}
+
+
+# --- 2 ---
+
+
+def brute_components(rows, k, percent):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, a in sets:
+        top(x)
+    named = {}
+    for x, a in sets:
+        named.setdefault(frozenset(a), x)
+    keys = [s for s in named if s]
+    parts = {s: s for s in keys}
+
+    def find(s):
+        while parts[s] is not s:
+            s = parts[s]
+        return s
+
+    for n, a in enumerate(keys):
+        for b in keys[:n]:
+            both = len(a & b)
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                parts[find(a)] = find(b)
+    least = {}
+    for x, a in sets:
+        if a:
+            r = find(next(s for s in keys if s == a))
+            least[r] = min(least.get(r, x), x)
+    return sorted((x, len(a), least[find(next(s for s in keys if s == a))] if a else x) for x, a in sets)
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
+def test_jaccard_components(docs, k, percent):
+    got = jaccard_join.ngram_jaccard_components(docs, k, percent).collect()
+    want = brute_components([(r.doc_id, r.text) for r in docs.collect()], k, percent)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == want
+    assert len(got) == docs.count() and all(r.component_id is None for r in got if r.doc_id is None)
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """Entries beyond the limits go by blocks, with the same result."""
+    monkeypatch.setattr(jaccard_join, "PAIR_ROWS", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 8)
+    base = prose(7, 120)
+    rows = [(i, edited(base, i, i % 6)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(df, 3, 90).collect())
+    assert got == brute_components(rows, 3, 90)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_signatures_meet(percent):
+    """Linked sets share a signature, whichever of their tokens are frequent."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.integers(2, 200))
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        y = x.copy()
+        while True:
+            z = np.unique(np.concatenate([y[r.permutation(len(y))[:-1]], r.integers(0, 2**63, int(r.integers(0, 2)), dtype=np.uint64)])) if len(y) > 1 else y
+            both = len(np.intersect1d(x, z))
+            if 100 * both < percent * (len(x) + len(z) - both) or r.random() < 0.1 or len(z) < 2:
+                break
+            y = z
+        share = r.random()
+        rank = lambda s: np.where((s % np.uint64(1000)) < share * 1000, (s % np.uint64(7)).astype(np.int64) + 1, 0)
+        a, b = jaccard_join.signatures(x, rank(x), percent), jaccard_join.signatures(y, rank(y), percent)
+        assert len(x) == len(y) == len(np.intersect1d(x, y)) or len(np.intersect1d(a, b))
+
+
+# --- 3 ---
+
+
+def test_media_round_trip(docs):
+    for r in media.report(docs).join(docs.dropDuplicates(["doc_id", "text"]), "doc_id").collect():
+        raw = (r.text or "").encode()
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+@pytest.mark.parametrize("data", [b"", b"\xff" * 1000, bytes(range(256)) * 40])
+def test_media_bytes_and_slow_path(data):
+    stored = media.store(data)
+    payload, counts, avi = media.load(stored)
+    assert payload.startswith(data) and not payload[len(data) :].strip(b"\0")
+    slow = np.stack([np.bincount(media.decode_jpeg(f).ravel() >> 4, minlength=16) for f in avi["frames"]])
+    assert (slow == counts).all()
+
+
+def grey_frame(level: int) -> bytes:
+    """A frame of one flat 8x8 block, with other tables than the stored layout: DC sizes 0-11, end of block."""
+    size = abs(level).bit_length()
+    bits = f"{size:04b}" + (f"{level if level > 0 else level + (1 << size) - 1:0{size}b}" if size else "") + "0"
+    bits += "1" * (-len(bits) % 8)
+    body = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    dc = bytes([0, 0, 0, 12, *[0] * 12]) + bytes(range(12))
+    ac = bytes([1, *[0] * 15, 0])
+    return (
+        b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([8]) * 64) + media._segment(0xC0, bytes([8, 0, 8, 0, 8, 1, 1, 0x11, 0])) + media._segment(0xC4, b"\x00" + dc)
+        + media._segment(0xC4, b"\x10" + ac) + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + body + b"\xff\xd9"
+    )
+
+
+def test_media_clips(spark):
+    assert media.decode_jpeg(grey_frame(60)).tolist() == [[188] * 8] * 8
+    frames = [grey_frame(v) for v in [-100] * 5 + [90] * 7 + [0] * 3]
+    avi = media.write_avi(frames, 8, 8, b"")
+    rows = [(1, avi), (2, None), (3, b"RIFFxxxx"), (4, avi[:300]), (5, avi.replace(b"idx1", b"junk"))]
+    got = media.clips(spark.createDataFrame(rows, "media_id int, media binary")).collect()
+    want = [(0, 0, 200, 5), (1, 200, 480, 7), (2, 480, 600, 3)]
+    for k in (1, 5):
+        assert sorted((r.clip, r.start_ms, r.end_ms, r.n_frames) for r in got if r.media_id == k) == want
+    assert {r.media_id for r in got} <= {1, 4, 5}
+
+
+# --- 4 ---
+
+
+def test_packing(docs):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    source = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
+    want = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 0] for r in source.collect()}
+    rows = packing.pack(source).collect()
+    parts, sequences = {}, {}
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length > 0 and r.doc_tokens == len(want[r.doc_id])
+        parts.setdefault(r.doc_id, []).append((r.start, ids))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert {k: [x for _, p in sorted(v) for x in p] for k, v in parts.items()} == want
+    padding = 0
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 1024
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    assert padding == 0
+    digest = packing.pieces(source).select("doc_id", "start", "ids_crc32").collect()
+    assert sorted((r.doc_id, r.start, r.ids_crc32) for r in digest) == sorted((r.doc_id, r.start, zlib.crc32(r.ids)) for r in rows)
+
+
+def test_packing_places_by_sum_of_squares():
+    r, levels = random.Random(1), packing.Levels(64)
+    counts = np.zeros(65, int)
+    for _ in range(500):
+        n = r.randint(1, 63)
+        costs = {}
+        for h in [0, *np.flatnonzero(counts[:64])]:
+            if h + n <= 64:
+                c = counts.copy()
+                c[h] -= h > 0
+                c[h + n] += h + n < 64
+                costs[int(h)] = int((c**2).sum())
+        level = levels.place(n)
+        assert costs[level] == min(costs.values())
+        levels.put(level, n, lambda: 0)
+        counts[level] -= level > 0
+        counts[level + n] += level + n < 64
+        assert (counts == levels.counts).all()
+
+
+# --- 5 ---
+
+
+def test_pieces_match_library(docs):
+    import sentencepiece
+    from public_tokenizers import path
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(path("piece_bpe_32k.model")))
+    coded = pieces.encode(docs)
+    back = {(r.doc_id, r.n_pieces): r.text for r in pieces.decode(coded).collect()}
+    source = {(r.doc_id, r.text or "") for r in docs.collect()}
+    assert {(k[0], t) for k, t in back.items()} == source
+    for r in coded.join(docs, "doc_id").collect():
+        if "▁" not in (r.text or ""):
+            assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(r.text or "")
+
+
+def test_pieces_viterbi():
+    """The search finds the best total of any segmentation; long words and heap merges agree with the batch."""
+    m = pieces.Pieces(merges=False)
+    r = random.Random(5)
+    m._set([(p, i + 300, -r.random() * 5) for i, p in enumerate(["a", "b", "c", "ab", "bc", "abc", "ca", "aab", "▁", "▁a", "▁ab"])])
+    score = {i: s for _, (s, i) in m.by_piece.items()}
+    for _ in range(200):
+        w = "▁" + "".join(r.choice("abcx") for _ in range(r.randint(0, 9)))
+        best = [0.0] + [-1e9] * len(w)
+        for j in range(1, len(w) + 1):
+            for i in range(j):
+                s = m.by_piece[w[i:j]][0] if w[i:j] in m.by_piece else m.unknown if j - i == 1 else -1e9
+                best[j] = max(best[j], best[i] + s)
+        ids = np.frombuffer(next(iter(m._search([w]))), "<u4").tolist()
+        assert abs(sum(score.get(i, m.unknown) for i in ids) - best[-1]) < 1e-9
+    m = pieces.Pieces()
+    for seed in range(20):
+        w = "▁" + "".join(random.Random(seed).choice("theandingxé") for _ in range(40))
+        assert next(iter(m._merge([w]))) == m._merge_long(w)
+
+
+# --- 6 and 9 ---
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [(queries.op6_toxicity, "toxic", 0.94), (queries.op9_quality_classifier, "quality", 0.95)])
+def test_held_out_accuracy(spark, query, label, least):
+    d = "/root/testdata/sf0.01"
+    got = query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) > 50 and (held.predicted == held[label]).mean() >= least
+    assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+
+
+@pytest.mark.parametrize(("operator", "label"), [(toxicity, "toxic"), (quality_classifier, "quality")])
+def test_models_on_edges(spark, docs, none, operator, label):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(0, 60)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    model = operator.train(docs, labels, F.lit(True))
+    got = operator.scored(docs, model, {"doc_id": F.col("doc_id")})
+    assert got.count() == docs.count() and got.where("score is null or score < 0 or score > 1").count() == 0
+    assert got.where("doc_id = 0").first().score == got.where("doc_id = 1").first().score  # null and empty
+    empty = operator.train(docs, labels.limit(0), F.lit(True))
+    assert {r.predicted for r in operator.scored(docs, empty, {"doc_id": F.col("doc_id")}).collect()} == {0}
+    assert operator.scored(none, model, {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def test_factorization_machine_learns_pairs():
+    """Toxic only where two terms meet: no additive weights part these."""
+    r = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(np.unique(np.array([7] * a + [9] * b + r.integers(100, 140, 5).tolist(), np.int32)))
+        y.append(float(a == b))
+    found = rows + rows
+    old, toxicity.CHI = toxicity.CHI, -1.0
+    try:
+        m = toxicity.fit(found, np.array(y + y), epochs=60)
+    finally:
+        toxicity.CHI = old
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    feature = m.table[np.concatenate(rows)]
+    score = m.raw(row[feature >= 0], feature[feature >= 0], len(rows))[0]
+    assert ((score > 0) == (np.array(y) > 0.5)).mean() > 0.9
+
+
+def test_trees_walk_alike():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(500, len(quality_classifier.STATISTICS)))
+    m = quality_classifier.fit(x, (x[:, 3] * x[:, 5] > 0).astype(float), trees=20)
+    bins = m.binned(x)
+    for i in range(20):
+        total = m.base
+        for f, c, leaf in zip(m.feature, m.cut, m.leaf, strict=True):
+            k = 0
+            for _ in range(quality_classifier.DEPTH):
+                k = 2 * k + (2 if bins[i, f[k]] > c[k] else 1)
+            total += leaf[k - (2**quality_classifier.DEPTH - 1)]
+        assert abs(total - m.raw(bins)[i]) < 1e-9
+
+
+# --- 7 ---
+
+SECRETS = [
+    "password = 'hunter2hunter2x' and TOKEN:abc", "token = secret: abcdefghijklmnop", "é AKIAABCDEFGHIJKLMN AKIA123 0123456789abcdef0", "api_key=sk+live/Aa1Bb2Cc3Dd4Ee5Ff6Gg7", "apikey: x token=deadbeefdeadbeefdeadbeef",
+    "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2Ji1 stands alone",
+]
+
+
+def test_secrets(spark, docs):
+    extra = spark.createDataFrame([(1000 + i, s, "en", f"src{j}", 0) for i, s in enumerate(SECRETS) for j in range(1 + i)], SCHEMA)
+    both = docs.union(extra)
+    against_sql(spark, {"documents": both}, secret_scan.report(both), secret_scan.SQL)
+    by = {r.doc_id: r for r in secret_scan.report(both).collect()}
+    assert by[1000].n_assign == 1
+    assert by[1001].n_assign == 0  # the failing match before it takes the word "secret"
+    assert "example" in by[1005].spans and "live" in by[1000].spans
+
+
+def test_secrets_redacted(spark, docs, none):
+    rows = spark.createDataFrame([(1, SECRETS[0], "en", "a", 10), (2, "nothing here", "en", "a", 12), (3, None, None, None, None)], SCHEMA)
+    got = {r.doc_id: r for r in secret_scan.redact(rows).collect()}
+    assert "hunter2" not in got[1].text and got[1].n_chars == len(got[1].text) and got[2].text == "nothing here" and got[3].text is None
+    assert secret_scan.redact(docs).columns == docs.columns and secret_scan.redact(docs).count() == docs.count() and secret_scan.report(none).count() == 0
+
+
+# --- 8 ---
+
+
+def test_rules(spark, docs, none):
+    got = quality_rules.ledger(docs.select("doc_id", "text"))
+    want = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"), "failures")
+    against_sql(spark, {"documents": docs}, want, quality_rules.SQL)
+    for r in got.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = {g for g in grams if grams.count(g) > 1} if len(grams) < 2000 else set(grams)
+        assert r.n_words == len(w) and r.n_repeat_words == len({i + o for i, g in enumerate(grams) if g in seen for o in range(3)})
+    cut = quality_rules.ablation(got, "v1").collect()
+    bits = [r.failures for r in got.collect()]
+    for i, r in enumerate(cut):
+        assert (r.fails, r.alone, r.n_rows) == (sum(b >> i & 1 for b in bits), sum(b == 1 << i for b in bits), len(bits))
+    assert quality_rules.ledger(none).count() == 0
+
+
+# --- 10 ---
+
+
+def test_licenses(spark, docs, none):
+    extra = spark.createDataFrame([(2000, "MIT-License, the mit\nlicense; Apache LICENSE. GNU general public license"), (2001, "Licensed under CC BY-NC 4.0."), (2002, "SPDX-License-Identifier: Apache-2.0"), (2003, "xmit license mits licenses")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(extra)
+    for r in license_scan.report(both).join(both.dropDuplicates(), "doc_id").collect():
+        low = (r.text or "").translate({c: c + 32 for c in range(65, 91)})
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places, labels = [], set()
+        for phrase, label in license_scan.BASE.items():
+            p = phrase.split()
+            at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
+        assert r.base_labels == ",".join(sorted(labels)) and labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    by = {r.doc_id: r for r in license_scan.report(extra).collect()}
+    assert by[2001].labels == "cc-by-nc" and by[2002].labels == "apache-2.0" and by[2002].score == 1.0 and by[2003].labels == ""
+    assert license_scan.report(none).count() == 0 and len(license_scan.rules()) > 200
+
+
+# --- pipeline and the rest ---
+
+
+def test_stages(spark, docs, none, tmp_path):
+    d = str(tmp_path)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(12, 60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    clash = docs.withColumns({"row": F.lit("r"), "n_words": F.lit(-1), "score": F.lit(2.0), "sig": F.lit(None).cast("int")})
+    for stage in (stages.quality_rules, stages.toxicity, stages.ngram_jaccard_join, stages.secret_scans):
+        out = stage(spark, clash, d)
+        assert out.columns == clash.columns
+        assert out.select("n_words").distinct().count() <= 1
+        assert stage(spark, none, d).count() == 0
+    left = stages.ngram_jaccard_join(spark, docs, d)
+    assert jaccard_join.JaccardJoin(left).links.count() == 0
+    kept = {r.doc_id for r in stages.quality_rules(spark, docs, d).collect()}
+    assert not kept & {0, 1, 2, 3, 8} and 40 in kept
+    assert stages.packing(spark, none, d).count() == 0
+
+
+def test_pipeline_runs():
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "n-gram Jaccard join", "secret scans", "packing"]
+
+
+def test_empty_tables(none):
+    assert jaccard_join.ngram_jaccard_components(none).count() == 0
+    for report in (media.report, packing.pieces, pieces.report):
+        assert report(none).count() == 0
