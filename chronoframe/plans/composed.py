@@ -343,9 +343,9 @@ def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(_edges(spark, sf_dir), 2, 3).select("id", "depth")
 
 
-@query(_BFS.format(25) + " SELECT min(depth)::INT AS hops FROM w WHERE id = 24")
+@query(_BFS.format(25) + " SELECT min(depth)::INT AS hops FROM w WHERE id = 23")
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = graph.shortest_path(_edges(spark, sf_dir), 2, 24)
+    path = graph.shortest_path(_edges(spark, sf_dir), 2, 23)
     return spark.createDataFrame([(len(path) - 1,)], "hops int")
 
 
