@@ -9,12 +9,13 @@ Two texts link when the Jaccard similarity of their sets of k-word shingles reac
 3. A prefix of that order is extended until its *coverage* reaches n - ceil(t * n) + 1: a rare token covers 1, and the
    frequent tokens of a hash group cover all but one of them. Rare tokens are indexed singly, frequent ones as pairs within
    their group: two linked sets then share a single token or a pair (else they would share too few prefix tokens).
-4. Within an index entry each class is first verified against one leader. What is linked by then is joined to
-   components, and only pairs of an entry that lie in different components are verified after that: entries of a few
-   members as pairs, larger ones by pairs of bounded blocks, whose overlaps are matrix products in one task and of which only
-   links that join components come out. A group of thousands of near copies so never becomes rows of pairs, while every link
-   that could join two components is tested. Pairs whose sizes or 2048-bit parities prove them apart are dropped before
-   their texts are fetched.
+4. Pairs whose sizes or 2048-bit parities prove them apart are dropped before their texts are fetched. Within an index entry
+   each class is first verified against one leader, and what is linked joined to components. From then on only pairs of an
+   entry that lie in different components matter: entries of a few members give them as pairs; larger ones are dealt into
+   pairs of bounded blocks, where each member is verified against its nearest by parity, and what may still be linked
+   across components after that is verified by matrix products of the texts' sets, of which only links that join
+   components come out. A group of thousands of near copies so never becomes rows of pairs, while every link that could
+   join two components is tested.
 
 Rows with a null or wordless text have an empty set, and no links. Rows with a null id have no links either, and no component.
 Repeated ids keep all their rows; sets, not ids, are what links.
@@ -42,6 +43,7 @@ _SCAN = "doc_id long, n long, k1 long, k2 long, parity binary, block int, counts
 PARITY_BITS = 2048
 ID_BITS = 23
 _LINK = "a long, b long"
+_UNIT = "sig long, i long, j long, k1 long, c long"
 _CACHE = 1024
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
 PAIR_ROWS = 128
@@ -233,6 +235,59 @@ def _may_link(percent: int):
     return run
 
 
+def _apart(words: np.ndarray, n: np.ndarray, c: np.ndarray, percent: int) -> np.ndarray:
+    """For pairs of a unit's members: how many parity bits differ; a large number where they can't be linked or are in one component."""
+    apart = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
+    size = n[:, None] + n[None, :]
+    may = (c[:, None] != c[None, :]) & (apart <= (100 - percent) * size // (100 + percent))
+    may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    return np.where(may, apart, PARITY_BITS + 1)
+
+
+def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each unit, which stand together."""
+    now, unit = None, []
+    for batch in batches:
+        for sig, i, j, *member in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", *columns)), strict=True):
+            if (sig, i, j) != now:
+                if unit:
+                    yield now, unit
+                now, unit = (sig, i, j), []
+            unit.append(tuple(member))
+    if unit:
+        yield now, unit
+
+
+def _matrix(unit: list[tuple], percent: int) -> np.ndarray:
+    words = np.frombuffer(b"".join(m[3] for m in unit), np.uint64).reshape(len(unit), -1)
+    return _apart(words, np.array([m[2] for m in unit]), np.array([m[1] for m in unit]), percent)
+
+
+def _nearest(percent: int):
+    """Of each member of a unit the pair with that member of another component to which its parity is nearest, if they may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, unit in _units(batches, ["k1", "c", "n", "p"]):
+            apart = _matrix(unit, percent)
+            best = apart.argmin(axis=1)
+            pairs = {tuple(sorted((unit[x][0], unit[y][0]))) for x, y in enumerate(best.tolist()) if apart[x, y] <= PARITY_BITS}
+            yield _links(sorted(pairs))
+
+    return run
+
+
+def _borderline(percent: int):
+    """The members of a unit that may still be linked to one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (sig, i, j), unit in _units(batches, ["k1", "c", "n", "p"]):
+            left = np.flatnonzero((_matrix(unit, percent) <= PARITY_BITS).any(axis=1)).tolist()
+            cols = [[sig] * len(left), [i] * len(left), [j] * len(left), [unit[x][0] for x in left], [unit[x][1] for x in left]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "i", "j", "k1", "c"])
+
+    return run
+
+
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _Sets(k)
@@ -294,18 +349,9 @@ def _join_unit(unit: list[tuple], at: _Sets, percent: int) -> list[tuple[int, in
 
 def _verify_blocks(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, now, unit = _Sets(k), None, []
-        for batch in batches:
-            found = []
-            for part in _bytes_of(batch.column("text")):
-                cols = [batch.column(c)[part].to_pylist() for c in ("sig", "i", "j", "k1", "k2", "c", "text")]
-                for sig, i, j, *member in zip(*cols, strict=True):
-                    if (sig, i, j) != now:
-                        found += _join_unit(unit, at, percent)
-                        now, unit = (sig, i, j), []
-                    unit.append(tuple(member))
-            yield _links(found)
-        yield _links(_join_unit(unit, at, percent))
+        at = _Sets(k)
+        for _, unit in _units(batches, ["k1", "k2", "c", "text"]):
+            yield _links(_join_unit(unit, at, percent))
 
     return run
 
@@ -360,36 +406,47 @@ class JaccardJoin:
             near = near.join(texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("text").alias(f"t{side}")), side)
         return near.select("a", "a2", "ta", "b", "b2", "tb").mapInArrow(_verify(self.k, self.percent), _LINK)
 
-    def _test_blocks(self, entries: DataFrame) -> DataFrame:
-        """Links that join the components ``c`` within large ``entries`` (sig, k1, c, m), m members each.
-
-        Members are dealt into blocks of about BLOCK_ROWS, and each pair of blocks is one bounded unit of work; of a unit
-        only links that join components come out, no pairs.
-        """
-        texts = self._texts(entries.select("k1"))
+    def _dealt(self, entries: DataFrame) -> DataFrame:
+        """Large ``entries`` (sig, k1, c, m) as bounded units (sig, i, j): members go to blocks of about BLOCK_ROWS, and two blocks make a unit."""
         blocks = F.ceil(F.col("m") / BLOCK_ROWS)
         dealt = entries.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("k1"), "blocks"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "k1", "c")
-        units = dealt.join(texts.select("k1", "k2", "text"), "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        return units.mapInArrow(_verify_blocks(self.k, self.percent), _LINK)
+        return dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "k1", "c")
 
-    def _solve(self) -> None:
-        def pair(x: str, y: str) -> list:
-            return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    def _by_parity(self, units: DataFrame, run, schema: str) -> DataFrame:
+        held = units.join(self.parity, "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        return held.mapInArrow(run, schema)
 
-        links = cut(self._test(self.index.where("k1 != leader").select(*pair("k1", "leader"))), "links")
+    def _by_text(self, units: DataFrame) -> DataFrame:
+        """Links that join components ``c`` within units, found from their texts; of a unit only such links come out, no pairs."""
+        texts = self._texts(units.select("k1"))
+        held = units.join(texts, "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        return held.mapInArrow(_verify_blocks(self.k, self.percent), _LINK)
+
+    def _open(self, entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The ``entries`` (sig, k1) whose members lie in different components of ``links``: sig, k1, c, m members each."""
         found = components(links, "a", "b")
-        labelled = self.index.select("sig", "k1").join(found.withColumnRenamed("node", "k1"), "k1", "left")
-        labelled = cut(labelled.select("sig", "k1", F.coalesce("component", "k1").alias("c")), "labelled")
+        labelled = entries.select("sig", "k1").join(found.withColumnRenamed("node", "k1"), "k1", "left")
+        labelled = cut(labelled.select("sig", "k1", F.coalesce("component", "k1").alias("c")), name)
         seal = [F.bit_xor(F.xxhash64("k1", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
         ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), *seal).where("low != high")
         ends = ends.groupBy("m", "low", "high", "x1", "x2").agg(F.min("sig").alias("sig"))  # of entries with the same members one is enough
-        still = cut(labelled.join(ends.select("sig", "m"), "sig"), "open")
+        return cut(labelled.join(ends.select("sig", "m"), "sig"), f"{name}-open")
+
+    def _solve(self) -> None:
+        def pair(x: str, y: str) -> list:
+            return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+        links = cut(self._test(self.index.where("k1 != leader").select(*pair("k1", "leader"))), "links")
+        still = self._open(self.index, links, "first")
         few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
         other = few.select("sig", F.col("k1").alias("l1"), F.col("c").alias("lc"))
-        more = self._test(few.join(other, "sig").where("c < lc").select(*pair("k1", "l1")))
-        self.links = cut(links.union(more).union(self._test_blocks(many)), "links")
+        close = few.join(other, "sig").where("c < lc").select(*pair("k1", "l1"))
+        near = self._by_parity(self._dealt(many), _nearest(self.percent), _LINK)
+        links = cut(links.union(self._test(close.union(near))), "links")
+        still = self._open(many, links, "second")
+        units = cut(self._by_parity(self._dealt(still), _borderline(self.percent), _UNIT), "units")
+        self.links = cut(links.union(self._by_text(units)), "links")
         self.found = cut(components(self.links, "a", "b"), "components")
 
     def result(self) -> DataFrame:
