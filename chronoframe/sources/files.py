@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """With a header row; types are inferred unless a schema is given."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 

@@ -104,22 +104,26 @@ class RateState:
 ANOMALY = "name string, at_ms long, rate double, mean double, sigmas double"
 
 
-def anomalies_batch(writes: DataFrame) -> DataFrame:
-    """Anomalies in (name, at_ms): an ordered fold per name."""
+def anomalies_batch(writes: DataFrame, sigma: float = 3.0) -> DataFrame:
+    """Anomalies in (name, at_ms): an ordered fold per name.
+
+    With alpha 0.1 a single window can't be more than sqrt(0.9 / 0.1) = 3 deviations off, so the customary bar of 3 never
+    passes; a bar below that is of use.
+    """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state = RateState()
+        state = RateState(sigma=sigma)
         found = [(rows["name"].iloc[0], *a) for t in rows["at_ms"].sort_values() if (a := state.write(int(t)))]
         return pd.DataFrame(found, columns=["name", "at_ms", "rate", "mean", "sigmas"])
 
     return writes.groupBy("name").applyInPandas(fold, ANOMALY)
 
 
-def anomalies(writes: DataFrame) -> DataFrame:
+def anomalies(writes: DataFrame, sigma: float = 3.0) -> DataFrame:
     """The same over a stream, with the state kept by the engine."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = RateState(*state.get) if state.exists else RateState()
+        now = RateState(*state.get, sigma=sigma) if state.exists else RateState(sigma=sigma)
         times = sorted(int(t) for b in batches for t in b["at_ms"])
         found = [(key[0], *a) for t in times if (a := now.write(t))]
         state.update((now.total, now.count, now.start_ms, now.mean, now.variance))
