@@ -463,3 +463,18 @@ class JaccardJoin:
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach; null for a null id)."""
     return JaccardJoin(docs, k, percent).result()
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS sh FROM d),
+c AS (SELECT *, md5(array_to_string(sh, chr(10))) AS k, len(sh)::BIGINT AS n FROM s),
+r AS (SELECT k, min(doc_id) AS rep, min(n) AS n, any_value(sh) AS sh FROM c WHERE n > 0 GROUP BY k),
+u AS (SELECT rep, n, unnest(sh) AS g FROM r),
+l AS (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 90 * (min(a.n) + min(b.n) - count(*))),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+t(x, y) AS (SELECT rep, rep FROM r UNION SELECT t.x, e.y FROM t JOIN e ON e.x = t.y),
+m AS (SELECT x, min(y) AS least FROM t GROUP BY x)
+SELECT doc_id, c.n AS n_shingles, coalesce(least, doc_id) AS component_id FROM c LEFT JOIN r USING (k) LEFT JOIN m ON m.x = r.rep
+"""

@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.SQL,
+    "op2_ngram_jaccard_join": jaccard_join.SQL,
     "op7_secret_scan": secret_scan.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
