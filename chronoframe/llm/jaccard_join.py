@@ -46,7 +46,7 @@ _LINK = "a long, b long"
 _UNIT = "sig long, i long, j long, k1 long, c long"
 _CACHE = 1024
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
-PAIR_ROWS = 128
+PAIR_ROWS = 12
 BLOCK_ROWS = 256
 
 
@@ -267,11 +267,12 @@ def _nearest(percent: int):
     """Of each member of a unit the pair with that member of another component to which its parity is nearest, if they may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, unit in _units(batches, ["k1", "c", "n", "p"]):
+        for (sig, *_), unit in _units(batches, ["k1", "c", "n", "p"]):
             apart = _matrix(unit, percent)
             best = apart.argmin(axis=1)
             pairs = {tuple(sorted((unit[x][0], unit[y][0]))) for x, y in enumerate(best.tolist()) if apart[x, y] <= PARITY_BITS}
-            yield _links(sorted(pairs))
+            cols = [[sig] * len(pairs), *([p[i] for p in sorted(pairs)] for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "a", "b"])
 
     return run
 
@@ -395,12 +396,16 @@ class JaccardJoin:
         near = self.docs.where("doc_id is not null").mapInArrow(_with_bits(shared), "rep long, text string")
         return cut(wanted.join(near, "rep").select("k1", "k2", "text"), "texts")
 
-    def _test(self, pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a < b)."""
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (a < b) that sizes and parities leave."""
         pairs = pairs.select("a", "b").distinct()
         for side in ("a", "b"):
             pairs = pairs.join(self.parity.select(F.col("k1").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")), side)
-        near = pairs = cut(pairs.mapInArrow(_may_link(self.percent), _LINK), "pairs")
+        return pairs.mapInArrow(_may_link(self.percent), _LINK)
+
+    def _test(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a < b), from their texts."""
+        near = pairs = cut(pairs.distinct(), "pairs")
         texts = self._texts(pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))))
         for side in ("a", "b"):
             near = near.join(texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("text").alias(f"t{side}")), side)
@@ -437,14 +442,15 @@ class JaccardJoin:
         def pair(x: str, y: str) -> list:
             return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-        links = cut(self._test(self.index.where("k1 != leader").select(*pair("k1", "leader"))), "links")
+        links = cut(self._test(self._likely(self.index.where("k1 != leader").select(*pair("k1", "leader")))), "links")
         still = self._open(self.index, links, "first")
         few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
         other = few.select("sig", F.col("k1").alias("l1"), F.col("c").alias("lc"))
         close = few.join(other, "sig").where("c < lc").select(*pair("k1", "l1"))
-        near = self._by_parity(self._dealt(many), _nearest(self.percent), _LINK)
-        links = cut(links.union(self._test(close.union(near))), "links")
-        still = self._open(many, links, "second")
+        near = cut(self._by_parity(self._dealt(many), _nearest(self.percent), f"sig long, {_LINK}"), "near")
+        links = cut(links.union(self._test(self._likely(close).union(near.select("a", "b")))), "links")
+        doubtful = many.join(near.select("sig").distinct(), "sig", "left_semi")  # in all others parities prove every pair apart
+        still = self._open(doubtful, links, "second")
         units = cut(self._by_parity(self._dealt(still), _borderline(self.percent), _UNIT), "units")
         self.links = cut(links.union(self._by_text(units)), "links")
         self.found = cut(components(self.links, "a", "b"), "components")
