@@ -99,6 +99,18 @@ class Ledger:
         known = temporal.known(self._stored(), self.key)
         self._rewrite(known.where((F.col("known_to") > before) & ~(F.col("is_deleted") & (F.col("known_to") == FOREVER) & (F.col("commit_ts") <= before))).drop("known_to"))
 
+    def reshape(self, columns: list[tuple[str, str, Column]]) -> None:
+        """The table anew with columns (name, type, expression over the old ones), all versions kept."""
+        rows = self._stored().select(*(e.cast(kind).alias(name) for name, kind, e in columns), *META)
+        old = self.schema
+        self.schema = rows.schema
+        self.columns = [c for c, *_ in columns]
+        try:
+            self._rewrite(rows)
+        except Exception:
+            self.schema, self.columns = old, [c for c in old.names if c not in META]
+            raise
+
     def _rewrite(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}.next")
         self.spark.read.schema(self.schema).parquet(f"{self.path}.next").write.mode("overwrite").parquet(self.path)

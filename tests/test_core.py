@@ -269,3 +269,55 @@ def test_every_query_has_columns(spark):
     assert set(catalog.oracle_sql()) <= set(known) and len(known) > 110
     for name in ("agg_pricing_summary", "bt_bitemporal", "ts_gapfill", "fts_bm25", "join_asof"):
         assert known[name](spark, SF).count() > 0
+
+
+def test_statements(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    run = lambda q, *a: rows(e.sql(q, *a))
+    e.sql("CREATE TABLE IF NOT EXISTS users (id INTEGER PRIMARY KEY, name TEXT NOT NULL, age INTEGER, twice INTEGER GENERATED ALWAYS AS (age * 2) STORED)")
+    e.sql("INSERT INTO users (id, name, age) VALUES (1, 'Alice, A', 30), (2, 'Bob', 25)")
+    assert run("SELECT * FROM users") == [(1, "Alice, A", 30, 60), (2, "Bob", 25, 50)]
+    assert run("INSERT INTO users (id, name, age) VALUES (3, 'Eve', 32) RETURNING id, age + 1 AS next") == [(3, 33)]
+    e.sql("INSERT INTO users (id, name, age) VALUES (3, 'Other', 1) ON CONFLICT (id) DO NOTHING")
+    e.sql("INSERT INTO users (id, name, age) VALUES (2, 'x', 1) ON CONFLICT (id) DO UPDATE SET name = 'Robert'")
+    assert run("UPDATE users SET age = age + 1 WHERE id = 1 RETURNING age") == [(31,)]
+    e.sql("DELETE FROM users WHERE id = 3")
+    assert run("SELECT id, name, age FROM users") == [(1, "Alice, A", 31), (2, "Robert", 25)]
+    assert run("SELECT count(*) FROM users AS OF 1") == [(2,)]
+    e.sql("BEGIN")
+    e.sql("INSERT INTO users (id, name, age) VALUES (9, 'Z', 9)")
+    e.sql("ROLLBACK")
+    assert run("SELECT count(*) FROM users") == [(2,)]
+    e.sql("ALTER TABLE users ADD COLUMN city TEXT")
+    e.sql("ALTER TABLE users RENAME COLUMN name TO label")
+    e.sql("ALTER TABLE users DROP COLUMN twice")
+    assert run("SELECT id, label, city FROM users") == [(1, "Alice, A", None), (2, "Robert", None)]
+    e.sql("CREATE VIEW old AS SELECT id FROM users WHERE age > 30")
+    assert run("SELECT * FROM old") == [(1,)]
+    e.sql(f"COPY users TO '{tmp_path}/u' FORMAT CSV")
+    e.sql("CREATE TABLE again (id INTEGER PRIMARY KEY, label TEXT)")
+    e.sql(f"COPY again FROM '{tmp_path}/u' FORMAT CSV")
+    assert run("SELECT * FROM again") == [(1, "Alice, A"), (2, "Robert")]
+    e.sql(f"BACKUP TO '{tmp_path}/b'")
+    e.sql("DELETE FROM again")
+    e.sql(f"RESTORE FROM '{tmp_path}/b'")
+    assert run("SELECT count(*) FROM again") == [(2,)] and {r.status for r in e.sql(f"VERIFY BACKUP '{tmp_path}/b'").collect()} == {"VALID"}
+    e.sql("CREATE TABLE copy AS SELECT id, label FROM users")
+    assert run("DESCRIBE copy") == [("id", "bigint", True), ("label", "string", False)] and e.sql("ANALYZE copy").count() == 2
+    with pytest.raises(ValueError):
+        e.sql("CREATE TABLE users (id INTEGER PRIMARY KEY, x TEXT)")
+
+
+def test_sql_series_and_vectors(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.sql("CREATE TIMESERIES TABLE m (id INTEGER PRIMARY KEY, ts INTEGER, value REAL) WITH (bucket_size='1m')")
+    e.sql("INSERT INTO m VALUES (1, 5, 1.0), (2, 10, 3.0), (3, 130, 5.0)")
+    run = lambda q: rows(e.sql(q))
+    assert run("SELECT TIME_BUCKET('1m', ts) AS b, avg(value) AS v FROM m GROUP BY TIME_BUCKET('1m', ts)") == [(0, 2.0), (120, 5.0)]
+    q = "SELECT TIME_BUCKET_GAPFILL('1m', ts) AS b, {0} AS v FROM m GROUP BY TIME_BUCKET_GAPFILL('1m', ts)"
+    assert run(q.format("avg(value)")) == [(0, 2.0), (120, 5.0), (60, None)] and run(q.format("LOCF(avg(value))"))[2] == (60, 2.0) and run(q.format("INTERPOLATE(avg(value))"))[2] == (60, 3.5)
+    assert run("SELECT FIRST(value, ts) AS f, LAST(value, ts) AS l, STRING_AGG(id, '-') AS s FROM m") == [(1.0, 5.0, "1-2-3")]
+    e.sql("CREATE TABLE items (id INTEGER PRIMARY KEY, vec VECTOR(3))")
+    e.sql("INSERT INTO items VALUES (1, '[1,0,0]'), (2, '[0,1,0]')")
+    assert run("SELECT id, COSINE_SIMILARITY(vec, '[1,0,0]') AS c, VECTOR_DIMS(vec) AS d, VECTOR_NORM(vec) AS n FROM items WHERE id = 1") == [(1, 1.0, 3, 1.0)]
+    assert [r.id for r in e.sql("SELECT id FROM vector_search(items, vec, '[0,1,0]', 1)").collect()] == [2]
