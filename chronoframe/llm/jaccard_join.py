@@ -9,7 +9,7 @@ Two texts link when the Jaccard similarity of their sets of k-word shingles reac
 3. A prefix of that order is extended until its *coverage* reaches n - ceil(t * n) + 1: a rare token covers 1, and the
    frequent tokens of a hash group cover all but one of them. Rare tokens are indexed singly, frequent ones as pairs within
    their group: two linked sets then share a single token or a pair (else they would share too few prefix tokens).
-4. Pairs whose sizes or 2048-bit parities prove them apart are dropped before their texts are fetched. Within an index entry
+4. Pairs whose sizes or parities (hashed bits, four or more a token) prove them apart are dropped before their texts are fetched. Within an index entry
    each class is first verified against one leader, and what is linked joined to components. From then on only pairs of an
    entry that lie in different components matter: entries of a few members give them as pairs; larger ones are dealt into
    pairs of bounded blocks, where each member is verified against its nearest by parity, and what may still be linked
@@ -40,7 +40,9 @@ from ._shared import cut, discard
 COUNTER_BITS = 20
 BLOCK = 4096
 _SCAN = "doc_id long, n long, k1 long, k2 long, parity binary, block int, counts binary"
-PARITY_BITS = 2048
+#: A parity has a power of two of bits: so many a token at least, and so many at least.
+TOKEN_BITS, LEAST_BITS = 4, 1024
+FAR = 1 << 40
 ID_BITS = 23
 _LINK = "a long, b long"
 _UNIT = "sig long, i long, j long, k1 long, c long"
@@ -61,8 +63,19 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 def _parity(s: np.ndarray) -> bytes:
     """Bit i: whether an odd number of the set's tokens hash to i. Two sets differ by at least as many tokens as these bits do."""
-    at = (_words.mix(s) % np.uint64(PARITY_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+    bits = max(LEAST_BITS, 1 << (TOKEN_BITS * len(s) - 1).bit_length())
+    at = (_words.mix(s) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _folded(words: np.ndarray) -> np.ndarray:
+    """Parities of half the bits: those of the hashes modulo half the size."""
+    half = words.shape[1] // 2
+    return words[:, :half] ^ words[:, half:]
+
+
+def _rows_of(parities: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parities), np.uint64).reshape(len(parities), -1)
 
 
 def _bytes_of(column: pa.Array, most: int = 1 << 19) -> Iterator[slice]:
@@ -225,25 +238,25 @@ def _may_link(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for c in ("pa", "pb"))
-            apart = np.bitwise_count(pa_ ^ pb).sum(axis=1, dtype=np.int64)
+            keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
             # a link: (100 + p) * both >= p * (na + nb); they differ by na + nb - 2 * both
             most = (100 - percent) * (na + nb) // (100 + percent)
-            keep = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (apart <= most)
+            pa_, pb = batch.column("pa").to_pylist(), batch.column("pb").to_pylist()
+            kinds: dict[tuple[int, int], list[int]] = {}
+            for i in np.flatnonzero(keep).tolist():
+                kinds.setdefault((len(pa_[i]), len(pb[i])), []).append(i)
+            for at in kinds.values():
+                x, y = _rows_of([pa_[i] for i in at]), _rows_of([pb[i] for i in at])
+                while x.shape[1] > y.shape[1]:
+                    x = _folded(x)
+                while y.shape[1] > x.shape[1]:
+                    y = _folded(y)
+                keep[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[at]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _apart(words: np.ndarray, n: np.ndarray, c: np.ndarray, percent: int) -> np.ndarray:
-    """For pairs of a unit's members: how many parity bits differ; a large number where they can't be linked or are in one component."""
-    apart = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
-    size = n[:, None] + n[None, :]
-    may = (c[:, None] != c[None, :]) & (apart <= (100 - percent) * size // (100 + percent))
-    may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    return np.where(may, apart, PARITY_BITS + 1)
-
-
 def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
     """The rows of each unit, which stand together."""
     now, unit = None, []
@@ -259,8 +272,22 @@ def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tu
 
 
 def _matrix(unit: list[tuple], percent: int) -> np.ndarray:
-    words = np.frombuffer(b"".join(m[3] for m in unit), np.uint64).reshape(len(unit), -1)
-    return _apart(words, np.array([m[2] for m in unit]), np.array([m[1] for m in unit]), percent)
+    """For pairs of a unit's members (k1, c, n, p): how many parity bits differ; FAR where they can't be linked or are in one component."""
+    c, n = np.array([m[1] for m in unit]), np.array([m[2] for m in unit])
+    out = np.full((len(unit), len(unit)), FAR)
+    sizes = np.array([len(m[3]) for m in unit])
+    for size in np.unique(sizes):  # of linked sets one is at most twice the other, so their parities are of one size or next ones
+        own, wide = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
+        both = np.concatenate([own, wide])
+        words = _rows_of([unit[i][3] for i in own])
+        if len(wide):
+            words = np.concatenate([words, _folded(_rows_of([unit[i][3] for i in wide]))])
+        for i, row in zip(own.tolist(), words, strict=False):
+            out[i, both] = out[both, i] = np.bitwise_count(words ^ row).sum(axis=1, dtype=np.int64)
+    total = n[:, None] + n[None, :]
+    may = (c[:, None] != c[None, :]) & (out <= (100 - percent) * total // (100 + percent))
+    may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    return np.where(may, out, FAR)
 
 
 def _nearest(percent: int):
@@ -270,7 +297,7 @@ def _nearest(percent: int):
         for (sig, *_), unit in _units(batches, ["k1", "c", "n", "p"]):
             apart = _matrix(unit, percent)
             best = apart.argmin(axis=1)
-            pairs = {tuple(sorted((unit[x][0], unit[y][0]))) for x, y in enumerate(best.tolist()) if apart[x, y] <= PARITY_BITS}
+            pairs = {tuple(sorted((unit[x][0], unit[y][0]))) for x, y in enumerate(best.tolist()) if apart[x, y] < FAR}
             cols = [[sig] * len(pairs), *([p[i] for p in sorted(pairs)] for i in (0, 1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "a", "b"])
 
@@ -282,7 +309,7 @@ def _borderline(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (sig, i, j), unit in _units(batches, ["k1", "c", "n", "p"]):
-            left = np.flatnonzero((_matrix(unit, percent) <= PARITY_BITS).any(axis=1)).tolist()
+            left = np.flatnonzero((_matrix(unit, percent) < FAR).any(axis=1)).tolist()
             cols = [[sig] * len(left), [i] * len(left), [j] * len(left), [unit[x][0] for x in left], [unit[x][1] for x in left]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "i", "j", "k1", "c"])
 
@@ -365,6 +392,8 @@ class JaccardJoin:
     """
 
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80):
+        if not 50 < percent <= 100:
+            raise ValueError("percent must be over 50")
         self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent
         spark = docs.sparkSession
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -399,6 +428,9 @@ class JaccardJoin:
     def _likely(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs`` (a < b) that sizes and parities leave."""
         pairs = pairs.select("a", "b").distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(self.parity.select(F.col("k1").alias(side), F.col("n").alias(f"m{side}")), side)
+        pairs = pairs.where(100 * F.least("ma", "mb") >= self.percent * F.greatest("ma", "mb")).select("a", "b")
         for side in ("a", "b"):
             pairs = pairs.join(self.parity.select(F.col("k1").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")), side)
         return pairs.mapInArrow(_may_link(self.percent), _LINK)
