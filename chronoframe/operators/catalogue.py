@@ -129,3 +129,36 @@ def suggest_index(plan_text: str, known: set[str]) -> list[str]:
     order = re.search(r"\bORDER\s+BY\b(.*?)(?:\bLIMIT\b|$)", plan_text, re.I | re.S)
     named = re.findall(r"([A-Za-z_]\w*)\s*(?:=|<|>|IN\b|LIKE\b|BETWEEN\b)", where[1] if where else "", re.I) + re.findall(r"[A-Za-z_]\w*", re.sub(r"\b(?:ASC|DESC)\b", "", order[1] if order else "", flags=re.I))
     return sorted({c for c in named if c not in known and c.upper() not in ("AND", "OR", "NOT")})
+
+
+class ModelRegistry:
+    """Model versions with a status and running metrics."""
+
+    STATUSES = ("staging", "production", "archived")
+
+    def __init__(self):
+        self.models: dict[str, dict[int, dict]] = {}
+
+    def register(self, name: str) -> int:
+        versions = self.models.setdefault(name, {})
+        versions[len(versions) + 1] = {"status": "staging", "count": 0, "mean": 0.0}
+        return len(versions)
+
+    def promote(self, name: str, version: int) -> None:
+        """To production; what was there is archived."""
+        for v in self.models[name].values():
+            v["status"] = "archived" if v["status"] == "production" else v["status"]
+        self.models[name][version]["status"] = "production"
+
+    def observe(self, name: str, version: int, metric: float) -> None:
+        m = self.models[name][version]
+        m["count"] += 1
+        m["mean"] += (metric - m["mean"]) / m["count"]
+
+    def production(self, name: str) -> int | None:
+        return next((v for v, m in self.models.get(name, {}).items() if m["status"] == "production"), None)
+
+
+def table_of(registry: ModelRegistry, spark: SparkSession) -> DataFrame:
+    rows = [(n, v, m["status"], m["count"], m["mean"]) for n, versions in registry.models.items() for v, m in versions.items()]
+    return spark.createDataFrame(rows, "name string, version int, status string, count long, mean double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values. Spellings that count, and their weight in the quick score.
 QUICK = [
@@ -65,3 +68,23 @@ def cluster_summary(rows: DataFrame) -> DataFrame:
 
 def top_risks(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("risk_score"), key).limit(n)
+
+
+@F.pandas_udf(T.StringType())
+def flatten_json(docs: pd.Series) -> pd.Series:
+    """``path=value`` of every leaf of a JSON text, sorted by path and joined by spaces; other text as it is."""
+
+    def leaves(path: str, value: object) -> list[str]:
+        if isinstance(value, dict):
+            return [x for k in sorted(value) for x in leaves(f"{path}.{k}" if path else k, value[k])]
+        if isinstance(value, list):
+            return [x for i, v in enumerate(value) for x in leaves(f"{path}[{i}]", v)]
+        return [f"{path}={json.dumps(value) if not isinstance(value, str) else value}"]
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else " ".join(leaves("", json.loads(text)))
+        except ValueError:
+            return text
+
+    return docs.map(one)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -119,3 +121,45 @@ def temporal_search(df: DataFrame, key: str, column: str, query: list[float], at
     """Nearest among the rows valid at ``at``; without a time, among those still valid."""
     now = F.col("valid_to") == 2**63 - 1 if at is None else (F.col("valid_from") <= at) & (F.col("valid_to") > at)
     return search(df.where(now), key, column, query, k, metric)
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def round_to_f16(v: pd.Series) -> pd.Series:
+    """Vectors as they come back from half precision."""
+    return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
+
+
+class ProductQuantizer:
+    """Vectors cut into ``parts`` equal pieces, each stored as the number of its nearest of ``codes`` centres, learnt from a bounded sample."""
+
+    def __init__(self, df: DataFrame, key: str, column: str, parts: int = 8, codes: int = 16, sample_rows: int = 5_000, seed: int = 7):
+        sample = np.array([r[0] for r in df.select(column).orderBy(F.xxhash64(key)).limit(sample_rows).collect()], float)
+        if sample.shape[1] % parts:
+            raise ValueError("parts must divide the dimensions")
+        self.width, self.parts, self.centres = sample.shape[1] // parts, parts, []
+        random = np.random.default_rng(seed)
+        for p in range(parts):
+            x = sample[:, p * self.width : (p + 1) * self.width]
+            c = x[random.choice(len(x), min(codes, len(x)), replace=False)]
+            for _ in range(10):
+                near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+                c = np.array([x[near == i].mean(0) if (near == i).any() else o for i, o in enumerate(c)])
+            self.centres.append(c)
+
+    def encode(self, column: Column) -> Column:
+        """The codes of a vector column."""
+        out = []
+        for p, c in enumerate(self.centres):
+            piece = F.slice(column, p * self.width + 1, self.width)
+            out.append(F.array_min(F.array(*(F.struct(euclidean(piece, literal(x)).alias("d"), F.lit(i).alias("i")) for i, x in enumerate(c.tolist()))))["i"])
+        return F.array(*out)
+
+    def decode(self, codes: Column) -> Column:
+        tables = [F.array(*(literal(x) for x in c.tolist())) for c in self.centres]
+        return F.flatten(F.array(*(F.get(t, F.get(codes, p)) for p, t in enumerate(tables))))
+
+    def distance(self, codes: Column, query: list[float]) -> Column:
+        """The Euclidean distance of coded vectors to a query, from a table of its distances to all centres."""
+        q = np.array(query).reshape(self.parts, self.width)
+        sums = [F.get(literal(((c - q[p]) ** 2).sum(1).tolist()), F.get(codes, p)) for p, c in enumerate(self.centres)]
+        return F.sqrt(sum(sums[1:], sums[0]))

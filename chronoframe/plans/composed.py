@@ -257,6 +257,20 @@ def vec_quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.where(near).select("vec_id", F.round("q.scale", 6).alias("scale"))
 
 
+@query("SELECT vec_id FROM embeddings")
+def vec_quantize_f16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.euclidean(F.col("half"), F.col("embedding")) <= 0.001 * vectors.norm(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").withColumn("half", vectors.round_to_f16("embedding")).where(near).select("vec_id")
+
+
+@query()
+def vec_product_quantizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    pq = vectors.ProductQuantizer(rows, "vec_id", "embedding")
+    coded = rows.select("vec_id", pq.encode(F.col("embedding")).alias("codes"))
+    return coded.select("vec_id", pq.distance(F.col("codes"), _query_vectors(spark, sf_dir, 1)[0]).alias("distance")).orderBy("distance", "vec_id").limit(10)
+
+
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 0)
   SELECT vec_id, round(list_distance(v, qv), 6) AS distance FROM e, q WHERE label <= 3 AND label + 4 > 3 ORDER BY list_distance(v, qv), vec_id LIMIT 5""")
 def vec_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,6 +413,11 @@ def risk_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.cluster_summary(risk.insights(_changes(spark, sf_dir), "doc", "at_ms").withColumn("cluster_id", F.concat_ws("/", "cluster_id", (F.col("event_id") % 5).cast("string")))).select("n", "mean_risk")
 
 
+@query("SELECT event_id, 'k=' || json_extract_string(props, '$.k') AS flat FROM events")
+def risk_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", risk.flatten_json("props").alias("flat"))
+
+
 # --- library, catalogue ---
 
 

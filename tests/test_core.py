@@ -321,3 +321,22 @@ def test_sql_series_and_vectors(spark, tmp_path):
     e.sql("INSERT INTO items VALUES (1, '[1,0,0]'), (2, '[0,1,0]')")
     assert run("SELECT id, COSINE_SIMILARITY(vec, '[1,0,0]') AS c, VECTOR_DIMS(vec) AS d, VECTOR_NORM(vec) AS n FROM items WHERE id = 1") == [(1, 1.0, 3, 1.0)]
     assert [r.id for r in e.sql("SELECT id FROM vector_search(items, vec, '[0,1,0]', 1)").collect()] == [2]
+
+
+def test_quantizers_and_registry(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    pq = vectors.ProductQuantizer(e, "vec_id", "embedding", 16, 32)
+    q = [float(x) for x in e.where("vec_id = 0").first().embedding]
+    coded = e.select("vec_id", "embedding", pq.encode(F.col("embedding")).alias("c"))
+    same = coded.select(F.abs(pq.distance(F.col("c"), q) - vectors.euclidean(pq.decode(F.col("c")), vectors.literal(q))).alias("d")).agg(F.max("d")).first()[0]
+    assert same < 1e-6
+    near = coded.select(F.avg(vectors.euclidean(pq.decode(F.col("c")), F.col("embedding")) / vectors.norm(F.col("embedding")))).first()[0]
+    assert near < 0.8
+    r = catalogue.ModelRegistry()
+    assert (r.register("m"), r.register("m")) == (1, 2) and r.production("m") is None
+    r.promote("m", 1)
+    r.promote("m", 2)
+    r.observe("m", 2, 1.0)
+    r.observe("m", 2, 2.0)
+    assert r.production("m") == 2 and rows(catalogue.table_of(r, spark)) == [("m", 1, "archived", 0, 0.0), ("m", 2, "production", 2, 1.5)]
+    assert one(spark, risk.flatten_json(F.lit('{"b": [1, {"c": "x"}], "a": null}')))[0] == "a=null b[0]=1 b[1].c=x"
