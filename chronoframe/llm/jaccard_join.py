@@ -9,7 +9,7 @@ Two texts link when the Jaccard similarity of their sets of k-word shingles reac
 3. A prefix of that order is extended until its *coverage* reaches n - ceil(t * n) + 1: a rare token covers 1, and the
    frequent tokens of a hash group cover all but one of them. Rare tokens are indexed singly, frequent ones as pairs within
    their group: two linked sets then share a single token or a pair (else they would share too few prefix tokens).
-4. Pairs whose sizes or parities (hashed bits, four or more a token) prove them apart are dropped before their texts are fetched. Within an index entry
+4. Pairs whose sizes or parities (hashed bits, two or more a token) prove them apart are dropped before their texts are fetched. Within an index entry
    each class is first verified against one leader, and what is linked joined to components. From then on only pairs of an
    entry that lie in different components matter: entries of a few members give them as pairs; larger ones are dealt into
    pairs of bounded blocks, where each member is verified against its nearest by parity, and what may still be linked
@@ -41,7 +41,7 @@ COUNTER_BITS = 20
 BLOCK = 4096
 _SCAN = "doc_id long, n long, k1 long, k2 long, parity binary, block int, counts binary"
 #: A parity has a power of two of bits: so many a token at least, and so many at least.
-TOKEN_BITS, LEAST_BITS = 4, 1024
+TOKEN_BITS, LEAST_BITS = 2, 512
 FAR = 1 << 40
 ID_BITS = 23
 _LINK = "a long, b long"
@@ -49,7 +49,7 @@ _UNIT = "sig long, i long, j long, k1 long, c long"
 _CACHE = 1024
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
 PAIR_ROWS = 12
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
 
 
 def _sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
