@@ -50,7 +50,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """(key, score) of documents with a query's stem. Only the query's stems are kept of each text before any shuffle."""
     wanted = F.array_distinct(stems(F.lit(query)))
     rows = docs.select(key, stems(F.col(text)).alias("s"), wanted.alias("q")).withColumn("n", F.size("s"))
-    total = rows.agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean")).first()
+    total = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean")).first()  # stems are as many as tokens
     hits = rows.select(key, "n", F.explode("q").alias("stem"), "s").select(key, "n", "stem", F.size(F.filter("s", lambda x: x == F.col("stem"))).alias("tf")).where("tf > 0")
     df = hits.groupBy("stem").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(total["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
