@@ -144,7 +144,7 @@ def _band(n: int) -> int:
 def signatures(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The index entries of a set ``s``; ``rank`` is 0 for rare tokens and the count of frequent ones."""
     n = len(s)
-    if n - 1 < -(-percent * n // 100):  # a set that differs would be too far off
+    if percent * (n + 1) > 100 * n:  # even a set with just one token more would be too far off, and so would any other that differs
         return s[:0]
     need = _needed(n, percent)
     rare = s[rank == 0]

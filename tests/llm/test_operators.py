@@ -180,6 +180,29 @@ def test_signatures_meet(percent):
         assert len(x) == len(y) == len(np.intersect1d(x, y)) or len(np.intersect1d(a, b))
 
 
+@pytest.mark.parametrize("percent", [51, 60, 75, 80, 90, 95])
+@pytest.mark.parametrize("often", [0, 0.5, 1])
+def test_signatures_meet_by_one(percent, often):
+    """All small sizes, against sets with one token more: those that link share a signature."""
+    r = np.random.default_rng(4)
+    rank = lambda s: np.where((s % np.uint64(1000)) < often * 1000, (s % np.uint64(7)).astype(np.int64) + 1, 0)
+    for n in range(1, 31):
+        for _ in range(20):
+            more = np.unique(r.integers(0, 2**63, n + 1, dtype=np.uint64))
+            less = np.delete(more, r.integers(0, n + 1))
+            a, b = (jaccard_join.signatures(s, rank(s), percent) for s in (less, more))
+            assert 100 * n < percent * (n + 1) or len(np.intersect1d(a, b)), n
+
+
+def test_jaccard_one_shingle_more(spark):
+    """Sets of 9 and 10 at 90 %, of 4 and 5 at 80 %."""
+    for k, percent, n in [(3, 90, 11), (5, 80, 8)]:
+        rows = [(1, prose(31, n)), (2, prose(31, n) + " new"), (3, "new " + prose(32, n)), (4, prose(32, n)), (5, prose(33, n))]
+        got = jaccard_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, k, percent)
+        assert [r.component_id for r in sorted(got)] == [1, 1, 3, 3, 5]
+
+
 # --- 3 ---
 
 
