@@ -406,7 +406,8 @@ class JaccardJoin:
         shared = spark.sparkContext.broadcast(np.minimum(counters, np.iinfo(np.uint32).max).astype(np.uint32))
         signed = cut(self.docs.where("doc_id is not null").mapInArrow(_sign(k, percent, shared, bar), "sig long, k1 long"), "signatures")
         entries = signed.groupBy("sig").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).where("leader != other")
-        self.index = cut(signed.join(entries.select("sig", "leader"), "sig"), "index")
+        # tasks sign on their own, so a class with copies in several comes several times, and must stand once in an entry: seals are XORs
+        self.index = cut(signed.join(entries.select("sig", "leader"), "sig").repartition("sig", "k1").distinct(), "index")
         discard(signed)
         self.classes = self.rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
         self.parity = cut(self.index.select("k1").distinct().join(parity, "k1"), "parities")

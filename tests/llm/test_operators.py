@@ -203,6 +203,17 @@ def test_jaccard_one_shingle_more(spark):
         assert [r.component_id for r in sorted(got)] == [1, 1, 3, 3, 5]
 
 
+def test_jaccard_copies_in_two_tasks(spark):
+    """A class stands once in an entry, however many tasks sign it, so that entries of other members have other seals."""
+    base = prose(41, 120)
+    rows = [(i, edited(base, i, i % 4)) for i in range(8)]
+    rows += [(100 + i, t) for i, t in rows]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    join = jaccard_join.JaccardJoin(df, 3, 90)
+    assert join.index.count() and join.index.groupBy("sig", "k1").count().where("count > 1").count() == 0
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join.result().collect()) == brute_components(rows, 3, 90)
+
+
 # --- 3 ---
 
 
