@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter, in DataFrame expressions only.
 
 A text is reduced to its words (A-Z lower-cased, runs of digits, letters and non-ASCII characters) with single spaces between.
-Rules are regexes over that form, several hundred from the tables below. Only rules whose keyword occurs in a text are
-tried on it, and most texts hold no keyword at all. A detection inside another one's interval is suppressed if the other has
+Rules are regexes over that form, several hundred from the tables below. Only rules of which a keyword occurs in a
+text are tried on it; a rule's keywords are such that it fits no text without one. A detection inside another one's interval is suppressed if the other has
 a higher priority, or the same and is longer (of equal intervals the first rule stays).
 
 The base phrases are found apart from the rules, everywhere they stand, and are never suppressed. A null text is empty: no
@@ -17,16 +17,17 @@ from pyspark.sql import functions as F
 #: Fixed phrases with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: (keyword, name as a regex over words). Names as they stand before or after "license".
+#: label: (keywords between "|", name as a regex over words). Whatever the regex fits holds one of the keywords; words have
+#: single spaces around them. Names as they stand before or after "license".
 FAMILIES: dict[str, tuple[str, str]] = {
     "mit": ("mit", "mit"),
     "mit-0": ("mit", "mit (?:0|no attribution)"),
     "apache-2.0": ("apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
     "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
     "apache-1.0": ("apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 0"),
-    "gpl-2.0": ("public", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?"),
-    "gpl-3.0": ("public", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?"),
-    "lgpl-2.1": ("lesser", "(?:gnu )?(?:lesser|library) general public license(?: version| v)? ?2(?: [01])?"),
+    "gpl-2.0": ("general public| gpl", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?"),
+    "gpl-3.0": ("general public| gpl", "(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?"),
+    "lgpl-2.1": ("lesser|library general", "(?:gnu )?(?:lesser|library) general public license(?: version| v)? ?2(?: [01])?"),
     "lgpl-3.0": ("lesser", "(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?"),
     "agpl-3.0": ("affero", "(?:gnu )?affero general public license(?: version| v)? ?3?(?: 0)?"),
     "fdl-1.3": ("documentation", "(?:gnu )?free documentation license(?: version| v)? ?1 [0-3]"),
@@ -41,15 +42,15 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "epl-2.0": ("eclipse", "eclipse public license(?: version| v)? ?2(?: 0)?"),
     "cddl-1.0": ("common", "common development and distribution license(?: version| v)? ?1?(?: 0)?"),
     "cpl-1.0": ("common", "common public license(?: version| v)? ?1?(?: 0)?"),
-    "cc0-1.0": ("cc", "(?:creative commons zero|cc0)(?: 1 0)?"),
-    "cc-by": ("cc", "(?:creative commons attribution|cc by)(?: [1-4] [05])?"),
-    "cc-by-sa": ("cc", "(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?"),
-    "cc-by-nd": ("cc", "(?:creative commons attribution no ?deriv(?:ative)?s?|cc by nd)(?: [1-4] [05])?"),
-    "cc-by-nc": ("cc", "(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?"),
-    "cc-by-nc-sa": ("cc", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4] [05])?"),
-    "cc-by-nc-nd": ("cc", "(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s?|cc by nc nd)(?: [1-4] [05])?"),
+    "cc0-1.0": ("creative commons| cc0 ", "(?:creative commons zero|cc0)(?: 1 0)?"),
+    "cc-by": ("creative commons| cc by ", "(?:creative commons attribution|cc by)(?: [1-4] [05])?"),
+    "cc-by-sa": ("creative commons| cc by ", "(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?"),
+    "cc-by-nd": ("creative commons| cc by ", "(?:creative commons attribution no ?deriv(?:ative)?s?|cc by nd)(?: [1-4] [05])?"),
+    "cc-by-nc": ("creative commons| cc by ", "(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?"),
+    "cc-by-nc-sa": ("creative commons| cc by ", "(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4] [05])?"),
+    "cc-by-nc-nd": ("creative commons| cc by ", "(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s?|cc by nc nd)(?: [1-4] [05])?"),
     "unlicense": ("unlicense", "unlicense"),
-    "wtfpl": ("wtf", "(?:do what the fuck you want to public|wtfpl)"),
+    "wtfpl": ("do what the fuck|wtfpl", "(?:do what the fuck you want to public|wtfpl)"),
     "zlib": ("zlib", "zlib(?: libpng)?"),
     "bsl-1.0": ("boost", "boost software(?: license)?(?: version| v)? ?1?(?: 0)?"),
     "artistic-1.0": ("artistic", "artistic(?: license)?(?: version| v)? ?1 0"),
@@ -61,12 +62,12 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "eupl-1.2": ("european", "european union public(?: licen[cs]e)?(?: version| v)? ?1? ?[12]?"),
     "osl-3.0": ("open", "open software(?: license)?(?: version| v)? ?3(?: 0)?"),
     "afl-3.0": ("academic", "academic free(?: license)?(?: version| v)? ?3(?: 0)?"),
-    "ncsa": ("illinois", "(?:university of illinois|illinois ncsa|ncsa)(?: open source)?"),
+    "ncsa": ("illinois|ncsa", "(?:university of illinois|illinois ncsa|ncsa)(?: open source)?"),
     "odbl-1.0": ("database", "(?:open database|open data commons open database)(?: license)?"),
     "bsl-1.1": ("business", "business source(?: license)?(?: version| v)? ?1? ?1?"),
     "sspl-1.0": ("server", "server side public(?: license)?(?: version| v)? ?1?"),
     "elastic-2.0": ("elastic", "elastic(?: license)?(?: version| v)? ?2(?: 0)?"),
-    "openrail": ("rail", "(?:open ?rail|responsible ai)(?: m| s)?"),
+    "openrail": ("openrail|open rail|responsible ai ", "(?:open ?rail|responsible ai)(?: m| s)?"),
     "cecill-2.1": ("cecill", "cecill(?: version| v)? ?2? ?1?"),
     "postgresql": ("postgresql", "postgresql"),
 }
@@ -78,14 +79,14 @@ FORMS = [
     (20, 0.8, "licen[sc]e {name}"),
     (10, 0.6, "(?:under|see|with) (?:the )?{name}"),
 ]
-#: Sentences of license texts: (label, keyword, priority, confidence, regex).
+#: Sentences of license texts: (label, keywords, priority, confidence, regex).
 SENTENCES = [
     ("mit", "permission", 60, 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "permission", 60, 0.9, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", 60, 1.0, "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", 61, 1.0, "neither the name of .{1,80}? may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising", 61, 1.0, "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2.0", "apache", 60, 1.0, "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "in compliance", 60, 1.0, "you may not use this file except in compliance with the license"),
     ("gpl", "gnu", 60, 0.9, "under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-2.0-or-later", "version", 61, 0.95, "either version 2 of the license or at your option any later version"),
     ("gpl-3.0-or-later", "version", 61, 0.95, "either version 3 of the license or at your option any later version"),
@@ -101,10 +102,10 @@ SENTENCES = [
 GATE = "licen[sc]|copyright|spdx|gnu |public domain|creative commons|cc by|cc0|redistribution|warrant|permission|rights reserved|confidential| bsd| mozilla| gpl"
 
 
-def rules() -> list[tuple[int, str, str, int, float, str]]:
-    """(id, label, keyword, priority, confidence, regex) in order: the sentences, then every family in every form."""
-    made = [(label, word, p, c, r) for label, word, p, c, r in SENTENCES]
-    made += [(label, word, p, c, r.format(name=name)) for label, (word, name) in FAMILIES.items() for p, c, r in FORMS]
+def rules() -> list[tuple[int, str, list[str], int, float, str]]:
+    """(id, label, keywords, priority, confidence, regex) in order: the sentences, then every family in every form."""
+    made = [(label, words.split("|"), p, c, r) for label, words, p, c, r in SENTENCES]
+    made += [(label, words.split("|"), p, c, r.format(name=name)) for label, (words, name) in FAMILIES.items() for p, c, r in FORMS]
     return [(i, *x) for i, x in enumerate(made)]
 
 
@@ -133,22 +134,22 @@ def _places(norm: Column, pattern: Column, of: Column) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
 
 
-RULE = "struct<id:int,label:string,keyword:string,priority:int,confidence:double,pattern:string>"
+RULE = "struct<id:int,label:string,keywords:array<string>,priority:int,confidence:double,pattern:string>"
 
 
-def _table(rows: list[tuple[int, str, str, int, float, str]]) -> Column:
-    names = ["id", "label", "keyword", "priority", "confidence", "pattern"]
+def _table(rows: list[tuple[int, str, list[str], int, float, str]]) -> Column:
+    names = ["id", "label", "keywords", "priority", "confidence", "pattern"]
     return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in rows))
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, base and found: arrays of (start, end, rule), found after suppression."""
     out = docs.select("doc_id", normal(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("norm"))
-    phrases = _table([(i, label, phrase, 0, 1.0, phrase) for i, (phrase, label) in enumerate(BASE.items())])
+    phrases = _table([(i, label, [phrase], 0, 1.0, phrase) for i, (phrase, label) in enumerate(BASE.items())])
     none = F.array().cast(f"array<struct<start:int,end:int,rule:{RULE}>>")
 
     def tried(table: Column) -> Column:
-        fit = F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))
+        fit = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("norm"), k)))
         return F.flatten(F.transform(fit, lambda r: _places(F.col("norm"), r["pattern"], r)))
 
     base = F.when(F.contains("norm", F.lit(" license ")), tried(phrases)).otherwise(none)

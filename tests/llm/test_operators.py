@@ -473,6 +473,45 @@ def test_licenses(spark, docs, none):
     assert license_scan.report(none).count() == 0 and len(license_scan.rules()) > 200
 
 
+def expansions(pattern: str) -> list[str]:
+    """Every text that the regex fits, with one sample for each wildcard."""
+    from re import _parser
+
+    def of(parts) -> list[str]:
+        out = [""]
+        for op, x in parts:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(x)]
+            elif name == "IN":
+                some = [chr(c) for kind, v in x for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])]
+            elif name == "ANY":
+                some = ["q"]
+            elif name == "SUBPATTERN":
+                some = of(x[-1])
+            elif name == "BRANCH":
+                some = [t for branch in x[1] for t in of(branch)]
+            else:  # an optional part, or at least one of many
+                some = [*([""] if x[0] == 0 else []), *of(x[-1])]
+            out = [a + b for a in out for b in some]
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_keywords_are_implied(spark):
+    """Every alternative of every rule holds one of its keywords."""
+    for label, (words, name) in license_scan.FAMILIES.items():
+        for t in expansions(name):
+            assert any(k in f" {t} " for k in words.split("|")), (label, t)
+    for label, words, *_, pattern in license_scan.SENTENCES:
+        for t in expansions(pattern):
+            assert any(k in f" {t} " for k in words.split("|")), (label, t)
+    rows = list(enumerate(["SPDX-License-Identifier: GPL-2.0", "Licensed under GPL v3", "license: Creative Commons Zero", "Creative Commons Attribution 4.0 license", "NCSA license", "Responsible AI license"]))
+    got = {r.doc_id: r.labels for r in license_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == ["gpl-2.0", "gpl-3.0", "cc0-1.0", "cc-by", "ncsa", "openrail"]
+
+
 # --- pipeline and the rest ---
 
 
