@@ -20,8 +20,8 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: label: (keywords between "|", name as a regex over words). Whatever the regex fits holds one of the keywords; words have
 #: single spaces around them. Names as they stand before or after "license".
 FAMILIES: dict[str, tuple[str, str]] = {
-    "mit": ("mit", "mit"),
-    "mit-0": ("mit", "mit (?:0|no attribution)"),
+    "mit": (" mit ", "mit"),
+    "mit-0": (" mit ", "mit (?:0|no attribution)"),
     "apache-2.0": ("apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
     "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
     "apache-1.0": ("apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 0"),
@@ -30,18 +30,18 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "lgpl-2.1": ("lesser|library general", "(?:gnu )?(?:lesser|library) general public license(?: version| v)? ?2(?: [01])?"),
     "lgpl-3.0": ("lesser", "(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?"),
     "agpl-3.0": ("affero", "(?:gnu )?affero general public license(?: version| v)? ?3?(?: 0)?"),
-    "fdl-1.3": ("documentation", "(?:gnu )?free documentation license(?: version| v)? ?1 [0-3]"),
+    "fdl-1.3": ("free documentation", "(?:gnu )?free documentation license(?: version| v)? ?1 [0-3]"),
     "bsd-2-clause": ("bsd", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
     "bsd-3-clause": ("bsd", "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|modified bsd|revised bsd)"),
     "bsd-4-clause": ("bsd", "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)"),
     "0bsd": ("bsd", "(?:zero clause bsd|0bsd|bsd zero clause)"),
-    "isc": ("isc", "isc"),
+    "isc": (" isc ", "isc"),
     "mpl-1.1": ("mozilla", "mozilla public license(?: version| v)? ?1 1"),
     "mpl-2.0": ("mozilla", "mozilla public license(?: version| v)? ?2(?: 0)?"),
     "epl-1.0": ("eclipse", "eclipse public license(?: version| v)? ?1(?: 0)?"),
     "epl-2.0": ("eclipse", "eclipse public license(?: version| v)? ?2(?: 0)?"),
-    "cddl-1.0": ("common", "common development and distribution license(?: version| v)? ?1?(?: 0)?"),
-    "cpl-1.0": ("common", "common public license(?: version| v)? ?1?(?: 0)?"),
+    "cddl-1.0": ("common development", "common development and distribution license(?: version| v)? ?1?(?: 0)?"),
+    "cpl-1.0": ("common public", "common public license(?: version| v)? ?1?(?: 0)?"),
     "cc0-1.0": ("creative commons| cc0 ", "(?:creative commons zero|cc0)(?: 1 0)?"),
     "cc-by": ("creative commons| cc by ", "(?:creative commons attribution|cc by)(?: [1-4] [05])?"),
     "cc-by-sa": ("creative commons| cc by ", "(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?"),
@@ -52,20 +52,20 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "unlicense": ("unlicense", "unlicense"),
     "wtfpl": ("do what the fuck|wtfpl", "(?:do what the fuck you want to public|wtfpl)"),
     "zlib": ("zlib", "zlib(?: libpng)?"),
-    "bsl-1.0": ("boost", "boost software(?: license)?(?: version| v)? ?1?(?: 0)?"),
+    "bsl-1.0": ("boost software", "boost software(?: license)?(?: version| v)? ?1?(?: 0)?"),
     "artistic-1.0": ("artistic", "artistic(?: license)?(?: version| v)? ?1 0"),
     "artistic-2.0": ("artistic", "artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
-    "psf-2.0": ("python", "python software foundation(?: license)?(?: version| v)? ?2?"),
-    "ofl-1.1": ("font", "(?:sil )?open font(?: license)?(?: version| v)? ?1? ?1?"),
-    "ms-pl": ("microsoft", "microsoft public"),
-    "ms-rl": ("microsoft", "microsoft reciprocal"),
-    "eupl-1.2": ("european", "european union public(?: licen[cs]e)?(?: version| v)? ?1? ?[12]?"),
-    "osl-3.0": ("open", "open software(?: license)?(?: version| v)? ?3(?: 0)?"),
-    "afl-3.0": ("academic", "academic free(?: license)?(?: version| v)? ?3(?: 0)?"),
+    "psf-2.0": ("python software", "python software foundation(?: license)?(?: version| v)? ?2?"),
+    "ofl-1.1": ("open font", "(?:sil )?open font(?: license)?(?: version| v)? ?1? ?1?"),
+    "ms-pl": ("microsoft public", "microsoft public"),
+    "ms-rl": ("microsoft reciprocal", "microsoft reciprocal"),
+    "eupl-1.2": ("european union public", "european union public(?: licen[cs]e)?(?: version| v)? ?1? ?[12]?"),
+    "osl-3.0": ("open software", "open software(?: license)?(?: version| v)? ?3(?: 0)?"),
+    "afl-3.0": ("academic free", "academic free(?: license)?(?: version| v)? ?3(?: 0)?"),
     "ncsa": ("illinois|ncsa", "(?:university of illinois|illinois ncsa|ncsa)(?: open source)?"),
-    "odbl-1.0": ("database", "(?:open database|open data commons open database)(?: license)?"),
-    "bsl-1.1": ("business", "business source(?: license)?(?: version| v)? ?1? ?1?"),
-    "sspl-1.0": ("server", "server side public(?: license)?(?: version| v)? ?1?"),
+    "odbl-1.0": ("open database", "(?:open database|open data commons open database)(?: license)?"),
+    "bsl-1.1": ("business source", "business source(?: license)?(?: version| v)? ?1? ?1?"),
+    "sspl-1.0": ("server side", "server side public(?: license)?(?: version| v)? ?1?"),
     "elastic-2.0": ("elastic", "elastic(?: license)?(?: version| v)? ?2(?: 0)?"),
     "openrail": ("openrail|open rail|responsible ai ", "(?:open ?rail|responsible ai)(?: m| s)?"),
     "cecill-2.1": ("cecill", "cecill(?: version| v)? ?2? ?1?"),
@@ -88,18 +88,16 @@ SENTENCES = [
     ("bsd-4-clause", "advertising", 61, 1.0, "all advertising materials mentioning features or use of this software must display"),
     ("apache-2.0", "in compliance", 60, 1.0, "you may not use this file except in compliance with the license"),
     ("gpl", "gnu", 60, 0.9, "under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl-2.0-or-later", "version", 61, 0.95, "either version 2 of the license or at your option any later version"),
-    ("gpl-3.0-or-later", "version", 61, 0.95, "either version 3 of the license or at your option any later version"),
+    ("gpl-2.0-or-later", "either version", 61, 0.95, "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", "either version", 61, 0.95, "either version 3 of the license or at your option any later version"),
     ("mpl-2.0", "mozilla", 60, 1.0, "this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", "unencumbered", 60, 1.0, "this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public", 15, 0.7, "(?:in|into|to) the public domain"),
+    ("public-domain", "public domain", 15, 0.7, "(?:in|into|to) the public domain"),
     ("zlib", "altered", 60, 0.9, "altered source versions must be plainly marked as such"),
-    ("proprietary", "reserved", 15, 0.5, "all rights reserved"),
-    ("proprietary", "confidential", 15, 0.7, "confidential and proprietary"),
+    ("proprietary", "rights reserved", 15, 0.5, "all rights reserved"),
+    ("proprietary", "confidential and", 15, 0.7, "confidential and proprietary"),
     ("warranty-disclaimer", "warrant", 15, 0.3, "without warrant(?:y|ies) of any kind"),
 ]
-#: A text without any of these has no rule to try.
-GATE = "licen[sc]|copyright|spdx|gnu |public domain|creative commons|cc by|cc0|redistribution|warrant|permission|rights reserved|confidential| bsd| mozilla| gpl"
 
 
 def rules() -> list[tuple[int, str, list[str], int, float, str]]:
@@ -148,12 +146,16 @@ def detect(docs: DataFrame) -> DataFrame:
     phrases = _table([(i, label, [phrase], 0, 1.0, phrase) for i, (phrase, label) in enumerate(BASE.items())])
     none = F.array().cast(f"array<struct<start:int,end:int,rule:{RULE}>>")
 
-    def tried(table: Column) -> Column:
-        fit = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("norm"), k)))
+    made = rules()
+    # each keyword is looked for once; two uses of the column keep it from being computed anew for every rule
+    words = F.array(*map(F.lit, sorted({k for rule in made for k in rule[2]})))
+    out = out.withColumn("held", F.filter(words, lambda k: F.contains(F.col("norm"), k)))
+
+    def tried(fit: Column) -> Column:
         return F.flatten(F.transform(fit, lambda r: _places(F.col("norm"), r["pattern"], r)))
 
-    base = F.when(F.contains("norm", F.lit(" license ")), tried(phrases)).otherwise(none)
-    found = F.when(F.col("norm").rlike(GATE), tried(_table(rules()))).otherwise(none)
+    base = F.when(F.contains("norm", F.lit(" license ")), tried(F.filter(phrases, lambda r: F.contains(F.col("norm"), r["pattern"])))).otherwise(none)
+    found = F.when(F.size("held") > 0, tried(F.filter(_table(made), lambda r: F.arrays_overlap(r["keywords"], F.col("held"))))).otherwise(none)
     out = out.select("doc_id", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), base.alias("base"), found.alias("all"))
 
     def over(t: Column, s: Column) -> Column:

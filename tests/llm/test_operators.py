@@ -512,6 +512,17 @@ def test_license_keywords_are_implied(spark):
     assert [got[i] for i, _ in rows] == ["gpl-2.0", "gpl-3.0", "cc0-1.0", "cc-by", "ncsa", "openrail"]
 
 
+def test_licenses_alone_in_a_text(spark):
+    """Every sentence and every alternative of every form gives a label, with nothing else in the text; other words change nothing."""
+    forms = [f.format(name=name) for *_, f in license_scan.FORMS for name in ("mit", "isc", "zlib", "apache 2 0")]
+    texts = [t for p in [*(r[-1] for r in license_scan.SENTENCES), *forms] for t in expansions(p)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.report(df).collect()}
+    more = {r.doc_id: (r.labels, r.score) for r in license_scan.report(df.withColumn("text", F.concat("text", F.lit(" q licence copyright q")))).collect()}
+    assert [t for i, t in enumerate(texts) if not got[i][0] or not got[i][1]] == []
+    assert got == more
+
+
 # --- pipeline and the rest ---
 
 
