@@ -90,6 +90,26 @@ def test_text(spark):
     assert [r.id for r in text.bm25(df.na.drop(), "id", "t", "data").collect()] == [2]
 
 
+def test_text_queries_take_whole_tables(spark, tmp_path):
+    """Stems and marks of every document, ids of 50 and more, empty, null and long texts too, against plain Python."""
+    import re
+
+    def stem(w):
+        for longer, ends, cut in ((5, ("tion", "ness", "ment"), 4), (5, ("ing",), 3), (4, ("ed", "ly", "es"), 2)):
+            if len(w) > longer and w.endswith(ends):
+                return w[:-cut]
+        return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+    bare = lambda w: re.sub(r"[\W_]", "", w).lower()
+    docs = [(0, "the  Licensed works"), (4, None), (5, "Licenses, and licensing!"), (49, ""), (50, "running tests under a License"), (1000, "漢字 Größe " + "licensed words " * 500)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.marked for r in catalog.queries()["fts_highlight"](spark, str(tmp_path)).collect()}
+    wanted = {stem(w) for w in ("licensing", "licenses", "licensed")}
+    assert got == {i: None if t is None else " ".join(f"<<{w}>>" if stem(bare(w)) in wanted else w for w in t.split()) for i, t in docs}
+    got = {r.doc_id: r.stems for r in catalog.queries()["fts_stems"](spark, str(tmp_path)).collect()}
+    assert got == {i: " ".join(stem(x) for x in map(bare, (t or "").split()) if len(x.encode()) >= 2) or None for i, t in docs}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0])], "id int, v array<float>")
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
