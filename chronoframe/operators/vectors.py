@@ -80,6 +80,14 @@ class InvertedFile:
         order = ((self.centres - np.array(query)) ** 2).sum(1).argsort()[:probes]
         return search(self.rows.where(F.col("cell").isin(order.tolist())), self.key, self.column, query, k, metric)
 
+    def search_all(self, queries: DataFrame, k: int = 10, probes: int = 4, metric: str = "euclidean") -> DataFrame:
+        """(query, key, distance, rank) for each row of ``queries``, which has the index's columns."""
+        near = F.array(*(F.struct(euclidean(F.col(self.column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres.tolist())))
+        asked = queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("asked"), F.explode(F.slice(F.sort_array(near), 1, probes)["i"]).alias("cell"))
+        found = self.rows.join(asked, "cell").select("query", self.key, METRICS[metric](F.col(self.column), F.col("asked")).alias("distance")).where("distance is not null")
+        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", self.key)))
+        return ranked.where(F.col("rank") <= k)
+
 
 def quantize_int8(a: Column) -> Column:
     """(scale, codes): codes are the components by the largest absolute value, times 127."""

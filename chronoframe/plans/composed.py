@@ -246,8 +246,8 @@ def vec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vec_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = vectors.InvertedFile(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
-    return index.search(_query_vectors(spark, sf_dir, 1)[0], 10, 4)
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.InvertedFile(rows, "vec_id", "embedding", 8).search_all(rows.where("vec_id % 50 = 0"), 10, 6)
 
 
 @query("""SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS scale FROM embeddings""")

@@ -131,6 +131,23 @@ def test_ivf_recall(spark):
     assert hit >= 40
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_ivf_query_recall(spark, sf):
+    """The registered search, for every id divisible by 50, against brute force."""
+    import numpy as np
+
+    d = f"/root/testdata/{sf}"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    ids, v = e.vec_id.to_numpy(), np.array(e.embedding.tolist(), float)
+    got = {}
+    for r in catalog.queries()["vec_ivf"](spark, d).collect():
+        got.setdefault(r.query, set()).add(r.vec_id)
+    queries = [i for i in ids if i % 50 == 0]
+    assert set(got) == set(queries)
+    hit = sum(len(got[i] & set(ids[((v - v[ids == i]) ** 2).sum(1).argsort(kind="stable")[:10]])) for i in queries)
+    assert hit >= 0.9 * 10 * len(queries)
+
+
 def test_events(spark):
     schema = "aggregate_id string, event_type string, payload string, ts long, idempotency_key string"
     store = events.append(spark.createDataFrame([], f"{schema}, sequence_num long"), spark.createDataFrame([("a", "made", '{"x": 1, "y": 2}', 1, "k1"), ("a", "changed", '{"x": 5}', 2, None), ("b", "made", "{}", 1, None)], schema))
