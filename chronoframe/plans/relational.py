@@ -89,9 +89,14 @@ SQL: dict[str, str | tuple[str, str]] = {
     "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders",
     "cte_chain": "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT k, s FROM a WHERE s > 500000) SELECT k, round(s, 2) AS s FROM b",
     "cte_recursive": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
-    "cte_hierarchy": """WITH RECURSIVE tree(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL
+    "cte_hierarchy": (
+        """WITH RECURSIVE tree(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL
+        SELECT e.id, depth + 1 FROM tree JOIN (SELECT c_custkey AS id, CAST(floor((c_custkey - 1) / 3) AS BIGINT) AS parent FROM customer) e ON e.parent = tree.id WHERE e.id <> tree.id)
+        SELECT id, depth FROM tree""",
+        """WITH RECURSIVE tree(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL
         SELECT e.id, depth + 1 FROM tree JOIN (SELECT c_custkey AS id, CAST(floor((c_custkey - 1) / 3) AS BIGINT) AS parent FROM customer WHERE c_custkey <= 200) e ON e.parent = tree.id WHERE e.id <> tree.id)
         SELECT id, depth FROM tree""",
+    ),
     "fn_string": (
         """SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS lo, octet_length(c_name) AS bytes, substring(c_name, greatest(3, 1), 4) AS sub,
            replace(c_name, '0', 'o') AS rep, concat_ws('', c_name, NULL, '!') AS cat, concat_ws('-', c_mktsegment, NULL, 'x') AS ws, left(c_name, 3) AS lef, right(c_name, 2) AS rig,

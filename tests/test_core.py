@@ -148,6 +148,20 @@ def test_ivf_query_recall(spark, sf):
     assert hit >= 0.9 * 10 * len(queries)
 
 
+def test_hierarchy_of_all_customers(spark):
+    got = {r.id: r.depth for r in catalog.queries()["cte_hierarchy"](spark, SF).collect()}
+    want = {0: 0}
+    for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").orderBy("c_custkey").collect():
+        if (r.c_custkey - 1) // 3 in want:
+            want[r.c_custkey] = want[(r.c_custkey - 1) // 3] + 1
+    assert got == want
+    many = spark.range(1, 1501).withColumnRenamed("id", "c_custkey")
+    many.createOrReplaceTempView("customer")
+    from chronoframe.plans import relational
+
+    assert spark.sql(relational.texts("cte_hierarchy")[0]).count() == 1501
+
+
 def test_events(spark):
     schema = "aggregate_id string, event_type string, payload string, ts long, idempotency_key string"
     store = events.append(spark.createDataFrame([], f"{schema}, sequence_num long"), spark.createDataFrame([("a", "made", '{"x": 1, "y": 2}', 1, "k1"), ("a", "changed", '{"x": 5}', 2, None), ("b", "made", "{}", 1, None)], schema))
