@@ -61,7 +61,7 @@ def candidates(text: Column) -> Column:
 
 def _looks_live(value: Column) -> Column:
     """Mixed letters and digits, and many different characters for its length."""
-    kinds = F.size(F.array_remove(F.array_distinct(F.split(F.substring(value, 1, 64), "")), ""))
+    kinds = F.size(F.array_remove(F.array_distinct(F.split(value, "")), ""))
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (kinds >= 8)
 
 

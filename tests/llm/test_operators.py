@@ -432,6 +432,16 @@ def test_secrets_redacted(spark, docs, none):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.redact(docs).count() == docs.count() and secret_scan.report(none).count() == 0
 
 
+def test_secrets_behind_padding(spark):
+    """Characters of the whole value count, not those of its first 64."""
+    value = "z" * 64 + "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2"
+    rows = spark.createDataFrame([(1, f"token = {value}", "en", "a", 0), (2, f"see {value} here", "en", "a", 0), (3, "see " + "z1" * 60, "en", "a", 0)], SCHEMA)
+    spans = {r.doc_id: r.spans for r in secret_scan.report(rows).collect()}
+    assert "live:8:" in spans[1] and "live:4:" in spans[2] and spans[3] == ""
+    text = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
+    assert (text[1], text[2], text[3]) == ("token = [SECRET]", "see [SECRET] here", "see " + "z1" * 60)
+
+
 # --- 8 ---
 
 
