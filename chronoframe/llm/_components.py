@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, discard
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -31,14 +31,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node of the undirected ``edges``; the component is its smallest node."""
+    """(node, component) for every node of the undirected ``edges``; the component is its smallest node.
+
+    It reads the last round's files, which ``discard`` removes.
+    """
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or mark[0] == 0:
             break
-        before = mark
-        now = cut(_small_star(_large_star(now)), "edges")
+        before, last = mark, now
+        now = cut(_small_star(_large_star(last)), "edges")
+        discard(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out._written_to = now._written_to
+    return out

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 _BASE = "spark.checkpoint.dir"
 
@@ -16,11 +17,14 @@ _BASE = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (a single machine, tests) a temporary folder is made and set.
+    Only where the setting is missing on a single machine (tests) a temporary folder is made and set; a cluster without it raises, as its
+    executors could not read each other's files.
     """
     found = spark.conf.get(_BASE, None) or spark.sparkContext.getConf().get(_BASE)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"set {_BASE} to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="chronoframe-")
     atexit.register(_remove, made)
     spark.conf.set(_BASE, f"file://{made}")
@@ -46,11 +50,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote for ``df``, once nothing that is still to be read comes from it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*written: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these, once nothing that is still to be read comes from them."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_ids(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The column of ids as long; ids that are no whole numbers raise, as a cast would make them null."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{name} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(name).cast("long").alias(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,55 +1,67 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Two texts link when the Jaccard similarity of their sets of k-word shingles reaches ``percent`` / 100. The join is exact:
-
-1. One pass over the texts digests each text's shingle set (equal sets form a class, which costs one representative
-   from then on) and counts shingles in a fixed table of 2^20 hashed counters: all shingles of all texts, 4 MB at any size.
-2. A shingle whose counter stands well above the mean is *frequent*, any other *rare*. This holds for every size, as the
-   bar follows the mean. The order of tokens is rare before frequent, frequent ones by rising count.
-3. A prefix of that order is extended until its *coverage* reaches n - ceil(t * n) + 1: a rare token covers 1, and the
-   frequent tokens of a hash group cover all but one of them. Rare tokens are indexed singly, frequent ones as pairs within
-   their group: two linked sets then share a single token or a pair (else they would share too few prefix tokens).
-4. Pairs whose sizes or parities (hashed bits, two or more a token) prove them apart are dropped before their texts are fetched. Within an index entry
-   each class is first verified against one leader, and what is linked joined to components. From then on only pairs of an
-   entry that lie in different components matter: entries of a few members give them as pairs; larger ones are dealt into
-   pairs of bounded blocks, where each member is verified against its nearest by parity, and what may still be linked
-   across components after that is verified by matrix products of the texts' sets, of which only links that join
-   components come out. A group of thousands of near copies so never becomes rows of pairs, while every link that could
-   join two components is tested.
+Two texts link when the Jaccard similarity of their sets of k-word shingles reaches ``percent`` / 100 (over 50, as the sizes of linked
+sets then differ by less than a factor of two). The join is exact:
+
+1. One pass over the texts digests each text's shingle set (equal sets form a class, which costs one representative from then on) and
+   reports an extended prefix: sets that link share at least l tokens of prefixes that are l - 1 longer than those which must share one.
+   Reports meet by token; a class with too few tokens that others report too can't link, and is done.
+2. The classes left, mostly copies, report all their tokens. One with too few shared tokens for a link is done as well. What is left is
+   counted truly: a token that over OFTEN reports hold is *frequent*, any other *rare*, at every size of the input.
+3. A prefix in the order rare before frequent, frequent ones by rising count, is extended until its *coverage* reaches
+   n - ceil(t * n) + 1: a rare token covers 1, and the frequent tokens of a hash group cover all but one of them. Rare tokens are indexed
+   singly, frequent ones as pairs within their group: two linked sets then share a single token or a pair (else they would share too few
+   prefix tokens).
+4. Rounds of leaders: in each index entry whose members lie in different components, every member outside the leader's component is
+   paired with the leader; pairs that sizes or parities (hashed bits, two or more a token) prove apart are dropped, the rest verified from
+   their texts, and links contract components. A group of thousands of near copies costs a pair a member, and few rounds.
+5. Entries that stay open go as pairs if they are small. Larger ones are dealt into pairs of bounded blocks, where parities prove most
+   members apart from all of other components; what is left is verified by matrix products of the texts' sets, of which only links that
+   join components come out. So every link that could join two components is tested.
 
 Rows with a null or wordless text have an empty set, and no links. Rows with a null id have no links either, and no component.
-Repeated ids keep all their rows; sets, not ids, are what links.
+Repeated ids keep all their rows; sets, not ids, are what links. Ids are whole numbers; a text that is none raises. A long text's set is
+held whole by the task that reads it; units are bounded by tokens, not by rows alone. Classes are named by two 64-bit digests, and
+by numbers of their own once few are left.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
 from ._components import components
-from ._shared import cut, discard
+from ._shared import cut, discard, whole_ids
 
-COUNTER_BITS = 20
-BLOCK = 4096
-_SCAN = "doc_id long, n long, k1 long, k2 long, parity binary, block int, counts binary"
 #: A parity has a power of two of bits: so many a token at least, and so many at least.
 TOKEN_BITS, LEAST_BITS = 2, 512
 FAR = 1 << 40
-ID_BITS = 23
 _LINK = "a long, b long"
-_UNIT = "sig long, i long, j long, k1 long, c long"
-_CACHE = 1024
-#: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members.
-PAIR_ROWS = 12
-BLOCK_ROWS = 512
+_UNIT = "sig long, i long, j long, id long, c long"
+#: Tokens of sets that a task keeps to use again.
+_CACHE = 1 << 22
+#: Reports go out in runs of at most so many tokens, and classes.
+RUN_TOKENS, RUN_CLASSES = 1 << 20, 1 << 15
+#: Bytes of input behind a block of reports, and the powers of two that the number of blocks stays between.
+BLOCK_BYTES, BLOCK_BITS = 8 << 20, (6, 20)
+#: A token that more classes report is frequent. Frequent tokens are known by TABLE_BITS of their hash: 16 MB at any input.
+OFTEN = 32
+TABLE_BITS = 24
+#: Rounds of leaders at most; they end when one leaves over nine tenths of the rows open.
+ROUNDS = 8
+#: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members, or tokens.
+PAIR_ROWS = 8
+BLOCK_ROWS, BLOCK_TOKENS = 512, 1 << 20
+#: Bits for each wanted id in a filter over ids, and at most in all (a fuller filter only lets more texts through to the join).
+ID_BITS, MOST_BITS = 8, 1 << 28
 
 
 def _sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -81,7 +93,7 @@ def _rows_of(parities: list[bytes]) -> np.ndarray:
 def _bytes_of(column: pa.Array, most: int = 1 << 19) -> Iterator[slice]:
     """Slices of a batch with few bytes each."""
     at = size = 0
-    for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)):
+    for i, n in enumerate(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)):
         if size and size + n > most:
             yield slice(at, i)
             at, size = i, 0
@@ -90,48 +102,6 @@ def _bytes_of(column: pa.Array, most: int = 1 << 19) -> Iterator[slice]:
         yield slice(at, len(column))
 
 
-def _scan(k: int):
-    """Of each row its set's size and digest; of each task the hashed counters of its shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
-        counters = np.zeros(1 << COUNTER_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
-            for part in _bytes_of(batch.column("text")):
-                ids, texts = batch.column("doc_id")[part], batch.column("text")[part].to_pylist()
-                sets = list(_sets(texts, k))
-                keys = [_digest(s) for s in sets]
-                if sets and (together := np.concatenate(sets)).size:
-                    counters += np.bincount((together >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
-                none = len(sets)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array([_parity(s) for s in sets], pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
-        blocks = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counters.reshape(-1, BLOCK)) if c.any()]
-        none = len(blocks)
-        yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64())] * 4 + [pa.nulls(none, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], schema=schema)
-
-    return run
-
-
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            c = np.frombuffer(zlib.decompress(packed), np.int64)
-            total[block] = total[block] + c if block in total else c
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
-
-
-def _counters(scanned: DataFrame) -> np.ndarray:
-    """The counters over all texts: 2^20 of them, whatever the input."""
-    parts = scanned.where("block is not null").select("block", "counts").repartition(16, "block").mapInArrow(_add_blocks, "block int, counts binary")
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for block, counts in parts.collect():
-        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(counts), np.int64)
-    return out
-
-
 def _needed(n: int, percent: int) -> int:
     """The coverage that a set of ``n`` needs."""
     return n - -(-percent * n // 100) + 1
@@ -171,24 +141,247 @@ def signatures(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _sign(k: int, percent: int, shared, bar: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = shared.value, set()
-        schema = pa.schema([("sig", pa.int64()), ("k1", pa.int64())])
+def _prefix(n: int, percent: int) -> int:
+    """How many tokens a set of ``n`` reports, so that it shares ``_shared_least`` with any that it links to."""
+    need = _needed(n, percent)
+    return min(n, need - 1 + _extension(need))
+
+
+def _extension(need: int) -> int:
+    return (3 * need + 3) // 4
+
+
+def _shared_least(n: int, percent: int) -> int:
+    """The reports that a set of ``n`` shares at least with any that it links to, the smallest of which has ceil(t * n) tokens."""
+    return _extension(_needed(-(-percent * n // 100), percent))
+
+
+class _Runs:
+    """Reports of a task: rows (run, block, tokens, held, times) of tokens, and rows (run, found) of what the run itself has twice.
+
+    Tokens lie sorted in blocks of their hash, 32 bits and 8 bits apart; ``held`` is the run's number of the class, or MANY if several hold a
+    token. A class that comes again in a run has its number already.
+    """
+
+    MANY = 0xFFFF
+    COLUMNS = [("run", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("held", pa.binary()), ("times", pa.binary()), ("found", pa.binary())]
+
+    def __init__(self, bits: int):
+        from pyspark import TaskContext
+
+        self.bits, self.run = bits, TaskContext.get().partitionId() << 24
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[tuple[int, int], int] = {}
+        self.tokens: list[np.ndarray] = []
+        self.size = 0
+
+    def full(self) -> bool:
+        return self.size >= RUN_TOKENS or len(self.numbers) >= RUN_CLASSES
+
+    def add(self, key: tuple[int, int], tokens: np.ndarray) -> int:
+        if key not in self.numbers:
+            self.numbers[key] = len(self.numbers)
+            self.tokens.append(tokens)
+            self.size += len(tokens)
+        return self.numbers[key]
+
+    def flush(self) -> Iterator[tuple]:
+        """The run's rows; the next run is a new one."""
+        if self.size:
+            holder = np.repeat(np.arange(len(self.tokens)), [len(t) for t in self.tokens])
+            v = np.concatenate(self.tokens) & np.uint64((1 << (40 + self.bits)) - 1)
+            order = np.argsort(v, kind="stable")
+            v, holder = v[order], holder[order]
+            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            times = np.diff(np.r_[first, len(v)])
+            twice = np.repeat(times > 1, times)
+            if twice.any():
+                yield (self.run, None, None, None, None, _pack_counts(holder[twice]))
+            held = np.where(times > 1, self.MANY, holder[first]).astype("<u2")
+            v, times = v[first], np.minimum(times, 255).astype(np.uint8)
+            block = (v >> np.uint64(40)).astype(np.int64)
+            edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                low = (v[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + ((v[a:b] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+                yield (self.run, int(block[a]), low, held[a:b].tobytes(), zlib.compress(times[a:b].tobytes(), 1), None)
+        self.run += 1
+        self._clear()
+
+
+def _pack_counts(numbers: np.ndarray) -> bytes:
+    """How often each number stands in ``numbers``: numbers, then counts."""
+    u, c = np.unique(numbers, return_counts=True)
+    return u.astype("<u2").tobytes() + c.astype("<u4").tobytes()
+
+
+def _batches_of(rows: Iterator[tuple], columns: list[tuple[str, pa.DataType]], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Record batches of about so many bytes of binaries."""
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        cols = list(zip(*held, strict=True)) or [()] * len(columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, columns, strict=True)], names=[n for n, _ in columns])
+
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= most:
+            yield made()
+            held, size = [], 0
+    yield made()
+
+
+_ROW = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("idx", pa.int64())]
+_SCAN = "doc_id long, n long, k1 long, k2 long, idx long, run long, block long, tokens binary, held binary, times binary, found binary"
+
+
+def _scan(k: int, percent: int, bits: int):
+    """Of each row its set's size and digest, and its class's number in a run; of each run its reports."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        runs = _Runs(bits)
         for batch in batches:
             for part in _bytes_of(batch.column("text")):
-                sigs, keys = [], []
-                for s in _sets(batch.column("text")[part].to_pylist(), k):
+                ids, texts = batch.column("doc_id")[part].to_pylist(), batch.column("text")[part].to_pylist()
+                for doc_id, s in zip(ids, _sets(texts, k), strict=True):
                     key = _digest(s)
-                    if key in seen:
+                    if not len(s) or doc_id is None:
+                        yield (doc_id, len(s), *key, None, None, *[None] * 5)
                         continue
-                    seen.add(key)
-                    count = counters[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                    got = signatures(s, np.where(count > bar, count, 0), percent)
+                    yield (doc_id, len(s), *key, runs.add(key, s[: _prefix(len(s), percent)]), runs.run, *[None] * 5)
+                    if runs.full():
+                        for row in runs.flush():
+                            yield (*[None] * 5, *row)
+        for row in runs.flush():
+            yield (*[None] * 5, *row)
+
+    return lambda batches: _batches_of(rows(batches), [*_ROW, *_Runs.COLUMNS])
+
+
+def _scan_all(k: int, bits: int):
+    """As ``_scan`` over classes (id, text), with all their tokens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        runs = _Runs(bits)
+        for batch in batches:
+            for part in _bytes_of(batch.column("text")):
+                for name, s in zip(batch.column("id")[part].to_pylist(), _sets(batch.column("text")[part].to_pylist(), k), strict=True):
+                    yield (name, len(s), 0, 0, runs.add((name, 0), s), runs.run, *[None] * 5)
+                    if runs.full():
+                        for row in runs.flush():
+                            yield (*[None] * 5, *row)
+        for row in runs.flush():
+            yield (*[None] * 5, *row)
+
+    return lambda batches: _batches_of(rows(batches), [*_ROW, *_Runs.COLUMNS])
+
+
+def _together(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each key, which stand together."""
+    now, held = None, []
+    for batch in batches:
+        for name, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if name != now and held:
+                yield now, held
+                held = []
+            now = name
+            held.append(tuple(row))
+    if held:
+        yield now, held
+
+
+def _meet(bits: int):
+    """Of the reports of each block: per run the numbers of the classes whose tokens other runs report too, and the block's frequent tokens.
+
+    The latter as a table of the block's part of the 2^TABLE_BITS hashes: the bit length of the largest count, 0 without a frequent token.
+    """
+    width = TABLE_BITS - bits
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for block, parts in _together(batches, "block", ["run", "tokens", "held", "times"]):
+            sizes = [len(t) // 5 for _, t, *_ in parts]
+            v = np.concatenate([np.frombuffer(t, "<u4", n).astype(np.uint64) | (np.frombuffer(t, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)) for n, (_, t, *_) in zip(sizes, parts, strict=True)])
+            held = np.concatenate([np.frombuffer(h, "<u2") for *_, h, _ in parts])
+            times = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for *_, x in parts])
+            order = np.argsort(v, kind="stable")
+            v = v[order]
+            first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            runs = np.diff(np.r_[first, len(v)])
+            twice = np.zeros(len(v), bool)
+            twice[order] = np.repeat(runs > 1, runs)
+            twice &= held != _Runs.MANY  # whose holders count such tokens themselves
+            for (run, *_), a, n in zip(parts, np.cumsum([0, *sizes]).tolist(), sizes, strict=False):
+                if (hit := held[a : a + n][twice[a : a + n]]).size:
+                    yield (run, _pack_counts(hit), None, None)
+            total = np.add.reduceat(times[order].astype(np.int64), first)
+            if (often := total > OFTEN).any():
+                table = np.zeros(1 << width, np.uint8)
+                np.maximum.at(table, (v[first][often] >> np.uint64(40 - width)).astype(np.int64), np.bitwise_count(_below(total[often])).astype(np.uint8))
+                yield (None, None, block, zlib.compress(table.tobytes(), 1))
+
+    return lambda batches: _batches_of(rows(batches), [("run", pa.int64()), ("found", pa.binary()), ("block", pa.int64()), ("often", pa.binary())])
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """All bits from the highest one of each down: as many as its bit length."""
+    for i in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> i)
+    return x
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per run and class number how many of its tokens others hold too."""
+
+    def rows() -> Iterator[tuple]:
+        for run, parts in _together(batches, "run", ["found"]):
+            total = np.zeros(_Runs.MANY + 1, np.int64)
+            for (packed,) in parts:
+                n = len(packed) // 6
+                total[np.frombuffer(packed, "<u2", n)] += np.frombuffer(packed, "<u4", n, 2 * n)
+            at = np.flatnonzero(total)
+            yield from zip([run] * len(at), at.tolist(), total[at].tolist(), strict=True)
+
+    return _batches_of(rows(), [("run", pa.int64()), ("idx", pa.int64()), ("shared", pa.int64())])
+
+
+def block_bits(docs: DataFrame) -> int:
+    """How many bits name a block of reports: more for larger inputs, by the size that the plan states."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    low, high = BLOCK_BITS
+    return 10 if size >= 1 << 60 else max(low, min(high, (size // BLOCK_BYTES).bit_length()))
+
+
+def _shared(scanned: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of the reports in ``scanned``: (run, idx, shared), and (block, often), written out."""
+    reports = scanned.where("block is not null").select("block", "run", "tokens", "held", "times")
+    met = cut(reports.repartition("block").sortWithinPartitions("block").mapInArrow(_meet(bits), "run long, found binary, block long, often binary"), "met")
+    found = met.where("run is not null").select("run", "found").union(scanned.where("found is not null").select("run", "found"))
+    return found.repartition("run").sortWithinPartitions("run").mapInArrow(_sums, "run long, idx long, shared long"), met
+
+
+def _frequent(met: DataFrame, bits: int) -> np.ndarray:
+    """The table of frequent tokens, 2^TABLE_BITS bytes at any input."""
+    table = np.zeros((1 << bits, 1 << (TABLE_BITS - bits)), np.uint8)
+    for block, packed in met.where("often is not null").select("block", "often").toLocalIterator():
+        table[block] = np.frombuffer(zlib.decompress(bytes(packed)), np.uint8)
+    return table.reshape(-1)
+
+
+def _sign(k: int, percent: int, shared, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        for batch in batches:
+            for part in _bytes_of(batch.column("text")):
+                sigs, names = [], []
+                for name, s in zip(batch.column("id")[part].to_pylist(), _sets(batch.column("text")[part].to_pylist(), k), strict=True):
+                    v = s & np.uint64((1 << (40 + bits)) - 1)
+                    got = signatures(s, table[(v >> np.uint64(40 + bits - TABLE_BITS)).astype(np.int64)].astype(np.int64), percent)
                     sigs.append(got)
-                    keys.append(np.full(len(got), key[0], np.int64))
+                    names.append(np.full(len(got), name, np.int64))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], names=["sig", "id"])
 
     return run
 
@@ -197,37 +390,65 @@ class _Sets:
     """The sets of the classes that a task met last, found again from their texts."""
 
     def __init__(self, k: int):
-        self.k, self.kept = k, {}
+        self.k, self.kept, self.size = k, {}, 0
 
-    def __call__(self, key: tuple[int, int], text: str) -> np.ndarray | None:
-        if key not in self.kept:
-            if len(self.kept) >= _CACHE:
-                del self.kept[next(iter(self.kept))]
+    def __call__(self, name: int, text: str) -> np.ndarray:
+        if name not in self.kept:
             s = next(_sets([text], self.k))
-            self.kept[key] = s if _digest(s) == key else None  # else another row's text under a repeated id
-        return self.kept[key]
+            while self.kept and self.size + len(s) > _CACHE:
+                self.size -= len(self.kept.pop(next(iter(self.kept))))
+            self.kept[name] = s
+            self.size += len(s)
+        return self.kept[name]
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _id_at(ids: pa.Array) -> np.ndarray:
-    return (_words.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+def _id_at(ids: pa.Array, bits: int) -> np.ndarray:
+    return (_words.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _id_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros(1 << ID_BITS, bool)
-    for batch in batches:
-        held[_id_at(batch.column("rep"))] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
+def _id_bits(bits: int):
+    """The bytes of the filter in which ids set bits, as rows of 2^12 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _together(batches, "part", ["at"]):
+            held = np.zeros(1 << 12, bool)
+            held[[at for (at,) in rows]] = True
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_id_at(batch.column("rep"), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 12), pa.array(at & 0xFFF)], names=["part", "at"])
+
+    return places, run
 
 
-def _with_bits(shared):
+def _with_bits(shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(shared.value).astype(bool)
+        held = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(held[_id_at(batch.column("doc_id"))])).rename_columns(["rep", "text"])
+            at = _id_at(batch.column("doc_id"), bits)
+            yield batch.filter(pa.array((held[at >> 3] >> (7 - (at & 7))) & 1 == 1)).rename_columns(["rep", "text"])
+
+    return run
+
+
+def _match(k: int):
+    """Texts (id, n, k1, k2, text) whose set is that of their class, with the set's parity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _bytes_of(batch.column("text")):
+                b = batch.slice(part.start, part.stop - part.start)
+                sets = list(_sets(b.column("text").to_pylist(), k))
+                keys = list(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True))
+                ok = pa.array([_digest(s) == key for s, key in zip(sets, keys, strict=True)], pa.bool_())  # else another row's text under a repeated id
+                out = pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array([_parity(s) for s in sets], pa.binary()), b.column("text")], names=["id", "n", "p", "text"])
+                yield out.filter(ok)
 
     return run
 
@@ -272,7 +493,7 @@ def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tu
 
 
 def _matrix(unit: list[tuple], percent: int) -> np.ndarray:
-    """For pairs of a unit's members (k1, c, n, p): how many parity bits differ; FAR where they can't be linked or are in one component."""
+    """For pairs of a unit's members (id, c, n, p): how many parity bits differ; FAR where they can't be linked or are in one component."""
     c, n = np.array([m[1] for m in unit]), np.array([m[2] for m in unit])
     out = np.full((len(unit), len(unit)), FAR)
     sizes = np.array([len(m[3]) for m in unit])
@@ -290,28 +511,14 @@ def _matrix(unit: list[tuple], percent: int) -> np.ndarray:
     return np.where(may, out, FAR)
 
 
-def _nearest(percent: int):
-    """Of each member of a unit the pair with that member of another component to which its parity is nearest, if they may be linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (sig, *_), unit in _units(batches, ["k1", "c", "n", "p"]):
-            apart = _matrix(unit, percent)
-            best = apart.argmin(axis=1)
-            pairs = {tuple(sorted((unit[x][0], unit[y][0]))) for x, y in enumerate(best.tolist()) if apart[x, y] < FAR}
-            cols = [[sig] * len(pairs), *([p[i] for p in sorted(pairs)] for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "a", "b"])
-
-    return run
-
-
 def _borderline(percent: int):
     """The members of a unit that may still be linked to one of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (sig, i, j), unit in _units(batches, ["k1", "c", "n", "p"]):
+        for (sig, i, j), unit in _units(batches, ["id", "c", "n", "p"]):
             left = np.flatnonzero((_matrix(unit, percent) < FAR).any(axis=1)).tolist()
             cols = [[sig] * len(left), [i] * len(left), [j] * len(left), [unit[x][0] for x in left], [unit[x][1] for x in left]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "i", "j", "k1", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "i", "j", "id", "c"])
 
     return run
 
@@ -322,10 +529,9 @@ def _verify(k: int, percent: int):
         for batch in batches:
             found = []
             for part in _bytes_of(batch.column("ta")):
-                cols = [batch.column(c)[part].to_pylist() for c in ("a", "a2", "ta", "b", "b2", "tb")]
-                for a, a2, ta, b, b2, tb in zip(*cols, strict=True):
-                    if (x := at((a, a2), ta)) is None or (y := at((b, b2), tb)) is None:
-                        continue
+                cols = [batch.column(c)[part].to_pylist() for c in ("a", "ta", "b", "tb")]
+                for a, ta, b, tb in zip(*cols, strict=True):
+                    x, y = at(a, ta), at(b, tb)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         found.append((a, b))
@@ -353,7 +559,7 @@ def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
 
 def _join_unit(unit: list[tuple], at: _Sets, percent: int) -> list[tuple[int, int]]:
     """Links between members of different components, as few as join all that the unit's links join."""
-    members = [(k1, c, s) for k1, k2, c, text in unit if (s := at((k1, k2), text)) is not None]
+    members = [(name, c, at(name, text)) for name, c, text in unit]
     if len({c for _, c, _ in members}) < 2:
         return []
     both = _overlaps([s for *_, s in members])
@@ -378,7 +584,7 @@ def _join_unit(unit: list[tuple], at: _Sets, percent: int) -> list[tuple[int, in
 def _verify_blocks(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _Sets(k)
-        for _, unit in _units(batches, ["k1", "k2", "c", "text"]):
+        for _, unit in _units(batches, ["id", "c", "text"]):
             yield _links(_join_unit(unit, at, percent))
 
     return run
@@ -387,114 +593,154 @@ def _verify_blocks(k: int, percent: int):
 class JaccardJoin:
     """The join over ``docs`` (doc_id, text; other columns are not read).
 
-    ``rows``: doc_id, n, k1, k2 per input row, where (k1, k2) names its set. ``links``: pairs of classes (a, b as k1) that are
-    linked, enough of them to join what links join. ``result()``: doc_id, n_shingles, component_id per input row.
+    ``rows``: doc_id, n, k1, k2 per input row, where (k1, k2) names its set. ``classes``: id, k1, k2, rep, n of the sets that may link.
+    ``links``: pairs of such classes (a, b as id) that are linked, enough of them to join what links join. ``result()``: doc_id, n_shingles,
+    component_id per input row, from files that stay until the folder is cleaned; all others are deleted once read.
     """
 
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80):
         if not 50 < percent <= 100:
             raise ValueError("percent must be over 50")
-        self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent
-        spark = docs.sparkSession
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-        scanned = cut(self.docs.mapInArrow(_scan(k), _SCAN), "sets")
-        self.rows = scanned.where("block is null").select("doc_id", "n", "k1", "k2")
-        parity = scanned.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("parity").alias("p")).drop("k2")
-        counters = _counters(scanned)
-        mean = counters.sum() / len(counters)
-        bar = math.ceil(mean + 8 * math.sqrt(mean) + 32)
-        shared = spark.sparkContext.broadcast(np.minimum(counters, np.iinfo(np.uint32).max).astype(np.uint32))
-        signed = cut(self.docs.where("doc_id is not null").mapInArrow(_sign(k, percent, shared, bar), "sig long, k1 long"), "signatures")
-        entries = signed.groupBy("sig").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).where("leader != other")
-        # tasks sign on their own, so a class with copies in several comes several times, and must stand once in an entry: seals are XORs
-        self.index = cut(signed.join(entries.select("sig", "leader"), "sig").repartition("sig", "k1").distinct(), "index")
-        discard(signed)
-        self.classes = self.rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-        self.parity = cut(self.index.select("k1").distinct().join(parity, "k1"), "parities")
+        self.docs, self.k, self.percent = docs.select(whole_ids(docs, "doc_id"), F.col("text").cast("string").alias("text")), k, percent
+        self.spark = docs.sparkSession
+        scanned, self.rows = self._scanned()
+        self.texts = self._left(scanned)
+        discard(scanned)
+        self.index = self._indexed()
         self._solve()
-
-    def _texts(self, ends: DataFrame) -> DataFrame:
-        """(k1, k2, text) of the classes in ``ends`` (k1).
-
-        A bitmap of their ids' hashes, 1 MB at any size, keeps most other texts out of the join's shuffle.
-        """
-        wanted = cut(ends.distinct().join(self.classes, "k1").select("k1", "k2", "rep"), "wanted")
-        bits = np.zeros(1 << (ID_BITS - 3), np.uint8)
-        for (part,) in wanted.select("rep").coalesce(4).mapInArrow(_id_bits, "bits binary").collect():
-            bits |= np.frombuffer(bytes(part), np.uint8)
-        shared = self.docs.sparkSession.sparkContext.broadcast(bits)
-        near = self.docs.where("doc_id is not null").mapInArrow(_with_bits(shared), "rep long, text string")
-        return cut(wanted.join(near, "rep").select("k1", "k2", "text"), "texts")
+        discard(self.texts, self.index, self.parity)
+
+    def _least(self, n: str) -> str:
+        """ceil(t * n) in SQL."""
+        return f"(({self.percent} * {n} + 99) div 100)"
+
+    def _scanned(self) -> tuple[DataFrame, DataFrame]:
+        self.bits = block_bits(self.docs)
+        scanned = cut(self.docs.mapInArrow(_scan(self.k, self.percent, self.bits), _SCAN), "scan")
+        rows = scanned.where("k1 is not null").select("doc_id", "n", "k1", "k2", "idx", "run")
+        return scanned, cut(rows, "rows")
+
+    def _left(self, scanned: DataFrame) -> DataFrame:
+        """(id, n, p, text) of the classes that share enough of their reports with others to be linked to one."""
+        percent = self.percent
+        counts, met = _shared(scanned, self.bits)
+        small = self._least("n")
+        need = f"({small} - (({percent} * {small} + 99) div 100) + 1)"
+        kept = self.rows.join(counts, ["run", "idx"]).where(f"shared >= (3 * {need} + 3) div 4").select("k1", "k2").distinct()
+        reps = self.rows.where("idx is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+        self.classes = cut(reps.join(kept, ["k1", "k2"]).withColumn("id", F.monotonically_increasing_id()), "classes")
+        discard(met)
+        near = self._near(self.classes.select("rep"), self.classes.count()).join(self.classes, "rep").select("rep", "id", "n", "k1", "k2", "text").distinct()
+        texts = cut(near.mapInArrow(_match(self.k), "id long, n long, p binary, text string"), "texts")
+        again = cut(texts.select("id", "text").mapInArrow(_scan_all(self.k, self.bits), _SCAN), "scan-again")
+        counts, met = _shared(again, self.bits)
+        kept = again.where("k1 is not null").join(counts, ["run", "idx"]).where(f"shared >= {self._least('n')}").select(F.col("doc_id").alias("id"))
+        out = cut(texts.join(kept, "id", "left_semi"), "texts-left")
+        self.table = self.spark.sparkContext.broadcast(zlib.compress(_frequent(met, self.bits).tobytes(), 1))
+        discard(texts, again, met)
+        return out
+
+    def _near(self, wanted: DataFrame, n: int) -> DataFrame:
+        """(rep, text) of the rows whose id is wanted (rep), and a few more: what a filter of 8 bits an id, 32 MB at most, lets through."""
+        bits = max(12, min(MOST_BITS.bit_length() - 1, (ID_BITS * n).bit_length()))
+        places, ones = _id_bits(bits)
+        parts = wanted.mapInArrow(places, "part long, at long").repartition("part").sortWithinPartitions("part").mapInArrow(ones, "part long, bits binary")
+        held = np.zeros((1 << (bits - 12), 1 << 9), np.uint8)
+        for part, packed in parts.toLocalIterator():
+            held[part] = np.frombuffer(bytes(packed), np.uint8)
+        shared = self.spark.sparkContext.broadcast(zlib.compress(held.tobytes(), 1))
+        return self.docs.where("doc_id is not null").mapInArrow(_with_bits(shared, bits), "rep long, text string")
+
+    def _indexed(self) -> DataFrame:
+        """(sig, id, n): the entries that two classes or more share."""
+        signed = cut(self.texts.select("id", "text").mapInArrow(_sign(self.k, self.percent, self.table, self.bits), "sig long, id long"), "signatures")
+        entries = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("sig")
+        self.parity = cut(self.texts.select("id", "n", "p"), "parities")
+        out = cut(signed.join(entries, "sig").join(self.parity.select("id", "n"), "id").select("sig", "id", "n"), "index")
+        discard(signed)
+        return out
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs`` (a < b) that sizes and parities leave."""
-        pairs = pairs.select("a", "b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(self.parity.select(F.col("k1").alias(side), F.col("n").alias(f"m{side}")), side)
-        pairs = pairs.where(100 * F.least("ma", "mb") >= self.percent * F.greatest("ma", "mb")).select("a", "b")
         for side in ("a", "b"):
-            pairs = pairs.join(self.parity.select(F.col("k1").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")), side)
+            pairs = pairs.join(self.parity.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")), side)
         return pairs.mapInArrow(_may_link(self.percent), _LINK)
 
     def _test(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a < b), from their texts."""
-        near = pairs = cut(pairs.distinct(), "pairs")
-        texts = self._texts(pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))))
+        near = cut(self._likely(pairs.distinct()), "pairs")
+        self.spent.append(near)
         for side in ("a", "b"):
-            near = near.join(texts.select(F.col("k1").alias(side), F.col("k2").alias(f"{side}2"), F.col("text").alias(f"t{side}")), side)
-        return near.select("a", "a2", "ta", "b", "b2", "tb").mapInArrow(_verify(self.k, self.percent), _LINK)
+            near = near.join(self.texts.select(F.col("id").alias(side), F.col("text").alias(f"t{side}")), side)
+        return near.select("a", "ta", "b", "tb").mapInArrow(_verify(self.k, self.percent), _LINK)
 
     def _dealt(self, entries: DataFrame) -> DataFrame:
-        """Large ``entries`` (sig, k1, c, m) as bounded units (sig, i, j): members go to blocks of about BLOCK_ROWS, and two blocks make a unit."""
-        blocks = F.ceil(F.col("m") / BLOCK_ROWS)
-        dealt = entries.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("k1"), "blocks"))
+        """Large ``entries`` (sig, id, c, m, tokens) as bounded units (sig, i, j): members go to blocks of about BLOCK_ROWS or BLOCK_TOKENS, and two blocks make a unit."""
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+        dealt = entries.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        return dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "k1", "c")
-
-    def _by_parity(self, units: DataFrame, run, schema: str) -> DataFrame:
-        held = units.join(self.parity, "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        return held.mapInArrow(run, schema)
-
-    def _by_text(self, units: DataFrame) -> DataFrame:
-        """Links that join components ``c`` within units, found from their texts; of a unit only such links come out, no pairs."""
-        texts = self._texts(units.select("k1"))
-        held = units.join(texts, "k1").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        return held.mapInArrow(_verify_blocks(self.k, self.percent), _LINK)
-
-    def _open(self, entries: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        """The ``entries`` (sig, k1) whose members lie in different components of ``links``: sig, k1, c, m members each."""
-        found = components(links, "a", "b")
-        labelled = entries.select("sig", "k1").join(found.withColumnRenamed("node", "k1"), "k1", "left")
-        labelled = cut(labelled.select("sig", "k1", F.coalesce("component", "k1").alias("c")), name)
-        seal = [F.bit_xor(F.xxhash64("k1", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-        ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), *seal).where("low != high")
-        ends = ends.groupBy("m", "low", "high", "x1", "x2").agg(F.min("sig").alias("sig"))  # of entries with the same members one is enough
-        return cut(labelled.join(ends.select("sig", "m"), "sig"), f"{name}-open")
+        return dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "c")
+
+    def _open(self, entries: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
+        """The ``entries`` (sig, id, n) whose members lie in different components of ``links``: sig, id, n, c, m members, tokens."""
+        labelled = entries.select("sig", "id", "n", F.col("id").alias("c"))
+        if links is not None:
+            found = components(links, "a", "b")
+            self.spent.append(found)
+            labelled = entries.select("sig", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c"))
+        seal = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+        ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.sum("n").alias("tokens"), *seal).where("low != high")
+        ends = ends.groupBy("m", "tokens", "low", "high", "x1", "x2").agg(F.min("sig").alias("sig"))  # of entries with the same members one is enough
+        out = cut(labelled.join(ends.select("sig", "m", "tokens"), "sig"), name)
+        self.spent.append(out)
+        return out
 
     def _solve(self) -> None:
         def pair(x: str, y: str) -> list:
             return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-        links = cut(self._test(self._likely(self.index.where("k1 != leader").select(*pair("k1", "leader")))), "links")
-        still = self._open(self.index, links, "first")
-        few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
-        other = few.select("sig", F.col("k1").alias("l1"), F.col("c").alias("lc"))
-        close = few.join(other, "sig").where("c < lc").select(*pair("k1", "l1"))
-        near = cut(self._by_parity(self._dealt(many), _nearest(self.percent), f"sig long, {_LINK}"), "near")
-        links = cut(links.union(self._test(self._likely(close).union(near.select("a", "b")))), "links")
-        doubtful = many.join(near.select("sig").distinct(), "sig", "left_semi")  # in all others parities prove every pair apart
-        still = self._open(doubtful, links, "second")
-        units = cut(self._by_parity(self._dealt(still), _borderline(self.percent), _UNIT), "units")
-        self.links = cut(links.union(self._by_text(units)), "links")
+        self.spent: list[DataFrame] = []
+        links = None
+
+        def add(found: DataFrame) -> DataFrame:
+            out = cut(found if links is None else links.union(found), "links")
+            self.spent.append(out)
+            return out
+
+        still = self._open(self.index, None, "open")
+        size = still.count()
+        for turn in range(ROUNDS):
+            if not size:
+                break
+            leader = still.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("c").alias("c"))).alias("l"))
+            outside = still.join(leader.select("sig", F.col("l.id").alias("lead"), F.col("l.c").alias("lc")), "sig").where("c != lc")
+            links = add(self._test(outside.select(*pair("id", "lead"))))
+            still = self._open(still, links, "open")
+            size, before = still.count(), size
+            if 10 * size > 9 * before:
+                break
+        if size:
+            few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
+            other = few.select("sig", F.col("id").alias("other"), F.col("c").alias("oc"))
+            links = add(self._test(few.join(other, "sig").where("c < oc").select(*pair("id", "other"))))
+            many = self._open(many, links, "open")
+            held = self._dealt(many).join(self.parity, "id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+            units = cut(held.mapInArrow(_borderline(self.percent), _UNIT), "units")
+            self.spent.append(units)
+            texts = units.join(self.texts.select("id", "text"), "id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+            links = add(texts.mapInArrow(_verify_blocks(self.k, self.percent), _LINK))
+        self.links = cut(links if links is not None else self.index.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "links")
         self.found = cut(components(self.links, "a", "b"), "components")
+        discard(*self.spent)
 
     def result(self) -> DataFrame:
-        member = self.found.withColumnRenamed("node", "k1")
-        named = self.classes.join(member, "k1", "left").select("k1", "k2", "rep", F.coalesce("component", "k1").alias("c"))
-        ids = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-        of = named.join(ids, "c").select("k1", "k2", "component_id")
-        ok = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-        some = self.rows.where(ok).join(of, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        named = self.classes.join(self.found.withColumnRenamed("node", "id"), "id")
+        least = named.groupBy("component").agg(F.min("rep").alias("least"))
+        linked = named.join(least, "component").select("k1", "k2", "least")
+        ok = F.col("idx").isNotNull()
+        copies = self.rows.where(ok).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")).where("times > 1").select("k1", "k2", "rep")
+        of = copies.join(linked, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("least", "rep").alias("component_id"))
+        some = self.rows.where(ok).join(of, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         none = self.rows.where(~ok).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return some.union(none)
 

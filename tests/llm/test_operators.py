@@ -203,17 +203,50 @@ def test_jaccard_one_shingle_more(spark):
         assert [r.component_id for r in sorted(got)] == [1, 1, 3, 3, 5]
 
 
-def test_jaccard_copies_in_two_tasks(spark):
-    """A class stands once in an entry, however many tasks sign it, so that entries of other members have other seals."""
+def test_jaccard_copies_in_two_tasks(spark, monkeypatch):
+    """Copies of a class that several tasks, or several runs of one, report stand once in an entry, so that entries of other members have other seals."""
+    seen = []
+    keep = jaccard_join.JaccardJoin._indexed
+    monkeypatch.setattr(jaccard_join.JaccardJoin, "_indexed", lambda self: seen.append(keep(self)) or seen[-1].cache())
+    monkeypatch.setattr(jaccard_join, "RUN_CLASSES", 3)
     base = prose(41, 120)
     rows = [(i, edited(base, i, i % 4)) for i in range(8)]
     rows += [(100 + i, t) for i, t in rows]
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "discard", lambda *written: None)
     join = jaccard_join.JaccardJoin(df, 3, 90)
-    assert join.index.count() and join.index.groupBy("sig", "k1").count().where("count > 1").count() == 0
+    assert seen[0].count() and seen[0].groupBy("sig", "id").count().where("count > 1").count() == 0
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join.result().collect()) == brute_components(rows, 3, 90)
 
 
+def test_extended_prefixes_meet():
+    """Linked sets share at least as many reports as the filter asks for, at the smallest partner's size and the largest."""
+    r = np.random.default_rng(5)
+    for percent in (51, 60, 80, 90, 95, 100):
+        for n in [*range(1, 40), 100, 333]:
+            x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            less = x[r.permutation(n)[: -(-percent * n // 100)]]
+            more = np.concatenate([x, r.integers(0, 2**63, 100 * n // percent - n, dtype=np.uint64)])
+            for y in (less, more):
+                both = len(np.intersect1d(x, y))
+                assert 100 * both >= percent * (n + len(y) - both)
+                shared = len(np.intersect1d(*(np.sort(s)[: jaccard_join._prefix(len(s), percent)] for s in (x, y))))
+                assert shared >= max(jaccard_join._shared_least(len(s), percent) for s in (x, y))
+
+
+def test_jaccard_large_group(spark):
+    """A group of 500 near copies and as many texts that share a passage: one component, all others alone, and few rows of pairs."""
+    base, passage = prose(51, 150), prose(52, 60)
+    rows = [(i, edited(base, i, 1 + i % 3)) for i in range(500)] + [(5000 + i, passage + " " + prose(9000 + i, 40)) for i in range(500)]
+    got = jaccard_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
+
+
+def test_jaccard_text_ids(spark):
+    with pytest.raises(TypeError):
+        jaccard_join.ngram_jaccard_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # --- 3 ---
 
 
