@@ -75,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": jaccard_join.SQL,
     "op7_secret_scan": secret_scan.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op10_license_scan": license_scan.SQL,
 }
