@@ -2,10 +2,11 @@
 
 A text's terms are its words (A-Z lower-cased runs of digits, letters and non-ASCII characters), hashed to 2^20 buckets;
 presence counts, not frequency. The score is the logistic of bias + term weights + pairwise interactions, which the inner
-products of the terms' rank-4 factors give, so a pair of terms can weigh more than both alone.
+products of the terms' rank-4 factors give, so a pair of terms can weigh more than both alone. No term is chosen or dropped
+beforehand: every bucket that the sample holds has a weight and factors, and learns both at once.
 
-The model is fitted with numpy on at most SAMPLE_ROWS labelled rows (a documented bound; the rest of the work covers all
-rows), over the FEATURES terms that part the classes best. Null and empty texts have no terms and get the bias's score.
+The model is fitted with numpy on at most SAMPLE_ROWS labelled rows of together at most SAMPLE_TERMS terms (documented bounds, taken in the
+order of a hash of their ids; the rest of the work covers all rows). Null and empty texts have no terms and get the bias's score.
 Without any labelled row of either class, the score is the share of toxic rows there are, or 0.
 """
 
@@ -19,13 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _labels, _words
+from ._shared import cut, discard
 
 SAMPLE_ROWS = 20_000
-FEATURES = 2048
+SAMPLE_TERMS = 1 << 23
 BUCKETS = 20
 RANK = 4
-#: The chi-square of a term with the label below which it is taken for noise (one in a thousand by chance).
-CHI = 10.83
 
 
 def terms(texts: list[bytes]) -> list[np.ndarray]:
@@ -41,8 +41,9 @@ class FactorizationMachine:
 
     def raw(self, row: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the logistic, and the factor sums, of ``n`` rows given as (row, feature) pairs."""
-        sums = np.stack([np.bincount(row, self.factors[feature, f], n) for f in range(self.factors.shape[1])], 1)
-        squares = np.bincount(row, (self.factors[feature] ** 2).sum(1), n)
+        held = self.factors[feature]
+        sums = np.stack([np.bincount(row, held[:, f], n) for f in range(held.shape[1])], 1)
+        squares = np.bincount(row, (held**2).sum(1), n)
         return self.bias + np.bincount(row, self.weights[feature], n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
     def rate(self, texts: list[bytes]) -> np.ndarray:
@@ -57,47 +58,55 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(found: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Adam over shuffled batches of rows."""
+def fit(found: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.3, sparse: float = 3.0, pairs: float = 0.1, agree: float = 3.0, drop: float = 0.5, seed: int = 7) -> FactorizationMachine:
+    """Steps over shuffled batches of rows, over all buckets that the rows hold; each step sees a random half of a text's terms.
+
+    Weights follow the regularized leader (per-coordinate steps; a weight leaves 0 only when its gradients add up to more than ``sparse``, so
+    that thousands of idle terms stay silent). Factors start small and leave their start where their gradients agree: when the sum is over
+    ``agree`` times the root of the sum of squares.
+    """
     random = np.random.default_rng(seed)
     table = np.full(1 << BUCKETS, -1, np.int32)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return FactorizationMachine(table, 30.0 if share == 1 else -30.0, np.zeros(1), np.zeros((1, RANK)))
-    row = np.repeat(np.arange(len(found)), [len(t) for t in found])
     term = np.concatenate(found)
-    pos = np.bincount(term[y[row] == 1], minlength=1 << BUCKETS).astype(float)
-    neg = np.bincount(term[y[row] == 0], minlength=1 << BUCKETS).astype(float)
-    p, q = pos / y.sum(), neg / (len(y) - y.sum())
-    both = share * p + (1 - share) * q
-    chi = len(y) * share * (1 - share) * (p - q) ** 2 / np.maximum(both * (1 - both), 1e-9) * (pos + neg >= 3)
-    chosen = np.argsort(-chi, kind="stable")[:FEATURES]
-    chosen = chosen[chi[chosen] > CHI]
+    chosen = np.unique(term)
     table[chosen] = np.arange(len(chosen))
     feature = table[term]
-    row, feature = row[feature >= 0], feature[feature >= 0]
-    at = np.searchsorted(row, np.arange(len(y) + 1))
-    m = FactorizationMachine(table, float(np.log(share / (1 - share))), np.zeros(max(1, len(chosen))), random.normal(0, 0.01, (max(1, len(chosen)), RANK)))
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (m.weights, m.factors)]
-    step = 0
+    at = np.concatenate([[0], np.cumsum([len(t) for t in found])])
+    p = max(1, len(chosen))
+    m = FactorizationMachine(table, float(np.log(share / (1 - share))), np.zeros(p), random.normal(0, 0.01, (p, RANK)))
+    z, seen = np.zeros(p), np.zeros(p)
+    first, zv, moved = m.factors.copy(), np.zeros((p, RANK)), np.zeros((p, RANK))
+    size = max(1, min(64, len(y) // 64))
     for _ in range(epochs):
         order = random.permutation(len(y))
-        for low in range(0, len(order), 512):
-            rows = order[low : low + 512]
+        for low in range(0, len(order), size):
+            rows = order[low : low + size]
             sizes = at[rows + 1] - at[rows]
             local = np.repeat(np.arange(len(rows)), sizes)
             flat = np.repeat(at[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            f = feature[flat]
-            raw, sums = m.raw(local, f, len(rows))
-            err = (logistic(raw) - y[rows]) / len(rows)
-            gw = np.bincount(f, err[local], len(m.weights)) + decay * m.weights
-            gv = np.stack([np.bincount(f, err[local] * (sums[local, k] - m.factors[f, k]), len(m.weights)) for k in range(RANK)], 1) + 10 * decay * m.factors
-            m.bias -= rate * float(err.sum())
-            step += 1
-            for x, g, (a, b) in zip((m.weights, m.factors), (gw, gv), state, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+            held = random.random(len(flat)) >= drop
+            local, flat = local[held], flat[held]
+            f, place = np.unique(feature[flat], return_inverse=True)
+            if not len(f):
+                continue
+            raw, sums = m.raw(local, feature[flat], len(rows))
+            err = logistic(raw) - y[rows]
+            m.bias -= 0.1 * rate * float(err.mean())
+            err = err[local]
+            g = np.bincount(place, err, len(f))
+            more = seen[f] + g * g
+            z[f] += g - (np.sqrt(more) - np.sqrt(seen[f])) / rate * m.weights[f]
+            seen[f] = more
+            m.weights[f] = -np.sign(z[f]) * np.maximum(np.abs(z[f]) - sparse, 0) / ((1 + np.sqrt(more)) / rate)
+            own = m.factors[f]
+            gv = np.stack([np.bincount(place, err * (sums[local, k] - own[place, k]), len(f)) for k in range(RANK)], 1)
+            zv[f] += gv
+            moved[f] += gv**2
+            root = np.sqrt(moved[f])
+            m.factors[f] = first[f] - pairs * np.sign(zv[f]) * np.maximum(np.abs(zv[f]) - agree * root, 0) / (0.1 + root)
     return m
 
 
@@ -107,11 +116,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _labels.slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], batch.column("y")[part], pa.array([t.tobytes() for t in terms(texts)], pa.binary())], names=["doc_id", "y", "terms"])
-
-    rows = _labels.sample(docs, labels, "toxic", learn, most).mapInArrow(run, "doc_id long, y int, terms binary").collect()
-    rows.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return fit([np.frombuffer(bytes(r[2]), np.int32) for r in rows], np.array([r[1] for r in rows], float))
+                found = terms(texts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], batch.column("y")[part], pa.array([len(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], names=["doc_id", "y", "n", "terms"])
+
+    rows = cut(_labels.sample(docs, labels, "toxic", learn, most).mapInArrow(run, "doc_id long, y int, n long, terms binary").withColumn("at", F.xxhash64("doc_id")), "toxicity-sample")
+    last, total = None, 0
+    for at, n in sorted(rows.select("at", "n").collect()):  # most rows at most
+        if total + n > SAMPLE_TERMS and last is not None:
+            break
+        last, total = at, total + n
+    taken = rows.where(F.col("at") <= F.lit(last)).select("doc_id", "y", "terms").collect() if last is not None else []
+    discard(rows)
+    taken.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
+    return fit([np.frombuffer(bytes(r[2]), np.int32) for r in taken], np.array([r[1] for r in taken], float))
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, keep: dict[str, Column]) -> DataFrame:

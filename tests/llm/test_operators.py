@@ -413,18 +413,27 @@ def test_factorization_machine_learns_pairs():
         a, b = r.random() < 0.5, r.random() < 0.5
         rows.append(np.unique(np.array([7] * a + [9] * b + r.integers(100, 140, 5).tolist(), np.int32)))
         y.append(float(a == b))
-    found = rows + rows
-    old, toxicity.CHI = toxicity.CHI, -1.0
-    try:
-        m = toxicity.fit(found, np.array(y + y), epochs=60)
-    finally:
-        toxicity.CHI = old
+    m = toxicity.fit(rows + rows, np.array(y + y))
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     feature = m.table[np.concatenate(rows)]
     score = m.raw(row[feature >= 0], feature[feature >= 0], len(rows))[0]
     assert ((score > 0) == (np.array(y) > 0.5)).mean() > 0.9
 
 
+def test_factorization_machine_adds_pairs():
+    """A score is the bias, the weights, and the factors' product for every pair, summed one by one."""
+    r = np.random.default_rng(3)
+    found = [np.unique(r.integers(0, 50, r.integers(0, 12)).astype(np.int32)) for _ in range(200)]
+    m = toxicity.fit(found, r.integers(0, 2, 200).astype(float))
+    m.factors = r.normal(size=m.factors.shape)
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    got = m.raw(row, m.table[np.concatenate(found)], len(found))[0]
+    for x, score in zip(found, got, strict=True):
+        f = m.table[x]
+        want = m.bias + sum(m.weights[i] for i in f) + sum(float(m.factors[i] @ m.factors[j]) for n, i in enumerate(f) for j in f[:n])
+        assert abs(score - want) < 1e-9
+
+
 def test_trees_walk_alike():
     r = np.random.default_rng(2)
     x = r.normal(size=(500, len(quality_classifier.STATISTICS)))
