@@ -324,7 +324,7 @@ def test_packing(docs):
 
 
 def test_packing_places_by_sum_of_squares():
-    r, levels = random.Random(1), packing.Levels(64)
+    r, levels = random.Random(1), packing.Levels(64, 10**6)
     counts = np.zeros(65, int)
     for _ in range(500):
         n = r.randint(1, 63)
@@ -343,6 +343,25 @@ def test_packing_places_by_sum_of_squares():
         assert (counts == levels.counts).all()
 
 
+def test_packing_bounds_open_windows():
+    """With all windows open a piece that fits in none fills the level that lowers the sum most; what stays open at the end is little."""
+    r, levels = random.Random(2), packing.Levels()
+    total = 0
+    for _ in range(1000):
+        left = r.randint(1, 1023)
+        total += left
+        while left:
+            before, level = levels.counts.copy(), levels.place(left)
+            taken = min(left, 1024 - level)
+            if taken < left:
+                assert levels.held == packing.OPEN and not before[1 : 1024 - left + 1].any()
+                assert before[level] == before[1024 - left + 1 : 1024].max()
+            levels.put(level, taken, lambda: 0)
+            left -= taken
+            assert levels.held == levels.counts[1:1024].sum() <= packing.OPEN
+    assert sum(i * int(c) for i, c in enumerate(levels.counts[:1024])) < 0.04 * total
+
+
 # --- 5 ---
 
 
