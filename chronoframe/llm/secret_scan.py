@@ -7,7 +7,10 @@ hold and that looks random is ``live``. Both verdicts add spans over the value;
 
 A null text is empty. A null owner or repository counts as one nameless owner or repository. Rows with equal id and text get
 equal results, and repeated rows stay repeated. Counting aggregates (hash, owner, repository) before anything is joined, and
-only rows with candidates take part, so a value that sits in a third of all texts costs a row per owner.
+only rows with candidates take part, so a value that sits in a third of all texts costs a row per owner. Verdicts go back to the
+occurrences by hash; values that hold over one in HOT of all occurrences (fewer than HOT of them, at any input) are broadcast, so that no key of
+the join is large. Rows are named by 128 bits of id and text. Columns of any name pass through ``redact``. A long text is one value of its row, and the
+time it takes grows with its length, and with the square of its number of matches (by copying references only).
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, discard
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Texts that the whole pattern can fit somewhere.
@@ -26,6 +29,7 @@ HEX = "[0-9a-f]{16,}"
 TOKEN = "[A-Za-z0-9+/_-]{24,}"
 KINDS = ["assign", "access", "hex", "token", "example", "live"]
 EXAMPLE_OWNERS = 3
+HOT = 1000
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string,skip:int>>"
 
 
@@ -65,30 +69,41 @@ def _looks_live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (kinds >= 8)
 
 
+def _name(doc_id: Column, text: Column) -> Column:
+    """Names rows of equal id and text, by 128 bits."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\x00"), text))
+
+
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """Per row: doc_id, row (names equal rows), spans (kind, start, end, value, skip), base only if no candidate was judged.
 
     Written out, as the counts and the join back read it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), candidates(text).alias("spans"))
+    rows = docs.select("doc_id", _name(F.col("doc_id"), text).alias("row"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), candidates(text).alias("spans"))
     return cut(rows, "secrets")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per candidate hash: n_owners, n_repositories."""
+    """Per candidate hash: n_owners, n_repositories, times (occurrences)."""
     held = found.where("size(spans) > 0").select("owner", "repository", F.explode("spans.value").alias("value"))
     held = held.groupBy(F.sha2("value", 256).alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))
-    return held.groupBy("hash", "owner").agg(F.count("*").alias("r")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"))
+    held = held.groupBy("hash", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
+    return held.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"), F.sum("n").alias("times"))
 
 
 def judged(found: DataFrame) -> DataFrame:
     """Per row name with candidates: all spans, those of the verdicts too, sorted by start and kind."""
     one = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
+    owners = cut(ownership(found), "owners")
+    total = owners.agg(F.sum("times")).first()[0] or 0
+    hot = owners.where(F.col("times") * HOT > total).select("hash", "n_owners")
+    cold = owners.where(F.col("times") * HOT <= total).select("hash", "n_owners")
+    told = one.join(F.broadcast(hot), "hash").union(one.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(cold, "hash").select("hash", "row", "s", "n_owners"))
     kind = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, KINDS.index("example")).when(_looks_live(F.col("s.value")), KINDS.index("live"))
     own = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
     said = F.struct((F.col("s.start") + F.col("s.skip")).alias("start"), kind.alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
-    spans = one.join(ownership(found), "hash").select("row", F.when(kind.isNull(), F.array(own)).otherwise(F.array(own, said)).alias("both"))
+    spans = told.select("row", F.when(kind.isNull(), F.array(own)).otherwise(F.array(own, said)).alias("both"))
     return spans.groupBy("row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("both")))).alias("judged"))
 
 
@@ -107,18 +122,30 @@ def report(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] =
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live value in their texts replaced by ``mark``; widely copied examples and all else stay."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    """``docs`` with every live value in their texts replaced by ``mark``; widely copied examples and all else stay.
+
+    A column ``n_chars`` follows the text. The live values per row are written first: few, they are broadcast, and texts stay where they are;
+    beyond the session's broadcast bound rows and values meet by a shuffle.
+    """
     found = scan(docs, F.col("source"), F.to_json(F.array(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))))
     live = judged(found).select("row", F.transform(F.filter("judged", lambda s: s["kind"] == KINDS.index("live")), lambda s: s["value"]).alias("live")).where("size(live) > 0")
-    out = docs.withColumn("row", F.xxhash64("doc_id", text)).join(live, "row", "left")
+    live = cut(live, "live-secrets")
+    discard(found)
+    out = docs.select(F.struct("*").alias("d")).withColumn("row", _name(F.col("d.doc_id"), F.coalesce(F.col("d.text").cast("string"), F.lit("")))).join(live, "row", "left")
     # longest first, so that a value that another contains doesn't leave a part of it
     order = F.transform(F.sort_array(F.transform("live", lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda x: x["v"])
-    clean = F.when(F.col("live").isNull(), F.col("text")).otherwise(F.aggregate(order, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    out = out.withColumn("_clean", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length("_clean")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.col("_clean")).select(*docs.columns)
+    clean = F.when(F.col("live").isNull(), F.col("d.text")).otherwise(F.aggregate(order, F.col("d.text").cast("string"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    out = out.select("d", "live", clean.alias("clean"))
+
+    def value(name: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias(name)
+        own = F.col("d").getField(name)
+        if name == "n_chars":
+            own = F.when(F.col("live").isNull(), own).otherwise(F.length("clean")).cast(docs.schema[name].dataType)
+        return own.alias(name)
+
+    return out.select(*map(value, docs.columns))
 
 
 SQL = r"""
@@ -132,7 +159,7 @@ m AS (SELECT rid, kind, least, unnest(regexp_extract_all(text, pat, 0)) AS hit,
       FROM d, pats WHERE regexp_matches(text, pat)),
 p AS (SELECT *, sum(length(before) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM m),
 s AS (SELECT rid, kind, (e - length(hit))::BIGINT AS s, e::BIGINT AS e, value, length(hit) - length(value) AS skip FROM p WHERE length(value) >= least),
-looks AS (SELECT *, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(substring(value, 1, 64), ''))) >= 8 AS live FROM s),
+looks AS (SELECT *, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AS live FROM s),
 c AS (SELECT * FROM looks a WHERE kind < 3 OR live AND NOT EXISTS (SELECT 1 FROM looks b WHERE b.rid = a.rid AND b.kind < 3 AND b.s < a.e AND a.s < b.e)),
 o AS (SELECT value, count(DISTINCT owner) AS n FROM c JOIN d USING (rid) GROUP BY value),
 v AS (SELECT rid, kind, s, e FROM c UNION SELECT rid, CASE WHEN n >= 3 THEN 4 ELSE 5 END, s + skip, e FROM c JOIN o USING (value) WHERE n >= 3 OR live),
