@@ -12,12 +12,14 @@ sets then differ by less than a factor of two). The join is exact:
    n - ceil(t * n) + 1: a rare token covers 1, and the frequent tokens of a hash group cover all but one of them. Rare tokens are indexed
    singly, frequent ones as pairs within their group: two linked sets then share a single token or a pair (else they would share too few
    prefix tokens).
-4. Rounds of leaders: in each index entry whose members lie in different components, every member outside the leader's component is
-   paired with the leader; pairs that sizes or parities (hashed bits, two or more a token) prove apart are dropped, the rest verified from
-   their texts, and links contract components. A group of thousands of near copies costs a pair a member, and few rounds.
-5. Entries that stay open go as pairs if they are small. Larger ones are dealt into pairs of bounded blocks, where parities prove most
-   members apart from all of other components; what is left is verified by matrix products of the texts' sets, of which only links that
-   join components come out. So every link that could join two components is tested.
+4. Rounds of leaders: in each index entry whose members lie in different components, every member outside the largest component is
+   paired with a member of it, another one each round; pairs that sizes or parities (hashed bits, two or more a token) prove apart are
+   dropped, the rest verified from their texts, and links contract components. A group of thousands of near copies costs a pair a member
+   and round, and few rounds.
+5. Entries that stay open go as pairs if they are small. In larger ones, members outside the largest component meet all others: in one unit, or,
+   beyond its bound of rows or tokens, in several, to which the outsiders are copied (or, where they are many themselves, in pairs of blocks). Parities
+   prove most apart; what is left is verified by matrix products of the texts' sets, of which only links that join components come out. So
+   every link that could join two components is tested.
 
 Rows with a null or wordless text have an empty set, and no links. Rows with a null id have no links either, and no component.
 Repeated ids keep all their rows; sets, not ids, are what links. Ids are whole numbers; a text that is none raises. A long text's set is
@@ -43,7 +45,6 @@ from ._shared import cut, discard, whole_ids
 
 #: A parity has a power of two of bits: so many a token at least, and so many at least.
 TOKEN_BITS, LEAST_BITS = 2, 512
-FAR = 1 << 40
 _LINK = "a long, b long"
 _UNIT = "sig long, i long, j long, id long, c long"
 #: Tokens of sets that a task keeps to use again.
@@ -55,11 +56,11 @@ BLOCK_BYTES, BLOCK_BITS = 8 << 20, (6, 20)
 #: A token that more classes report is frequent. Frequent tokens are known by TABLE_BITS of their hash: 16 MB at any input.
 OFTEN = 32
 TABLE_BITS = 24
-#: Rounds of leaders at most; they end when one leaves over nine tenths of the rows open.
-ROUNDS = 8
+#: Rounds of leaders at most; they end when one leaves over nine tenths of the members outside their entries' largest components.
+ROUNDS = 12
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members, or tokens.
 PAIR_ROWS = 8
-BLOCK_ROWS, BLOCK_TOKENS = 512, 1 << 20
+BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
 #: Bits for each wanted id in a filter over ids, and at most in all (a fuller filter only lets more texts through to the join).
 ID_BITS, MOST_BITS = 8, 1 << 28
 
@@ -492,10 +493,16 @@ def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tu
         yield now, unit
 
 
-def _matrix(unit: list[tuple], percent: int) -> np.ndarray:
-    """For pairs of a unit's members (id, c, n, p): how many parity bits differ; FAR where they can't be linked or are in one component."""
+def _outside(components: list[int]) -> np.ndarray:
+    """Which members lie outside the unit's largest component: every pair of different components has one."""
+    names, at, times = np.unique(components, return_inverse=True, return_counts=True)
+    return at != int(times.argmax())
+
+
+def _doubtful(unit: list[tuple], percent: int) -> np.ndarray:
+    """Which members (id, c, n, p) neither sizes nor parities prove apart from all members of other components."""
     c, n = np.array([m[1] for m in unit]), np.array([m[2] for m in unit])
-    out = np.full((len(unit), len(unit)), FAR)
+    out, outside = np.zeros(len(unit), bool), _outside(c)
     sizes = np.array([len(m[3]) for m in unit])
     for size in np.unique(sizes):  # of linked sets one is at most twice the other, so their parities are of one size or next ones
         own, wide = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
@@ -503,12 +510,15 @@ def _matrix(unit: list[tuple], percent: int) -> np.ndarray:
         words = _rows_of([unit[i][3] for i in own])
         if len(wide):
             words = np.concatenate([words, _folded(_rows_of([unit[i][3] for i in wide]))])
-        for i, row in zip(own.tolist(), words, strict=False):
-            out[i, both] = out[both, i] = np.bitwise_count(words ^ row).sum(axis=1, dtype=np.int64)
-    total = n[:, None] + n[None, :]
-    may = (c[:, None] != c[None, :]) & (out <= (100 - percent) * total // (100 + percent))
-    may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    return np.where(may, out, FAR)
+        for at in np.flatnonzero(outside[both]):
+            i = both[at]
+            may = (c[both] != c[i]) & (100 * np.minimum(n[both], n[i]) >= percent * np.maximum(n[both], n[i]))
+            if (some := np.flatnonzero(may)).size:
+                apart = np.bitwise_count(words[some] ^ words[at]).sum(axis=1, dtype=np.int64)
+                some = some[apart <= (100 - percent) * (n[both[some]] + n[i]) // (100 + percent)]
+                out[both[some]] = True
+                out[i] |= some.size > 0
+    return out
 
 
 def _borderline(percent: int):
@@ -516,7 +526,7 @@ def _borderline(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (sig, i, j), unit in _units(batches, ["id", "c", "n", "p"]):
-            left = np.flatnonzero((_matrix(unit, percent) < FAR).any(axis=1)).tolist()
+            left = np.flatnonzero(_doubtful(unit, percent)).tolist()
             cols = [[sig] * len(left), [i] * len(left), [j] * len(left), [unit[x][0] for x in left], [unit[x][1] for x in left]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "i", "j", "id", "c"])
 
@@ -540,31 +550,32 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """The sizes of all intersections, by products of 0/1 matrices over the tokens that at least two sets hold."""
+def _overlaps(sets: list[np.ndarray], some: np.ndarray, width: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of some sets with all, by products of 0/1 matrices over the tokens that at least two sets hold."""
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.cumsum(times > 1) - 1
     row, token = row[times[token] > 1], rank[token[times[token] > 1]]
     order = np.argsort(token, kind="stable")
     row, token = row[order], token[order]
-    out = np.zeros((len(sets), len(sets)), np.float64)
+    out = np.zeros((len(some), len(sets)), np.float32)
     for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         a, b = np.searchsorted(token, (low, low + width))
         held = np.zeros((len(sets), width), np.float32)
         held[row[a:b], token[a:b] - low] = 1
-        out += held @ held.T
+        out += held[some] @ held.T
     return out
 
 
 def _join_unit(unit: list[tuple], at: _Sets, percent: int) -> list[tuple[int, int]]:
     """Links between members of different components, as few as join all that the unit's links join."""
-    members = [(name, c, at(name, text)) for name, c, text in unit]
-    if len({c for _, c, _ in members}) < 2:
+    if len({c for _, c, _ in unit}) < 2:
         return []
-    both = _overlaps([s for *_, s in members])
+    members = [(name, c, at(name, text)) for name, c, text in unit]
+    some = np.flatnonzero(_outside([c for _, c, _ in members]))
     size = np.array([len(s) for *_, s in members], np.float64)
-    near = np.argwhere(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+    both = _overlaps([s for *_, s in members], some)
+    near = [(i, j) for x, i in enumerate(some.tolist()) for j in np.flatnonzero(100 * both[x] >= percent * (size[i] + size - both[x])).tolist() if i != j]
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -634,10 +645,10 @@ class JaccardJoin:
         texts = cut(near.mapInArrow(_match(self.k), "id long, n long, p binary, text string"), "texts")
         again = cut(texts.select("id", "text").mapInArrow(_scan_all(self.k, self.bits), _SCAN), "scan-again")
         counts, met = _shared(again, self.bits)
-        kept = again.where("k1 is not null").join(counts, ["run", "idx"]).where(f"shared >= {self._least('n')}").select(F.col("doc_id").alias("id"))
+        kept = cut(again.where("k1 is not null").join(counts, ["run", "idx"]).where(f"shared >= {self._least('n')}").select(F.col("doc_id").alias("id")), "left")
         out = cut(texts.join(kept, "id", "left_semi"), "texts-left")
         self.table = self.spark.sparkContext.broadcast(zlib.compress(_frequent(met, self.bits).tobytes(), 1))
-        discard(texts, again, met)
+        discard(texts, again, met, kept)
         return out
 
     def _near(self, wanted: DataFrame, n: int) -> DataFrame:
@@ -675,23 +686,35 @@ class JaccardJoin:
         return near.select("a", "ta", "b", "tb").mapInArrow(_verify(self.k, self.percent), _LINK)
 
     def _dealt(self, entries: DataFrame) -> DataFrame:
-        """Large ``entries`` (sig, id, c, m, tokens) as bounded units (sig, i, j): members go to blocks of about BLOCK_ROWS or BLOCK_TOKENS, and two blocks make a unit."""
-        blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
-        dealt = entries.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        return dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "c")
+        """Large ``entries`` as bounded units (sig, i, j) of about BLOCK_ROWS or BLOCK_TOKENS, in which each outsider meets every other member.
+
+        Members of the largest component go to one block, outsiders to all of them. Where the outsiders alone exceed the bound, members go to blocks
+        of half of it, and two blocks make a unit.
+        """
+        def blocks(rows: str, tokens: str):
+            return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(tokens) / BLOCK_TOKENS), F.lit(1).cast("long"))
+
+        many = blocks("outside", "tokens_outside") > 1
+        dealt = entries.withColumn("blocks", F.when(many, 2 * blocks("m", "tokens")).otherwise(blocks("m", "tokens")))
+        dealt = dealt.withColumns({"mine": F.pmod(F.xxhash64("id"), "blocks"), "pairs": many, "out": F.col("c") != F.col("main")})
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        dealt = dealt.withColumn("other", F.explode(F.when(F.col("pairs") | F.col("out"), every).otherwise(F.array("mine"))))
+        i = F.when(F.col("pairs"), F.least("mine", "other")).otherwise(F.col("other"))
+        return dealt.select("sig", i.alias("i"), F.when(F.col("pairs"), F.greatest("mine", "other")).otherwise(F.col("other")).alias("j"), "id", "c")
 
     def _open(self, entries: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
-        """The ``entries`` (sig, id, n) whose members lie in different components of ``links``: sig, id, n, c, m members, tokens."""
+        """The ``entries`` (sig, id, n) whose members lie in different components of ``links``: sig, id, n, c, main (the largest component), m members, tokens, and the same of those outside."""
         labelled = entries.select("sig", "id", "n", F.col("id").alias("c"))
         if links is not None:
             found = components(links, "a", "b")
             self.spent.append(found)
             labelled = entries.select("sig", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c"))
         seal = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-        ends = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.sum("n").alias("tokens"), *seal).where("low != high")
-        ends = ends.groupBy("m", "tokens", "low", "high", "x1", "x2").agg(F.min("sig").alias("sig"))  # of entries with the same members one is enough
-        out = cut(labelled.join(ends.select("sig", "m", "tokens"), "sig"), name)
+        parts = labelled.groupBy("sig", "c").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"), *seal)
+        ends = parts.groupBy("sig").agg(F.sum("m").alias("m"), F.sum("tokens").alias("tokens"), F.max(F.struct("m", "tokens", "c")).alias("main"), *(F.bit_xor(f"x{i}").alias(f"x{i}") for i in (1, 2)))
+        ends = ends.where("main.m < m").groupBy("m", "tokens", "main", "x1", "x2").agg(F.min("sig").alias("sig"))  # of entries with the same members one is enough
+        ends = ends.select("sig", "m", "tokens", F.col("main.c").alias("main"), (F.col("m") - F.col("main.m")).alias("outside"), (F.col("tokens") - F.col("main.tokens")).alias("tokens_outside"))
+        out = cut(labelled.join(ends, "sig"), name)
         self.spent.append(out)
         return out
 
@@ -708,18 +731,18 @@ class JaccardJoin:
             return out
 
         still = self._open(self.index, None, "open")
-        size = still.count()
+        left = still.where("c != main").count()
         for turn in range(ROUNDS):
-            if not size:
+            if not left:
                 break
-            leader = still.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("c").alias("c"))).alias("l"))
-            outside = still.join(leader.select("sig", F.col("l.id").alias("lead"), F.col("l.c").alias("lc")), "sig").where("c != lc")
+            leader = still.where("c = main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"))).alias("l"))
+            outside = still.where("c != main").join(leader.select("sig", F.col("l.id").alias("lead")), "sig")
             links = add(self._test(outside.select(*pair("id", "lead"))))
             still = self._open(still, links, "open")
-            size, before = still.count(), size
-            if 10 * size > 9 * before:
+            left, before = still.where("c != main").count(), left
+            if 10 * left > 9 * before:
                 break
-        if size:
+        if left:
             few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
             other = few.select("sig", F.col("id").alias("other"), F.col("c").alias("oc"))
             links = add(self._test(few.join(other, "sig").where("c < oc").select(*pair("id", "other"))))
