@@ -116,6 +116,19 @@ def count_min(df: DataFrame, column: str, eps: float = 0.001, confidence: float
     return df.agg(F.count_min_sketch(column, F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def count_min_cells(df: DataFrame, column: str, width: int = 4096, depth: int = 5) -> DataFrame:
+    """The same sketch as a table (row, cell, n) of ``width`` times ``depth`` rows at most, which can be kept, added up and joined."""
+    cells = F.array(*(F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(column, F.lit(i)), F.lit(width)).alias("cell")) for i in range(depth)))
+    return df.where(F.col(column).isNotNull()).select(F.inline(cells)).groupBy("row", "cell").agg(F.count("*").alias("n"))
+
+
+def count_min_estimates(cells: DataFrame, values: DataFrame, column: str, width: int = 4096, depth: int = 5) -> DataFrame:
+    """(column, estimate) of each value: the least of its cells, 0 where one is empty. The sketch is broadcast: its size is fixed."""
+    at = F.array(*(F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(column, F.lit(i)), F.lit(width)).alias("cell")) for i in range(depth)))
+    found = values.select(column, F.inline(at)).join(F.broadcast(cells), ["row", "cell"], "left")
+    return found.groupBy(column).agg(F.min(F.coalesce("n", F.lit(0).cast("long"))).alias("estimate"))
+
+
 def point_in_time(history: DataFrame, entity: str, as_of: Column, *values: str) -> DataFrame:
     """Each entity's last feature values up to ``as_of``, from (entity, updated_at, values)."""
     return history.where(F.col("updated_at") <= as_of).groupBy(entity).agg(*(F.max_by(v, "updated_at").alias(v) for v in values))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,22 +32,34 @@ def bfs(edges: DataFrame, start: object, max_depth: int, until: object = None) -
     for depth in range(1, max_depth + 1):
         found = level.join(links, level["id"] == links["from_id"]).select(F.col("to_id").alias("id"), F.concat("path", F.array(F.col("to_id").cast("string"))).alias("path"))
         found = found.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        level = _cut(found.select("id", F.lit(depth).alias("depth"), "path"))
+        level = cut(found.select("id", F.lit(depth).alias("depth"), "path"))
         if level.isEmpty():
             break
-        seen = _cut(seen.unionByName(level))
+        seen = cut(seen.unionByName(level))
         if until is not None and not level.where(F.col("id") == until).isEmpty():
             break
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder; one of our own is set only where the session names none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a single machine without the setting (tests) gets one of its own; a cluster raises."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    import tempfile
+
+    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="chronoframe-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoframe-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Suffixes that stemming cuts, with the length that a word must exceed; the first that fits is cut.
 SUFFIXES = [(5, "tion"), (5, "ness"), (5, "ment"), (5, "ing"), (4, "ed"), (4, "ly"), (4, "es")]
 K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Words without marks, in lower case, of two bytes or more."""
-    cut = F.transform(F.split(text, r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
-    return F.filter(cut, lambda w: F.octet_length(w) >= 2)
+    """Words without marks, in lower case, of two bytes or more: marks go from the text at once, not word by word."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")), r"\s+"), lambda w: F.octet_length(w) >= 2)
 
 
 def stem(word: Column) -> Column:
@@ -47,12 +48,33 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """(key, score) of documents with a query's stem. Only the query's stems are kept of each text before any shuffle."""
-    wanted = F.array_distinct(stems(F.lit(query)))
-    rows = docs.select(key, stems(F.col(text)).alias("s"), wanted.alias("q")).withColumn("n", F.size("s"))
-    total = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("mean")).first()  # stems are as many as tokens
-    hits = rows.select(key, "n", F.explode("q").alias("stem"), "s").select(key, "n", "stem", F.size(F.filter("s", lambda x: x == F.col("stem"))).alias("tf")).where("tf > 0")
-    df = hits.groupBy("stem").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(total["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(total["mean"])))
-    return hits.join(F.broadcast(df), "stem").groupBy(key).agg(F.sum(part).alias("score"))  # a row per word of the query
+    """(key, score) of documents with a query's stem, summed over rows of the same key.
+
+    Each text is cut into tokens once, and only those that begin with a stem of the query are stemmed, as a stem is its word's beginning. What is left of a
+    text, its length and a count for each stem, is written out; totals and scores come from there, and nothing but totals and hits is shuffled.
+    """
+    wanted = docs.sparkSession.range(1).select(F.array_distinct(stems(F.lit(query)))).first()[0]
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+
+    def begins(w: Column) -> Column:
+        out = F.lit(False)
+        for s in wanted:
+            out = out | w.startswith(s)
+        return out
+
+    rows = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("n"), F.transform(F.filter("t", begins), stem).alias("s"))
+
+    def held(q: str) -> Column:
+        return F.size(F.filter("s", lambda x: x == q))
+
+    counts = [held(q).alias(f"tf{i}") for i, q in enumerate(wanted)]
+    rows = cut(rows.select(key, "n", *counts))
+    total = rows.agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted)))).first()
+    score, some = F.lit(0.0), F.lit(False)
+    for i in range(len(wanted)):
+        tf, df = F.col(f"tf{i}"), total[f"df{i}"]
+        idf = F.log(F.lit(1 + (total["n_docs"] - df + 0.5) / (df + 0.5)))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(total["mean"])))).otherwise(0.0)
+        some = some | (tf > 0)
+    return rows.where(some).groupBy(key).agg(F.sum(score).alias("score"))

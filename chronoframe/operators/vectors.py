@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -88,6 +86,18 @@ class InvertedFile:
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", self.key)))
         return ranked.where(F.col("rank") <= k)
 
+    def search_codes(self, queries: DataFrame, quantizer: "ProductQuantizer", k: int = 10, probes: int = 4, candidates: int = 100) -> DataFrame:
+        """(query, key, distance, rank): the nearest ``candidates`` by codes in the probed cells, ranked again by their Euclidean distance."""
+        near = F.array(*(F.struct(euclidean(F.col(self.column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres.tolist())))
+        asked = queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("asked"), F.explode(F.slice(F.sort_array(near), 1, probes)["i"]).alias("cell"))
+        coded = self.rows.select(self.key, "cell", quantizer.encode(F.col(self.column)).alias("codes"))
+        rough = coded.join(asked, "cell").select("query", self.key, euclidean(quantizer.decode(F.col("codes")), F.col("asked")).alias("rough"))
+        some = rough.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("rough", self.key))).where(F.col("r") <= candidates).select("query", self.key)
+        vectors = queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("asked"))
+        found = some.join(self.rows.select(self.key, self.column), self.key).join(vectors, "query").select("query", self.key, euclidean(F.col(self.column), F.col("asked")).alias("distance"))
+        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", self.key)))
+        return ranked.where(F.col("rank") <= k)
+
 
 def quantize_int8(a: Column) -> Column:
     """(scale, codes): codes are the components by the largest absolute value, times 127."""
@@ -131,10 +141,16 @@ def temporal_search(df: DataFrame, key: str, column: str, query: list[float], at
     return search(df.where(now), key, column, query, k, metric)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def round_to_f16(v: pd.Series) -> pd.Series:
-    """Vectors as they come back from half precision."""
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
+def round_to_f16(a: Column) -> Column:
+    """Vectors as they come back from half precision: 11 bits, to even on ties; beyond its range infinite."""
+
+    def half(x: Column) -> Column:
+        x = x.cast("double")
+        step = F.pow(F.lit(2.0), F.greatest(F.when(x == 0, F.lit(-14.0)).otherwise(F.floor(F.log2(F.abs(x))).cast("double")), F.lit(-14.0)) - 10)
+        out = F.rint(x / step) * step
+        return F.when(F.abs(out) >= 65520, F.signum(x) * F.lit(float("inf"))).otherwise(out).cast("float")
+
+    return F.transform(a, half)
 
 
 class ProductQuantizer:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,18 +108,19 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, arg_max(value, {'t': ts, 'e': event_id}) AS value FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id")
 def feature_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("updated_at"), "value", "ts").where("ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00'")
-    return history.groupBy("user_id").agg(F.max_by("value", "updated_at").alias("value"))
+    history = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("updated_at"), "value")
+    end = F.struct(F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'").alias("ts"), F.lit(2**63 - 1).alias("event_id"))
+    return catalogue.point_in_time(history, "user_id", end, "value")
 
 
 # --- time series ---
 
-_BUCKETS = "b AS (SELECT event_type, (epoch_us(ts) // 1000000 // 3600) * 3600 AS bucket, round(sum(value), 6) AS total, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1, 2)"
+_BUCKETS = "b AS (SELECT event_type, (epoch_us(ts) // 1000000 // 3600) * 3600 AS bucket, round(sum(value), 6) AS total, count(*) AS n FROM events GROUP BY 1, 2)"
 _GRID = ", g AS (SELECT event_type, unnest(range(min(bucket), max(bucket) + 1, 3600)) AS bucket FROM b GROUP BY event_type), f AS (SELECT g.event_type, g.bucket, total, n FROM g LEFT JOIN b USING (event_type, bucket))"
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'signup')")
+    e = table(spark, sf_dir, "events")
     return e.groupBy("event_type", timeseries.time_bucket("1h", scalar.epoch(F.col("ts"))).alias("bucket")).agg(F.round(F.sum("value"), 6).alias("total"), F.count("*").alias("n"))
 
 
@@ -174,7 +176,7 @@ _STEMS = """tok AS (SELECT doc_id, list_filter(list_transform(string_split_regex
    WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END) AS t FROM tok)"""
 
 
-@query("WITH " + _STEMS + " SELECT doc_id, len(t)::INT AS n, list_aggregate(t, 'string_agg', ' ') AS stems FROM s WHERE doc_id < 50")
+@query("WITH " + _STEMS + " SELECT doc_id, len(t)::INT AS n, list_aggregate(t, 'string_agg', ' ') AS stems FROM s")
 def fts_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", text.stems(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n"), F.when(F.size("t") > 0, F.array_join("t", " ")).alias("stems"))
@@ -192,7 +194,15 @@ def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "licensed public").withColumn("score", F.round("score", 6))
 
 
-@query("SELECT doc_id, 'the <<Licensed>> works' AS marked FROM documents WHERE doc_id < 5")
+_MARKED = """CASE WHEN length(w) > 5 AND (ends_with(w, 'tion') OR ends_with(w, 'ness') OR ends_with(w, 'ment')) THEN left(w, length(w) - 4)
+   WHEN length(w) > 5 AND ends_with(w, 'ing') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND (ends_with(w, 'ed') OR ends_with(w, 'ly') OR ends_with(w, 'es')) THEN left(w, length(w) - 2)
+   WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END"""
+
+
+@query("""WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents),
+  b AS (SELECT doc_id, text, ws, list_transform(ws, lambda w: lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'))) AS bare FROM t),
+  m AS (SELECT doc_id, text, ws, list_transform(bare, lambda w: """ + _MARKED + """ = 'licens') AS hit FROM b)
+  SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(ws, lambda w, i: CASE WHEN hit[i] THEN '<<' || w || '>>' ELSE w END), ' ') END AS marked FROM m""")
 def fts_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.highlight(F.col("text"), "licensing licenses licensed").alias("marked"))
 
@@ -250,17 +260,38 @@ def vec_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.InvertedFile(rows, "vec_id", "embedding", 8).search_all(rows.where("vec_id % 50 = 0"), 10, 6)
 
 
-@query("""SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS scale FROM embeddings""")
+@query()
+def vec_ivf_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells and product codes together: the nearest by codes in 6 of 8 cells, of 50 of them the 10 nearest by the vectors themselves."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.InvertedFile(rows, "vec_id", "embedding", 8).search_codes(rows.where("vec_id % 50 = 0"), vectors.ProductQuantizer(rows, "vec_id", "embedding"), 10, 6, 50)
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query, a.vec_id, list_distance(a.v, q.v) AS d FROM e a, e q WHERE q.vec_id % 50 = 0)
+  SELECT query, vec_id, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= 10""")
+def vec_ivf_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that looks at all its cells is exact."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.InvertedFile(rows, "vec_id", "embedding", 8).search_all(rows.where("vec_id % 50 = 0"), 10, 8).withColumn("distance", F.round("distance", 6))
+
+
+def _checksum(codes: str) -> F.Column:
+    return F.aggregate(F.transform(codes, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+
+
+@query("""WITH e AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS scale FROM embeddings)
+  SELECT vec_id, round(scale, 6) AS scale, list_sum(list_transform(embedding, lambda x, i: CASE WHEN scale = 0 THEN 0 ELSE round(x::DOUBLE / scale * 127) END * i)) AS codes FROM e""")
 def vec_quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.quantize_int8(F.col("embedding")).alias("q"))
-    near = vectors.euclidean(vectors.dequantize_int8(F.col("q")), F.col("embedding")) <= F.col("q.scale") / 127 * F.sqrt(F.size("embedding"))
-    return q.where(near).select("vec_id", F.round("q.scale", 6).alias("scale"))
+    q = table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantize_int8(F.col("embedding")).alias("q"))
+    return q.select("vec_id", F.round("q.scale", 6).alias("scale"), _checksum("q.codes").alias("codes"))
 
 
-@query("SELECT vec_id FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+  s AS (SELECT vec_id, v, list_transform(v, lambda x: pow(2.0, greatest(CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END, -14) - 10)) AS step FROM e)
+  SELECT vec_id, round(list_sum(list_transform(v, lambda x, i: round_even(x / step[i], 0) * step[i] * i)), 6) AS halves FROM s""")
 def vec_quantize_f16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = vectors.euclidean(F.col("half"), F.col("embedding")) <= 0.001 * vectors.norm(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").withColumn("half", vectors.round_to_f16("embedding")).where(near).select("vec_id")
+    halves = table(spark, sf_dir, "embeddings").select("vec_id", vectors.round_to_f16(F.col("embedding")).alias("half"))
+    return halves.select("vec_id", F.round(_checksum("half"), 6).alias("halves"))
 
 
 @query()
@@ -442,15 +473,21 @@ def agg_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.top_values(table(spark, sf_dir, "part"), "p_brand")
 
 
-@query("SELECT abs(1500 - count(DISTINCT c_custkey)) <= 75 AS close FROM customer")
+@query("SELECT o_orderstatus AS status, count(DISTINCT o_custkey) AS n, true AS close FROM orders GROUP BY 1")
 def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_distinct("c_custkey")
-    return table(spark, sf_dir, "customer").agg((F.abs(F.approx_count_distinct("c_custkey", 0.01) - n) <= F.greatest(n * 0.05, F.lit(1))).alias("close"))
+    """Exact counts, and whether the estimate is within a twentieth."""
+    n = F.count_distinct("o_custkey")
+    near = F.abs(F.approx_count_distinct("o_custkey", 0.01) - n) <= F.greatest(n * 0.05, F.lit(1))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(n.alias("n"), near.alias("close"))
 
 
-@query("SELECT octet_length(''::BLOB) < 1 AS made")
+@query("SELECT user_id, count(*) AS n, true AS within FROM events GROUP BY 1")
 def agg_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.count_min(table(spark, sf_dir, "events"), "user_id").select((F.length("sketch") > 0).alias("made"))
+    """Exact counts, and whether the sketch's estimates are no less, and more by a thousandth of all rows at most."""
+    e = table(spark, sf_dir, "events")
+    guess = catalogue.count_min_estimates(catalogue.count_min_cells(e, "user_id"), e.select("user_id").distinct(), "user_id")
+    exact = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    return exact.join(guess, "user_id").crossJoin(F.broadcast(e.agg(F.count("*").alias("rows")))).select("user_id", "n", F.col("estimate").between(F.col("n"), F.col("n") + F.greatest(F.lit(1), F.col("rows") / 1000)).alias("within"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 3")
@@ -469,7 +506,12 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type FROM events WHERE starts_with(event_type, 'p')")
 def feed_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("event_type").startswith("p")).select("event_id", "event_type")
+    """The feed itself: a stream over the table, read to its end into a folder that is shared."""
+    out = f"{graph.shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    rows = feed.subscribe(spark, f"{sf_dir}/events.parque[t]", schema, "p", "event_type").select("event_id", "event_type")
+    feed.deliver(rows, f"{out}/cursor", lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch-{n}"), once=True).awaitTermination()
+    return spark.read.schema("event_id long, event_type string").parquet(f"{out}/batch-*")
 
 
 @query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -478,7 +520,13 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.unix_timestamp("window.start").alias("hour"), "event_type", "n")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT event_type AS name, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts)) AS rn FROM events),
+  s(name, rn, at_ms, total, n, start, mean, var, rate, away) AS (SELECT name, rn, at_ms, 1::BIGINT, 1::BIGINT, at_ms, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM w WHERE rn = 1
+  UNION ALL SELECT x.name, x.rn, x.at_ms, x.total, CASE WHEN x.ends THEN 0 ELSE x.n END, CASE WHEN x.ends THEN x.at_ms ELSE x.start END, CASE WHEN x.ends THEN x.m2 ELSE x.mean END, CASE WHEN x.ends THEN x.v2 ELSE x.var END,
+    CASE WHEN x.ends THEN x.r END, CASE WHEN x.ends AND x.total > 100 AND x.v2 > 0 THEN abs(x.r - x.m2) / sqrt(x.v2) END
+  FROM (SELECT *, mean + 0.1::DOUBLE * (r - mean) AS m2, 0.9::DOUBLE * (var + 0.1::DOUBLE * (r - mean) * (r - mean)) AS v2 FROM (SELECT s.name, w.rn, w.at_ms, s.total + 1 AS total, s.n + 1 AS n, s.start, s.mean, s.var,
+    w.at_ms - s.start >= 10000 AS ends, CASE WHEN w.at_ms > s.start THEN (s.n + 1) * 1000.0::DOUBLE / (w.at_ms - s.start) ELSE 0 END AS r FROM s JOIN w ON w.name = s.name AND w.rn = s.rn + 1)) x)
+  SELECT name, at_ms, round(rate, 6) AS rate, round(away, 6) AS sigmas FROM s WHERE away > 2.5""")
 def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
-    return feed.anomalies_batch(rows)
+    return feed.anomalies_batch(rows, 2.5).select("name", "at_ms", F.round("rate", 6).alias("rate"), F.round("sigmas", 6).alias("sigmas"))

@@ -24,7 +24,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "subq_from": "SELECT s.k, s.n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) s WHERE s.n > 12",
     "pred_comparison": """SELECT o_orderkey, o_totalprice <> 100 AS ne, o_totalprice >= 1e5 AS ge, NOT (o_orderstatus = 'O') AS n
         FROM orders WHERE o_custkey < 40 OR (o_totalprice > 200000 AND o_orderstatus = 'P')""",
-    "pred_null": "SELECT c.c_custkey, o.o_orderkey IS NULL AS none FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 WHERE o.o_orderkey IS NULL OR o.o_orderkey IS NOT NULL",
+    "pred_null": "SELECT c.c_custkey, o.o_orderkey IS NULL AS none FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 WHERE o.o_orderkey IS NULL OR c.c_acctbal IS NOT NULL AND c.c_custkey IS NULL",
     "pred_between": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_discount NOT BETWEEN 0.02 AND 0.08",
     "pred_in": "SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey NOT IN (2, 7)",
     "pred_like": "SELECT p_partkey FROM part WHERE p_name LIKE '%a_e%' AND p_type NOT LIKE 'M%'",
@@ -40,7 +40,7 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS d, CAST(floor(o_totalprice) AS BIGINT) AS i, try_cast(o_orderpriority AS INT) AS bad, CAST(o_orderkey AS VARCHAR) AS s FROM orders",
     ),
     "subq_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
-    "subq_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "subq_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
     "subq_exists": "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)",
     "subq_not_exists": "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal < -900)",
     "subq_scalar": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
@@ -54,7 +54,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_multiway": """SELECT c_custkey, round(sum(l_extendedprice), 2) AS total FROM customer JOIN orders ON c_custkey = o_custkey
         JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 GROUP BY c_custkey""",
     "join_semi": ("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey"),
-    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey"),
+    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000"),
     "join_shared_key": (
         "SELECT l.pk, l.name, r.name AS right_name FROM (SELECT c_custkey AS pk, c_name AS name FROM customer) l JOIN (SELECT s_suppkey AS pk, s_name AS name FROM supplier) r USING (pk)",
         "SELECT pk, l.name, r.name AS right_name FROM (SELECT c_custkey AS pk, c_name AS name FROM customer) l JOIN (SELECT s_suppkey AS pk, s_name AS name FROM supplier) r USING (pk)",
@@ -86,7 +86,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "set_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey + 10 AS k FROM supplier",
     "set_intersect": "SELECT c_custkey AS k FROM customer INTERSECT SELECT s_suppkey AS k FROM supplier",
-    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders",
+    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 200000",
     "cte_chain": "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT k, s FROM a WHERE s > 500000) SELECT k, round(s, 2) AS s FROM b",
     "cte_recursive": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
     "cte_hierarchy": (
@@ -94,7 +94,7 @@ SQL: dict[str, str | tuple[str, str]] = {
         SELECT e.id, depth + 1 FROM tree JOIN (SELECT c_custkey AS id, CAST(floor((c_custkey - 1) / 3) AS BIGINT) AS parent FROM customer) e ON e.parent = tree.id WHERE e.id <> tree.id)
         SELECT id, depth FROM tree""",
         """WITH RECURSIVE tree(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL
-        SELECT e.id, depth + 1 FROM tree JOIN (SELECT c_custkey AS id, CAST(floor((c_custkey - 1) / 3) AS BIGINT) AS parent FROM customer WHERE c_custkey <= 200) e ON e.parent = tree.id WHERE e.id <> tree.id)
+        SELECT e.id, depth + 1 FROM tree JOIN (SELECT c_custkey AS id, CAST(floor((c_custkey - 1) / 3) AS BIGINT) AS parent FROM customer) e ON e.parent = tree.id WHERE e.id <> tree.id)
         SELECT id, depth FROM tree""",
     ),
     "fn_string": (
