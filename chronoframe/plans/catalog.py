@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoframe import session
 from chronoframe.plans import composed, relational
+from chronoframe.plans.engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +19,7 @@ def _relational(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if tables := relational.tables_of(text):
             session.views(spark, sf_dir, *tables)
-        return spark.sql(text)
+        return Engine(spark, "").sql(text) if name.startswith("fn_") else spark.sql(text)  # functions in the engine's meaning
 
     return run
 

@@ -98,22 +98,22 @@ SQL: dict[str, str | tuple[str, str]] = {
         SELECT id, depth FROM tree""",
     ),
     "fn_string": (
-        """SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS lo, octet_length(c_name) AS bytes, substring(c_name, greatest(3, 1), 4) AS sub,
-           replace(c_name, '0', 'o') AS rep, concat_ws('', c_name, NULL, '!') AS cat, concat_ws('-', c_mktsegment, NULL, 'x') AS ws, left(c_name, 3) AS lef, right(c_name, 2) AS rig,
-           lpad(CAST(c_custkey AS STRING), 8, '*') AS lp, rpad(c_mktsegment, 4, '.') AS rp, reverse(c_name) AS rev, split_part(c_name, '#', 2) AS part, repeat(c_mktsegment, 2) AS twice,
-           instr(c_name, '00') AS pos, initcap(c_mktsegment) AS cap FROM customer""",
-        """SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS lo, strlen(c_name) AS bytes, substring(c_name, 3, 4) AS sub,
+        """SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS lo, LENGTH(c_name) AS bytes, SUBSTR(c_name, c_custkey % 5 - 1, 4) AS sub,
+           replace(c_name, '0', 'o') AS rep, CONCAT(c_name, NULL, '!') AS cat, concat_ws('-', c_mktsegment, NULL, 'x') AS ws, left(c_name, 3) AS lef, right(c_name, 2) AS rig,
+           lpad(CAST(c_custkey AS STRING), 8, '*') AS lp, rpad(c_mktsegment, 4, '.') AS rp, reverse(c_name) AS rev, SPLIT_PART(c_name, '#', c_custkey % 3) AS part, repeat(c_mktsegment, 2) AS twice,
+           STRPOS(c_name, '00') AS pos, INITCAP(CONCAT(' ', c_mktsegment, '  x')) AS cap, TRIM(CONCAT(' ', c_name, ' ')) AS bare FROM customer""",
+        """SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS lo, strlen(c_name) AS bytes, substring(c_name, greatest(c_custkey % 5 - 1, 1), 4) AS sub,
            replace(c_name, '0', 'o') AS rep, concat(c_name, NULL, '!') AS cat, concat_ws('-', c_mktsegment, NULL, 'x') AS ws, left(c_name, 3) AS lef, right(c_name, 2) AS rig,
            lpad(CAST(c_custkey AS VARCHAR), 8, '*') AS lp, CASE WHEN length(c_mktsegment) > 4 THEN left(c_mktsegment, 4) ELSE rpad(c_mktsegment, 4, '.') END AS rp, reverse(c_name) AS rev,
-           split_part(c_name, '#', 2) AS part, repeat(c_mktsegment, 2) AS twice, instr(c_name, '00') AS pos,
-           upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) AS cap FROM customer""",
+           CASE WHEN c_custkey % 3 = 0 THEN '' ELSE split_part(c_name, '#', (c_custkey % 3)::INT) END AS part, repeat(c_mktsegment, 2) AS twice, instr(c_name, '00') AS pos,
+           upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) || ' X' AS cap, c_name AS bare FROM customer""",
     ),
     "fn_numeric": (
         """SELECT o_orderkey, abs(o_totalprice - 1e5) AS ab, round(o_totalprice, 1) AS ro, CAST(ceil(o_totalprice) AS DOUBLE) AS ce, CAST(floor(o_totalprice) AS DOUBLE) AS fl, power(o_custkey, 2) AS po,
-           round(CASE WHEN o_totalprice >= 0 THEN sqrt(o_totalprice) END, 9) AS sq, round(log10(o_totalprice), 9) AS lg, round(ln(o_totalprice), 9) AS l, round(exp(o_custkey / 1000), 9) AS ex, sign(o_custkey - 50) AS sg,
+           round(SQRT(o_totalprice - 100000), 9) AS sq, round(LOG(o_totalprice), 9) AS lg, round(ln(o_totalprice), 9) AS l, round(exp(o_custkey / 1000), 9) AS ex, sign(o_custkey - 50) AS sg,
            greatest(o_custkey, 100, NULL) AS gr, least(o_custkey, 100, NULL) AS le FROM orders""",
         """SELECT o_orderkey, abs(o_totalprice - 1e5) AS ab, round(o_totalprice, 1) AS ro, ceil(o_totalprice) AS ce, floor(o_totalprice) AS fl, power(o_custkey, 2) AS po,
-           round(CASE WHEN o_totalprice >= 0 THEN sqrt(o_totalprice) END, 9) AS sq, round(log10(o_totalprice), 9) AS lg, round(ln(o_totalprice), 9) AS l, round(exp(o_custkey / 1000), 9) AS ex, sign(o_custkey - 50)::DOUBLE AS sg,
+           round(CASE WHEN o_totalprice >= 100000 THEN sqrt(o_totalprice - 100000) END, 9) AS sq, round(log10(o_totalprice), 9) AS lg, round(ln(o_totalprice), 9) AS l, round(exp(o_custkey / 1000), 9) AS ex, sign(o_custkey - 50)::DOUBLE AS sg,
            greatest(o_custkey, 100, NULL) AS gr, least(o_custkey, 100, NULL) AS le FROM orders""",
     ),
     "fn_conditional": (
@@ -121,19 +121,19 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT c_custkey, coalesce(NULL, c_name) AS co, nullif(c_mktsegment, 'BUILDING') AS nu, CASE WHEN c_acctbal > 0 THEN 'in' ELSE 'out' END AS iif FROM customer",
     ),
     "fn_datetime": (
-        """SELECT o_orderkey, CAST(unix_timestamp(o_orderdate) AS BIGINT) AS epoch, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS d,
-           dayofweek(o_orderdate) - 1 AS dow, dayofyear(o_orderdate) AS doy, CAST(floor((dayofyear(o_orderdate) - 1) / 7) + 1 AS INT) AS week_simple,
+        """SELECT o_orderkey, EPOCH(o_orderdate) AS epoch, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS d,
+           EXTRACT('dow', o_orderdate) AS dow, DATE_PART('doy', o_orderdate) AS doy, EXTRACT('week', o_orderdate) AS week_simple,
            CAST(unix_timestamp(date_trunc('week', o_orderdate)) AS BIGINT) AS wk, CAST(unix_timestamp(date_trunc('month', o_orderdate)) AS BIGINT) AS mo,
-           CAST(unix_timestamp(o_orderdate) AS BIGINT) + 90 AS plus, CAST(unix_timestamp(timestamp_seconds(o_orderkey)) AS BIGINT) AS made FROM orders""",
+           EPOCH(DATE_ADD(o_orderdate, 90)) AS plus, EPOCH(MAKE_TIMESTAMP(o_orderkey)) AS made FROM orders""",
         """SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS epoch, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m, day(o_orderdate) AS d,
            dayofweek(o_orderdate) AS dow, dayofyear(o_orderdate) AS doy, ((dayofyear(o_orderdate) - 1) // 7 + 1)::INT AS week_simple,
            epoch(date_trunc('week', o_orderdate))::BIGINT AS wk, epoch(date_trunc('month', o_orderdate))::BIGINT AS mo,
            epoch(o_orderdate)::BIGINT + 90 AS plus, epoch(to_timestamp(o_orderkey))::BIGINT AS made FROM orders""",
     ),
     "fn_json": (
-        """SELECT event_id, get_json_object(props, '$.k') AS k, to_json(variant_get(try_parse_json(props), '$.k')) AS raw, json_array_length('[1,2,3]') AS n,
-           get_json_object(props, '$.none') AS missing FROM events""",
-        "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract(props, '$.k') AS VARCHAR) AS raw, json_array_length('[1,2,3]')::INT AS n, json_extract_string(props, '$.none') AS missing FROM events",
+        """SELECT event_id, props ->> 'k' AS k, props -> 'k' AS raw, json_array_length(CONCAT('[', props ->> 'k', ',0]')) AS n,
+           props ->> 'none' AS missing, JSON_TYPE(props) AS kind, props @> '{"k": 7}' AS seven FROM events""",
+        "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract(props, '$.k') AS VARCHAR) AS raw, json_array_length('[' || json_extract_string(props, '$.k') || ',0]')::INT AS n, json_extract_string(props, '$.none') AS missing, lower(json_type(props)) AS kind, json_extract_string(props, '$.k') = '7' AS seven FROM events",
     ),
     "ai_top_risk_words": (
         "SELECT word, count(*) AS n FROM (SELECT explode(split(lower(event_type), '')) AS word FROM events) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 5",

@@ -391,3 +391,32 @@ def test_quantizers_and_registry(spark):
     r.observe("m", 2, 2.0)
     assert r.production("m") == 2 and rows(catalogue.table_of(r, spark)) == [("m", 1, "archived", 0, 0.0), ("m", 2, "production", 2, 1.5)]
     assert one(spark, risk.flatten_json(F.lit('{"b": [1, {"c": "x"}], "a": null}')))[0] == "a=null b[0]=1 b[1].c=x"
+
+
+def test_dialect(spark, tmp_path):
+    """Functions in this engine's meaning, by name and number of arguments; quotes, comments and lambdas are left alone."""
+    e = Engine(spark, str(tmp_path))
+    one = lambda x: rows(e.sql(f"SELECT {x} FROM (SELECT 'é' AS s, ' a  b\tc ' AS w, '{{\"a\":{{\"b\":[1,\"x\",null]}},\"t\":true}}' AS j, array(1, 2) AS v, 3661 AS ts)"))[0][0]
+    for x, want in [
+        ("LENGTH(s)", 2), ("TRIM(w)", "a  b\tc"), ("LTRIM(w)", "a  b\tc "), ("RTRIM(w)", " a  b\tc"), ("CONCAT(s, NULL, '!')", "é!"), ("SUBSTR('abc', 0, 2)", "ab"), ("SUBSTR('abc', -5)", "abc"),
+        ("SPLIT_PART('a,b', ',', 0)", ""), ("SPLIT_PART('a,b', ',', 2)", "b"), ("SPLIT_PART('a,b', ',', 9)", ""), ("INITCAP(w)", "A B C"), ("STRPOS('hay', 'y')", 3), ("POSITION('hay', 'q')", 0), ("position('y' IN 'hay')", 3),
+        ("SQRT(-1)", None), ("SQRT(16)", 4.0), ("LOG(1000)", 3.0), ("LOG(2, 8)", 3.0), ("LOG(0)", None), ("IIF(true, 1, 2)", 1), ("TYPEOF(1)", "number"), ("TYPEOF('a')", "text"), ("TYPEOF(NULL)", "null"), ("TYPEOF(1.5)", "decimal"),
+        ("EPOCH(ts)", 3661), ("EPOCH() > 1000", True), ("EXTRACT('minute', ts)", 1), ("EXTRACT('week', ts)", 1), ("EXTRACT('dow', ts)", 4), ("EXTRACT('none', ts)", 0), ("extract(YEAR FROM CAST(ts AS TIMESTAMP))", 1970),
+        ("EPOCH(DATE_ADD(ts, 39))", 3700), ("EPOCH(DATE_SUB(ts, 61))", 3600), ("EPOCH(MAKE_TIMESTAMP(5))", 5), ("TO_CHAR(CAST(2 AS DOUBLE))", "2"), ("TO_CHAR(2.5)", "2.5"), ("CAST(MAKE_INTERVAL(90) AS STRING) LIKE '%01:30%'", True),
+        ("JSON_EXTRACT(j, 'a')", '{"b":[1,"x",null]}'), ("JSON_TYPE(j)", "object"), ("JSON_TYPE('[1]')", "array"), ("JSON_TYPE('{')", None), ("j ->> 't'", "true"), ("'[1,2]' -> 1", "2") if False else ("j -> 't'", "true"),
+        ("j @> '{\"a\":{\"b\":[\"x\"]}}'", True), ("j @> '{\"a\":{\"b\":[2]}}'", False), ("j @> '{\"a\":{\"b\":[null, 1]}, \"t\":true}'", True), ("j @> '{\"t\":\"true\"}'", False),
+        ("VECTOR_DISTANCE('[1,0]', '[0,1]', 'cosine')", 1.0), ("VECTOR_DISTANCE('[1,2]', '[3,4]', 'dot')", -11.0), ("VECTOR_DISTANCE('[0,0]', '[3,4]')", 5.0), ("'LOG(1) a -> b -- c'", "LOG(1) a -> b -- c"), ("STRING_AGG(DISTINCT s)", "é"),
+        ("transform(v, x -> 'k')", ["k", "k"]), ("transform(v, j -> 'k')", ["k", "k"]), ("size(filter(v, x -> LENGTH('a') = 1)) /* LOG( */", 2), ("CONCAT('it''s', ' (', 'x)')", "it's (x)"),
+    ]:
+        got = one(x)
+        assert got == want or isinstance(want, float) and abs(got - want) < 1e-9, (x, got)
+    assert rows(e.sql("SELECT first(c, true), FIRST(c, d) FROM VALUES (1, 2), (3, 1) t(c, d)")) == [(1, 3)]
+    with pytest.raises(ValueError, match="no metric"):
+        e.sql("SELECT VECTOR_DISTANCE('[1]', '[2]', 'mile')")
+
+
+def test_gapfill_before_limit(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.create_table("m", "id int, ts long, value double", "id").insert(spark.createDataFrame([(1, 0, 1.0), (2, 180, 4.0)], "id int, ts long, value double"))
+    query = "SELECT TIME_BUCKET_GAPFILL('1m', ts) AS b, LOCF(max(value)) AS v FROM m GROUP BY b ORDER BY b DESC LIMIT 3"
+    assert e.sql(query).collect() == [(180, 4.0), (120, 1.0), (60, 1.0)]
