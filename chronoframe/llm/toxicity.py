@@ -39,6 +39,16 @@ class FactorizationMachine:
     def __init__(self, table: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.table, self.bias, self.weights, self.factors = table, bias, weights, factors
 
+    @classmethod
+    def of(cls, chosen: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray) -> FactorizationMachine:
+        """The machine whose features are the buckets ``chosen``, in order."""
+        table = np.full(1 << BUCKETS, -1, np.int32)
+        table[chosen] = np.arange(len(chosen))
+        return cls(table, bias, weights, factors)
+
+    def __reduce__(self):  # without the table, which the buckets give again
+        return FactorizationMachine.of, (np.flatnonzero(self.table >= 0).astype(np.int32), self.bias, self.weights, self.factors)
+
     def raw(self, row: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores before the logistic, and the factor sums, of ``n`` rows given as (row, feature) pairs."""
         held = self.factors[feature]
@@ -125,10 +135,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE_
         if total + n > SAMPLE_TERMS and last is not None:
             break
         last, total = at, total + n
-    taken = rows.where(F.col("at") <= F.lit(last)).select("doc_id", "y", "terms").collect() if last is not None else []
+    if last is None:
+        return fit([], np.zeros(0))
+    # one task of an executor fits the bounded sample; the driver gets the model alone
+    model = rows.where(F.col("at") <= F.lit(last)).select("doc_id", "y", "terms").coalesce(1).mapInArrow(_fit, "bias double, chosen binary, weights binary, factors binary").first()
     discard(rows)
-    taken.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return fit([np.frombuffer(bytes(r[2]), np.int32) for r in taken], np.array([r[1] for r in taken], float))
+    return FactorizationMachine.of(np.frombuffer(bytes(model["chosen"]), np.int32), model["bias"], np.frombuffer(bytes(model["weights"]), np.float32), np.frombuffer(bytes(model["factors"]), np.float32).reshape(-1, RANK))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    taken = sorted((i, y, t) for b in batches for i, y, t in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), b.column("terms").to_pylist(), strict=True))
+    m = fit([np.frombuffer(t, np.int32) for *_, t in taken], np.array([y for _, y, _ in taken], float))
+    parts = [np.flatnonzero(m.table >= 0).astype(np.int32), m.weights.astype(np.float32), m.factors.astype(np.float32)]
+    yield pa.RecordBatch.from_arrays([pa.array([m.bias], pa.float64()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["bias", "chosen", "weights", "factors"])
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, keep: dict[str, Column]) -> DataFrame:
