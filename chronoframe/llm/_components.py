@@ -30,19 +30,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return side.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points at one node at most, and none that is pointed at points on: then ``v`` is the component of ``u``."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("from"), F.lit(0).alias("to")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("from").alias("from"), F.max("to").alias("to")).where("from + to > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of the undirected ``edges``; the component is its smallest node.
 
     It reads the last round's files, which ``discard`` removes.
     """
-    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
-            break
-        before, last = mark, now
-        now = cut(_small_star(_large_star(last)), "edges")
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
+    while not _stars(now):
+        last, now = now, cut(_small_star(_large_star(now)), "edges")
         discard(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
