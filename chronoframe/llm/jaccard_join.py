@@ -41,26 +41,26 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._components import components
-from ._shared import cut, discard, whole_ids
+from ._shared import cut, discard, small_batches, whole_ids
 
 #: A parity has a power of two of bits: so many a token at least, and so many at least.
 TOKEN_BITS, LEAST_BITS = 2, 512
 _LINK = "a long, b long"
 _UNIT = "sig long, i long, j long, id long, c long"
 #: Tokens of sets that a task keeps to use again.
-_CACHE = 1 << 22
+_CACHE = 1 << 21
 #: Reports go out in runs of at most so many tokens, and classes.
-RUN_TOKENS, RUN_CLASSES = 1 << 20, 1 << 15
+RUN_TOKENS, RUN_CLASSES = 1 << 19, 1 << 15
 #: Bytes of input behind a block of reports, and the powers of two that the number of blocks stays between.
 BLOCK_BYTES, BLOCK_BITS = 8 << 20, (6, 20)
 #: A token that more classes report is frequent. Frequent tokens are known by TABLE_BITS of their hash: 16 MB at any input.
 OFTEN = 32
 TABLE_BITS = 24
-#: Rounds of leaders at most; they end when one leaves over nine tenths of the members outside their entries' largest components.
-ROUNDS = 12
+#: Rounds of leaders at most; they end when one leaves over three quarters of the members outside their entries' largest components.
+ROUNDS = 3
 #: Entries of up to so many members are compared as pairs, larger ones as pairs of blocks of about so many members, or tokens.
 PAIR_ROWS = 8
-BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
+BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 20
 #: Bits for each wanted id in a filter over ids, and at most in all (a fuller filter only lets more texts through to the join).
 ID_BITS, MOST_BITS = 8, 1 << 28
 
@@ -184,7 +184,7 @@ class _Runs:
     def add(self, key: tuple[int, int], tokens: np.ndarray) -> int:
         if key not in self.numbers:
             self.numbers[key] = len(self.numbers)
-            self.tokens.append(tokens)
+            self.tokens.append(tokens.copy())  # a view would hold the whole set
             self.size += len(tokens)
         return self.numbers[key]
 
@@ -217,7 +217,7 @@ def _pack_counts(numbers: np.ndarray) -> bytes:
     return u.astype("<u2").tobytes() + c.astype("<u4").tobytes()
 
 
-def _batches_of(rows: Iterator[tuple], columns: list[tuple[str, pa.DataType]], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _batches_of(rows: Iterator[tuple], columns: list[tuple[str, pa.DataType]], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Record batches of about so many bytes of binaries."""
     held, size = [], 0
 
@@ -550,7 +550,7 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _overlaps(sets: list[np.ndarray], some: np.ndarray, width: int = 4096) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray], some: np.ndarray, width: int = 2048) -> np.ndarray:
     """The sizes of the intersections of some sets with all, by products of 0/1 matrices over the tokens that at least two sets hold."""
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -614,11 +614,13 @@ class JaccardJoin:
             raise ValueError("percent must be over 50")
         self.docs, self.k, self.percent = docs.select(whole_ids(docs, "doc_id"), F.col("text").cast("string").alias("text")), k, percent
         self.spark = docs.sparkSession
-        scanned, self.rows = self._scanned()
-        self.texts = self._left(scanned)
-        discard(scanned)
-        self.index = self._indexed()
-        self._solve()
+        with small_batches(self.spark):
+            scanned, self.rows = self._scanned()
+            self.texts = self._left(scanned)
+            discard(scanned)
+            self.index = self._indexed()
+            self._solve()
+        self.table.destroy()
         discard(self.texts, self.index, self.parity)
 
     def _least(self, n: str) -> str:
@@ -740,7 +742,7 @@ class JaccardJoin:
             links = add(self._test(outside.select(*pair("id", "lead"))))
             still = self._open(still, links, "open")
             left, before = still.where("c != main").count(), left
-            if 10 * left > 9 * before:
+            if 4 * left > 3 * before:
                 break
         if left:
             few, many = still.where(F.col("m") <= PAIR_ROWS), still.where(F.col("m") > PAIR_ROWS)
