@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -640,10 +641,94 @@ def test_stages(spark, docs, none, tmp_path):
     assert stages.packing(spark, none, d).count() == 0
 
 
-def test_pipeline_runs():
+def brute_rules(text: str | None) -> bool:
+    """Whether a text passes policy v1, counted word by word."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = Counter(grams)
+    repeats = len({i + o for i, g in enumerate(grams) if times[g] > 1 for o in range(3)})
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = len(words), sum(map(len, words))
+    fails = (
+        n < 50, 100 * repeats > 50 * n, 10 * sum(c in "#*$%&|<>" for c in t) > n, 100 * sum("A" <= c <= "Z" for c in t) > 50 * chars, 100 * t.count("!") > 50 * n,
+        100 * (len(lines) - len(set(lines))) > 30 * len(lines), chars < 2 * n, chars > 15 * n,
+    )
+    return not any(fails)
+
+
+def brute_toxic(model, text: str | None) -> bool:
+    """The bias, every known term's weight, and the product of every pair's factors."""
+    f = [i for i in model.table[toxicity.terms([(text or "").encode()])[0]] if i >= 0]
+    raw = model.bias + sum(float(model.weights[i]) for i in f) + sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(f) for j in f[:n])
+    return raw >= 0
+
+
+def brute_redacted(rows: list) -> list:
+    """(doc_id, text) of (doc_id, text, owner) with values that look random and that fewer than three owners hold replaced."""
+    patterns = [(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16), (r"[A-Za-z0-9+/_-]+", 0, 24)]
+
+    def random_looking(v: str) -> bool:
+        return bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= 8)
+
+    found, owners = [], {}
+    for _, text, owner in rows:
+        spans = [[(m.start(), m.end(), m[g]) for m in re.finditer(p, text or "", re.A) if len(m[g]) >= least] for p, g, least in patterns]
+        base = spans[0] + spans[1] + spans[2]
+        values = {v for *_, v in base} | {v for a, b, v in spans[3] if random_looking(v) and not any(x < b and a < y for x, y, _ in base)}
+        found.append(values)
+        for v in values:
+            owners.setdefault(v, set()).add(owner or "")
+    out = []
+    for (i, text, _), values in zip(rows, found, strict=True):
+        for v in sorted((v for v in values if len(owners[v]) < 3 and random_looking(v)), key=lambda v: (len(v), v), reverse=True):
+            text = text.replace(v, "[SECRET]")
+        out.append((i, text))
+    return out
+
+
+def test_pipeline(spark, docs, none, tmp_path):
+    """The whole pipeline against the five stages in plain Python, on null, empty, long and repeated rows and columns of clashing names."""
     import corpus_pipeline
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "n-gram Jaccard join", "secret scans", "packing"]
+    bad = [(1000 + i, prose(1000 + i, 30) + " vile scum " + prose(2000 + i, 30), "en", f"src{i % 4}", 1) for i in range(120)]
+    held = [(3000 + i, prose(3000 + i, 70) + f" token = Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk{i % 3} AKIAABCDEFGHIJ{123456 + i // 8} end", "en", f"src{i % (2 if i % 3 else 5)}", 1) for i in range(24)]
+    plain = [(5000 + i, prose(5000 + i, 60 + i), "en", None, 1) for i in range(120)]
+    every = docs.union(spark.createDataFrame(bad + held + [held[0], held[0]] + plain, SCHEMA)).withColumns({"row": F.lit("r"), "live": F.lit(1), "score": F.lit(2.0), "component_id": F.lit(-1), "n_words": F.lit("x")})
+    d = str(tmp_path / "in")
+    every.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int(r in bad)) for r in bad + plain], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = corpus_pipeline.run(spark, d).collect()
+
+    rows = [(r.doc_id, r.text, r.source) for r in every.collect()]
+    good = [r for r in rows if brute_rules(r[1])]
+    model = toxicity.train(every, spark.read.parquet(f"{d}/labels.parquet"), queries.fold_of(F.col("doc_id"), 5) != 0)
+    calm = [r for r in good if not brute_toxic(model, r[1])]
+    leader = {i: c for i, _, c in brute_components([r[:2] for r in calm], stages.K, stages.PERCENT)}
+    alone = [r for r in calm if r[0] is None or leader[r[0]] == r[0]]
+    last = brute_redacted(alone)
+    assert len(rows) > len(good) > len(calm) > len(alone) > 100 and sum("[SECRET]" in t for _, t in last) > 10 and any("AKIA" in t for _, t in last)
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in last}
+    times, covered, sequences = Counter(i for i, _ in last), {i: np.zeros(len(x), int) for i, x in ids.items()}, {}
+    for r in got:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length > 0 and r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        covered[r.doc_id][r.start : r.start + r.length] += 1
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert times[3000] == 3 and all((c == times[i]).all() for i, c in covered.items())
+    for s in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(s)])
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+    e = str(tmp_path / "empty")
+    none.write.parquet(f"{e}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{e}/labels.parquet")
+    assert corpus_pipeline.run(spark, e).count() == 0
 
 
 def test_empty_tables(none):
