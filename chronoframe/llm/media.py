@@ -1,7 +1,8 @@
 """Media columns: AVI files with motion-JPEG frames, and the shots in them.
 
-``parse_avi`` walks the RIFF chunks and takes the frames from the ``idx1`` index (or from ``movi`` where there is none);
-``decode_jpeg`` reads baseline JPEG frames; ``shots`` cuts where the histogram of a frame differs from the one before by
+``parse_avi`` walks the RIFF chunks and takes the first video stream's frames from the ``idx1`` index (or from ``movi`` and the ``rec `` lists in it
+where there is none), and from the ``AVIX`` segments that follow; ``decode_jpeg`` reads baseline JPEG frames, with the standard's code tables where a
+frame has none; ``shots`` cuts where the histogram of a frame differs from the one before by
 much more than frames lately did; ``clips`` turns a column of AVI files into timed clip rows.
 
 ``store`` writes bytes losslessly as such a file: the format's unit is the quantised DCT coefficient. A block of 64 bytes
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,30 +95,77 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at = at + 8 + size + size % 2
 
 
+def _segments(data: bytes) -> Iterator[dict[bytes, tuple[int, int]]]:
+    """The parts (tag -> start, end) of each RIFF segment: the ``AVI `` one, then the ``AVIX`` ones that long files go on with."""
+    at = 0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] == (b"AVIX" if at else b"AVI "):
+        size, parts = struct.unpack_from("<I", data, at + 4)[0], {}
+        for tag, start, end in _chunks(data, at + 12, min(at + 8 + size, len(data)) if size else len(data)):
+            parts.setdefault(tag, (start, end))
+        yield parts
+        at += 8 + size + size % 2
+
+
+def _video_stream(data: bytes, head: tuple[int, int]) -> tuple[bytes, int]:
+    """The first video stream's number, as its chunks are named, and its microseconds a frame (0 if unknown)."""
+    number = 0
+    for tag, start, end in _chunks(data, *head):
+        if tag == b"strl":
+            for kind, a, b in _chunks(data, start, end):
+                if kind == b"strh" and data[a : a + 4] == b"vids":
+                    scale, rate = struct.unpack_from("<II", data, a + 20) if b - a >= 28 else (0, 0)
+                    return b"%02d" % number, scale * 1_000_000 // rate if rate else 0
+            number += 1
+    if number:
+        raise ValueError("no video stream")
+    return b"00", 0
+
+
+def _walk(data: bytes, start: int, end: int, names: tuple[bytes, ...]) -> Iterator[tuple[int, int]]:
+    """Where the chunks of these names lie, those in ``rec `` lists too, in the file's order."""
+    for tag, a, b in _chunks(data, start, end):
+        if tag == b"rec ":
+            yield from ((c, d) for kind, c, d in _chunks(data, a, b) if kind in names)
+        elif tag in names:
+            yield a, b
+
+
 def parse_avi(data: bytes) -> dict:
-    """frame_us, width, height, comment, frames of the first video stream. ValueError if it is none."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+    """frame_us, width, height, comment, frames of the first video stream. ValueError if it is none.
+
+    An empty frame repeats the one before it (the first frame after it, at the start).
+    """
+    segments = list(_segments(data))
+    if not segments:
         raise ValueError("not an AVI file")
-    out = {"frame_us": FRAME_US, "width": 0, "height": 0, "comment": b"", "frames": []}
-    parts = {}
-    for tag, start, end in _chunks(data, 12, len(data)):
-        parts.setdefault(tag, (start, end))
-    for tag, start, end in _chunks(data, *parts.get(b"hdrl", (0, 0))):
+    parts = segments[0]
+    out = {"frame_us": 0, "width": 0, "height": 0, "comment": b"", "frames": []}
+    head = parts.get(b"hdrl", (0, 0))
+    for tag, start, end in _chunks(data, *head):
         if tag == b"avih" and end - start >= 40:
             out["frame_us"], out["width"], out["height"] = (struct.unpack_from("<I", data, start + o)[0] for o in (0, 32, 36))
+    stream, lasts = _video_stream(data, head)
+    out["frame_us"] = out["frame_us"] or lasts or FRAME_US
     for tag, start, end in _chunks(data, *parts.get(b"INFO", (0, 0))):
         if tag == b"ICMT":
             out["comment"] = data[start:end]
     if b"movi" not in parts:
         raise ValueError("no frames")
+    names = (stream + b"dc", stream + b"db")
     first, last = parts[b"movi"]
     if b"idx1" in parts:
         start, end = parts[b"idx1"]
         entries = list(struct.iter_unpack("<4sIII", data[start : end - (end - start) % 16]))
-        base = first - 4 if entries and entries[0][2] < first else -0  # offsets count from the list's kind, or from the file's start
-        out["frames"] = [data[base + at + 8 : base + at + 8 + n] for tag, _, at, n in entries if tag[2:] in (b"dc", b"db")]
+        base = first - 4 if entries and entries[0][2] < first else 0  # offsets count from the list's kind, or from the file's start
+        places = [(base + at + 8, base + at + 8 + n) for tag, _, at, n in entries if tag in names]
     else:
-        out["frames"] = [data[a:b] for tag, a, b in _chunks(data, first, last) if tag[2:] in (b"dc", b"db")]
+        places = list(_walk(data, first, last, names))
+    for more in segments[1:]:
+        places += _walk(data, *more.get(b"movi", (0, 0)), names)
+    shown = next((p for p in places if p[0] < p[1]), None)
+    for p in places if shown else ():
+        shown = p if p[0] < p[1] else shown
+        out["frames"].append(data[shown[0] : shown[1]])
     return out
 
 
@@ -179,11 +227,45 @@ def encode_frames(blocks: np.ndarray, across: int, down: int) -> list[bytes]:
     return [head + data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+#: Fixed values, of the JPEG standard: how many codes have 1 to 16 bits, and the symbols in the order of their codes, for brightness and for
+#: colour. Frames in AVI files may leave these tables out. All AC symbols that are not named follow in rising order.
+DC_COUNTS = [[0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]]
+AC_COUNTS = [[0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]]
+AC_FIRST = [
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+]
+
+
+def _code_table(counts: Iterable[int], symbols: bytes) -> dict[tuple[int, int], int]:
+    """(bits, code) -> symbol: codes of one length are consecutive, and each length goes on from the one before."""
+    code, at, table = 0, 0, {}
+    for length, count in enumerate(counts, 1):
+        for _ in range(count):
+            table[length, code] = symbols[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return table
+
+
+def _standard_codes() -> dict[tuple[int, int], dict[tuple[int, int], int]]:
+    out = {}
+    for n in (0, 1):
+        first = bytes.fromhex(AC_FIRST[n])
+        every = {0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))}
+        out[0, n] = _code_table(DC_COUNTS[n], bytes(range(12)))
+        out[1, n] = _code_table(AC_COUNTS[n], first + bytes(sorted(every - set(first))))
+    return out
+
+
+STANDARD = _standard_codes()
+
+
 class Header:
     """The tables of a JPEG frame up to its scan; ``at`` is where the scan's bits start."""
 
     def __init__(self, data: bytes):
-        self.quant, self.codes, self.restart, self.parts, self.scan = {}, {}, 0, [], []
+        self.quant, self.codes, self.restart, self.parts, self.scan = {}, dict(STANDARD), 0, [], []
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG frame")
         at = 2
@@ -218,14 +300,9 @@ class Header:
 
     def _codes(self, body: bytes) -> None:
         while body:
-            counts, code, at, table = body[1:17], 0, 17, {}
-            for length, count in enumerate(counts, 1):
-                for _ in range(count):
-                    table[length, code] = body[at]
-                    code, at = code + 1, at + 1
-                code <<= 1
-            self.codes[body[0] >> 4, body[0] & 15] = table
-            body = body[at:]
+            n = sum(body[1:17])
+            self.codes[body[0] >> 4, body[0] & 15] = _code_table(body[1:17], body[17 : 17 + n])
+            body = body[17 + n :]
 
 
 def _bits(data: bytes) -> Iterator[int]:
@@ -380,8 +457,8 @@ def read_clips(data: bytes | None) -> list[tuple[int, int, int, int]]:
         starts = [*shots(histograms(avi["frames"], stored_blocks(avi["frames"]))), len(avi["frames"])]
     except (ValueError, struct.error, IndexError):
         return []
-    ms = avi["frame_us"] / 1000
-    return [(i, int(a * ms), int(b * ms), b - a) for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
+    us = avi["frame_us"]
+    return [(i, a * us // 1000, b * us // 1000, b - a) for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
 
 
 def clips(media: DataFrame, key: str = "media_id", column: str = "media") -> DataFrame:
@@ -426,8 +503,8 @@ def _row(text: bytes) -> tuple:
     data = store(text)
     payload, counts, avi = load(data)
     starts = [*shots(counts), len(counts)]
-    ms = avi["frame_us"] // 1000
-    timed = ",".join(f"{a * ms}-{b * ms}" for a, b in zip(starts, starts[1:], strict=False))
+    us = avi["frame_us"]
+    timed = ",".join(f"{a * us // 1000}-{b * us // 1000}" for a, b in zip(starts, starts[1:], strict=False))
     feature = f"frames={len(counts)};shots={len(starts) - 1};levels={'.'.join(map(str, counts.sum(axis=0).tolist()))};clips_ms={timed}"
     return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature
 

@@ -293,6 +293,42 @@ def test_media_clips(spark):
     assert {r.media_id for r in got} <= {1, 4, 5}
 
 
+def test_media_standard_codes():
+    """A frame without code tables is read by the standard's."""
+    bits = "1110" + "111100" + "1010"  # size 6, 60, end of block
+    body = int(bits + "11", 2).to_bytes(2, "big")
+    frame = (
+        b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([8]) * 64) + media._segment(0xC0, bytes([8, 0, 8, 0, 8, 1, 1, 0x11, 0])) + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + body + b"\xff\xd9"
+    )
+    assert media.decode_jpeg(frame).tolist() == [[188] * 8] * 8
+    codes = {(kind, symbol): f"{code:0{n}b}" for kind, table in media.STANDARD.items() for (n, code), symbol in table.items()}
+    assert len(codes) == 2 * (12 + 162)
+    for kind, symbol, code in [((0, 0), 11, "111111110"), ((0, 1), 0, "00"), ((0, 1), 11, "11111111110"), ((1, 0), 0x01, "00"), ((1, 0), 0xF0, "11111111001"), ((1, 0), 0xFA, "1" * 15 + "0"), ((1, 1), 0x00, "00"), ((1, 1), 0xF0, "1111111010")]:
+        assert codes[kind, symbol] == code
+    for table in media.STANDARD.values():  # no code begins another, and none is all ones
+        held = sorted(f"{c:0{n}b}" for n, c in table)
+        assert not any(b.startswith(a) for a, b in zip(held, held[1:], strict=False)) and all("0" in c for c in held)
+
+
+def test_media_other_files():
+    """Further segments, lists without an index, a sound stream before the video, and frames that repeat the one before."""
+    frames = [grey_frame(v) for v in (-100, -100, 90, 90, 90, 90)]
+    one = media.write_avi(frames, 8, 8, b"")
+    more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + b"".join(media._chunk(b"00dc", grey_frame(0)) for _ in range(2))))
+    assert media.parse_avi(one + more)["frames"] == [*frames, grey_frame(0), grey_frame(0)]
+    assert media.read_clips(one + more) == [(0, 0, 80, 2), (1, 80, 240, 4), (2, 240, 320, 2)]
+
+    stream = lambda kind: media._chunk(b"LIST", b"strl" + media._chunk(b"strh", kind + bytes(16) + (1).to_bytes(4, "little") + (25).to_bytes(4, "little") + bytes(28)))
+    part = lambda *chunks: media._chunk(b"LIST", b"rec " + b"".join(media._chunk(*c) for c in chunks))
+    a, b = frames[0], frames[2]
+    movi = part((b"01dc", b""), (b"00wb", b"noise"), (b"01dc", a)) + part((b"00wb", b"noise"), (b"01dc", b"")) + media._chunk(b"01dc", b)
+    head = media._chunk(b"LIST", b"hdrl" + stream(b"auds") + stream(b"vids") + stream(b"vids"))
+    found = media.parse_avi(media._chunk(b"RIFF", b"AVI " + head + media._chunk(b"LIST", b"movi" + movi)))
+    assert found["frames"] == [a, a, a, b] and found["frame_us"] == 40_000
+    silent = media._chunk(b"RIFF", b"AVI " + media._chunk(b"LIST", b"hdrl" + stream(b"auds")) + media._chunk(b"LIST", b"movi" + movi))
+    assert media.read_clips(silent) == []
+
+
 # --- 4 ---
 
 
