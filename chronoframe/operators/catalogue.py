@@ -51,7 +51,7 @@ class Migrations:
 
 
 class Policies:
-    """Row policies, enforced: a role reads a table through the predicates that name it; a table without policies is open."""
+    """Row policies, enforced: a role reads a table through the predicates that name it (one without roles lets everybody); a table without policies is open."""
 
     def __init__(self):
         self.rows: dict[str, list[tuple[str, set[str], Column]]] = {}
@@ -68,7 +68,7 @@ class Policies:
             return df
         allowed = F.lit(False)
         for _, names, predicate in self.rows[table]:
-            if names & roles:
+            if not names or names & roles:
                 allowed = allowed | predicate
         return df.where(allowed)
 

@@ -1,45 +1,55 @@
 """A bitemporal store on Parquet: every write appends versions, reads pick the visible ones.
 
-A table is a folder of (pk, doc, commit_ts, valid_from, valid_to, is_deleted) with ``doc`` a struct or JSON text. The commit
-clock is one number per store, kept by the writing driver and read back from the files at start. A transaction stages its
-rows on the driver's plan and appends them at once; readers of the store see a commit whole or not at all.
+A table is folders of (columns, commit_ts, valid_from, valid_to, is_deleted), named by its store's commit log (see ``store``). Folders are
+never changed: erasing, compaction and changes of columns write a new one, log it in place of the others, and delete those.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronoframe.operators import temporal
+from chronoframe.operators.store import Store
 from chronoframe.operators.temporal import FOREVER
 
 META = ["commit_ts", "valid_from", "valid_to", "is_deleted"]
 
 
 class Ledger:
-    """One table. ``schema`` names its columns; ``key`` is its primary key."""
+    """One table. ``schema`` names its columns; ``key`` is its primary key. Without a ``store`` the table is a store of its own."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "pk"):
-        self.spark, self.path, self.key = spark, path, key
-        self.schema = spark.createDataFrame([], f"{schema}, commit_ts long, valid_from long, valid_to long, is_deleted boolean").schema
-        self.columns = [c for c in self.schema.names if c not in META]
-        self.staged: list[DataFrame] | None = None
-        self.marks: dict[str, int] = {}
-        self.clock = self._stored().agg(F.max("commit_ts")).first()[0] or 0
-        self.epochs: dict[int, int] = {}
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "pk", store: Store | None = None):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.name, self.store = self.path.rpartition("/")[2], store or Store(spark, path)
+        self._shape(spark.createDataFrame([], f"{schema}, commit_ts long, valid_from long, valid_to long, is_deleted boolean").schema)
+
+    def _shape(self, schema: StructType) -> None:
+        self.schema = schema
+        self.columns = [c for c in schema.names if c not in META]
+
+    @property
+    def ddl(self) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema if f.name not in META)
+
+    @property
+    def clock(self) -> int:
+        self.store.refresh()
+        return self.store.clock
 
     # reads
 
     def _stored(self) -> DataFrame:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema(self.schema).parquet(self.path) if fs.exists(jvm_path) else self.spark.createDataFrame([], self.schema)
+        folders = self.store.folders(self.name)
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def versions(self) -> DataFrame:
         """All versions, a transaction's own staged ones among them."""
-        return reduce(DataFrame.unionByName, self.staged or [], self._stored())
+        return reduce(DataFrame.unionByName, (rows for table, rows in self.store.staged or [] if table.name == self.name), self._stored())
 
     def read(self, as_of: int | None = None, valid_at: int | None = None) -> DataFrame:
         """The visible rows; a read at an earlier time does not see staged rows."""
@@ -47,7 +57,7 @@ class Ledger:
         return temporal.visible(source, as_of, valid_at, self.key).select(*self.columns)
 
     def read_epoch(self, epoch: int) -> DataFrame:
-        return self.read(as_of=self.epochs.get(epoch, epoch))
+        return self.read(as_of=self.store.time_of(epoch))
 
     def get(self, key: object, as_of: int | None = None, valid_at: int | None = None) -> DataFrame:
         """A point lookup: the key reaches the scan."""
@@ -61,13 +71,10 @@ class Ledger:
     # writes
 
     def _append(self, rows: DataFrame, deleted: bool, valid: tuple[int, int]) -> DataFrame:
-        self.clock += 1
-        stamped = rows.select(*self.columns).withColumns({"commit_ts": F.lit(self.clock).cast("long"), "valid_from": F.lit(valid[0]).cast("long"), "valid_to": F.lit(valid[1]).cast("long"), "is_deleted": F.lit(deleted)})
+        ts = self.store.next_ts()
+        stamped = rows.select(*self.columns).withColumns({"commit_ts": F.lit(ts).cast("long"), "valid_from": F.lit(valid[0]).cast("long"), "valid_to": F.lit(valid[1]).cast("long"), "is_deleted": F.lit(deleted)})
         stamped = stamped.select(*(F.col(f.name).cast(f.dataType) for f in self.schema))
-        if self.staged is not None:
-            self.staged.append(stamped)
-        else:
-            stamped.write.mode("append").parquet(self.path)
+        self.store.append("delete" if deleted else "insert", self, stamped)
         return stamped.select(*self.columns)
 
     def insert(self, rows: DataFrame, valid: tuple[int, int] = (0, FOREVER)) -> DataFrame:
@@ -91,66 +98,45 @@ class Ledger:
         return self._append(self.read().where(where), True, (0, FOREVER))
 
     def forget(self, key: object) -> None:
-        """Erase every version of a key: the table is written anew without it."""
-        self._rewrite(self._stored().where(F.col(self.key) != key))
+        """Erase every version of a key: the table is written anew without it. The log keeps that it was done, and the key's hash alone."""
+        self.store.replace(f"forget {hashlib.sha256(str(key).encode()).hexdigest()} from", self, self._stored().where(~F.col(self.key).eqNullSafe(key)))
 
     def vacuum(self, before: int) -> None:
         """Drop versions that no read as of ``before`` or later can see, and deleted keys' remains among them."""
         known = temporal.known(self._stored(), self.key)
-        self._rewrite(known.where((F.col("known_to") > before) & ~(F.col("is_deleted") & (F.col("known_to") == FOREVER) & (F.col("commit_ts") <= before))).drop("known_to"))
+        self.store.replace("vacuum", self, known.where((F.col("known_to") > before) & ~(F.col("is_deleted") & (F.col("known_to") == FOREVER) & (F.col("commit_ts") <= before))).drop("known_to"))
 
-    def reshape(self, columns: list[tuple[str, str, Column]]) -> None:
+    def restore(self, rows: DataFrame) -> None:
+        """These versions in place of all."""
+        self.store.replace("restore", self, rows.select(*self.schema.names), rows.agg(F.max("commit_ts")).first()[0] or 0)
+
+    def reshape(self, columns: list[tuple[str, str, Column]], key: str | None = None) -> None:
         """The table anew with columns (name, type, expression over the old ones), all versions kept."""
         rows = self._stored().select(*(e.cast(kind).alias(name) for name, kind, e in columns), *META)
-        old = self.schema
-        self.schema = rows.schema
-        self.columns = [c for c, *_ in columns]
-        try:
-            self._rewrite(rows)
-        except Exception:
-            self.schema, self.columns = old, [c for c in old.names if c not in META]
-            raise
-
-    def _rewrite(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}.next")
-        self.spark.read.schema(self.schema).parquet(f"{self.path}.next").write.mode("overwrite").parquet(self.path)
+        ddl = ", ".join(f"`{name}` {kind}" for name, kind, _ in columns)
+        self.store.replace("alter", self, rows, schema=ddl, key=key or self.key)
+        self.key = key or self.key
+        self._shape(rows.schema)
 
-    # transactions
+    # transactions: the store's, over all its tables
 
     def begin(self) -> None:
-        if self.staged is not None:
-            raise ValueError("a transaction is open")
-        self.staged, self.marks = [], {}
+        self.store.begin()
 
     def commit(self) -> int:
-        """Append all staged rows at once; returns the epoch."""
-        self._open()
-        rows, self.staged = self.staged, None
-        if rows:
-            reduce(DataFrame.unionByName, rows).write.mode("append").parquet(self.path)
-        epoch = len(self.epochs) + 1
-        self.epochs[epoch] = self.clock
-        return epoch
+        return self.store.commit()
 
     def rollback(self) -> None:
-        self._open()
-        self.staged = None
+        self.store.rollback()
 
     def savepoint(self, name: str) -> None:
-        self._open()
-        self.marks[name] = len(self.staged)
+        self.store.savepoint(name)
 
     def rollback_to(self, name: str) -> None:
-        self._open()
-        del self.staged[self.marks[name] :]
+        self.store.rollback_to(name)
 
     def release(self, name: str) -> None:
-        self._open()
-        del self.marks[name]
-
-    def _open(self) -> None:
-        if self.staged is None:
-            raise ValueError("no transaction is open")
+        self.store.release(name)
 
 
 def create_as(spark: SparkSession, path: str, rows: DataFrame, key: str) -> Ledger:

@@ -35,10 +35,10 @@ def known(ledger: DataFrame, key: str = "pk") -> DataFrame:
     return ledger.withColumn("known_to", F.coalesce(F.lead("commit_ts").over(W.partitionBy(key).orderBy("commit_ts", "valid_from")), F.lit(FOREVER)))
 
 
-def system_time(ledger: DataFrame, start: int, end: int, closed: bool = False) -> DataFrame:
+def system_time(ledger: DataFrame, start: int, end: int, closed: bool = False, key: str = "pk") -> DataFrame:
     """Versions known at some time from ``start`` to ``end`` (inclusive if ``closed``)."""
     before = F.col("commit_ts") <= end if closed else F.col("commit_ts") < end
-    return known(ledger).where(before & (F.col("known_to") > start)).drop("known_to")
+    return known(ledger, key).where(before & (F.col("known_to") > start)).drop("known_to")
 
 
 def application_time(ledger: DataFrame, start: int, end: int, closed: bool = False) -> DataFrame:

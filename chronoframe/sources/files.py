@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from chronoframe.sources import paths
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -48,18 +54,40 @@ def copy_from(spark: SparkSession, path: str, kind: str, key: str = "pk") -> Dat
     return df.withColumn(key, F.coalesce(F.col(key).cast("string"), made) if key in df.columns else made)
 
 
+def _measured(rows: DataFrame) -> tuple[int, int]:
+    got = rows.agg(F.count("*"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))).first()
+    return got[0], int(got[1] or 0)
+
+
 def backup(ledger: DataFrame, path: str, since_commit: int | None = None) -> None:
-    """All versions, or those newer than a commit timestamp."""
+    """All versions, or those newer than a commit timestamp, and a manifest of what was written."""
     rows = ledger if since_commit is None else ledger.where(F.col("commit_ts") > since_commit)
     rows.write.mode("overwrite").parquet(path)
+    n, checksum = _measured(ledger.sparkSession.read.schema(rows.schema).parquet(path))
+    manifest = {"rows": n, "checksum": str(checksum), "since": since_commit, "schema": rows.schema.jsonValue()}
+    paths.write_text(ledger.sparkSession, f"{path}/_manifest.json", json.dumps(manifest))
 
 
-def restore(spark: SparkSession, *paths: str) -> DataFrame:
-    """A full backup with the deltas after it."""
-    return spark.read.parquet(*paths).distinct()
+def restore(spark: SparkSession, *folders: str) -> DataFrame:
+    """A full backup with the deltas after it, in order; of each delta, what is newer than all before it. Rows that repeat stay."""
+    rows = spark.read.parquet(folders[0])
+    for folder in folders[1:]:
+        last = rows.agg(F.max("commit_ts")).first()[0]
+        rows = rows.unionByName(spark.read.parquet(folder).where(F.col("commit_ts") > (last if last is not None else -1)))
+    return rows
 
 
 def verify_backup(spark: SparkSession, path: str) -> DataFrame:
-    """(status, n_rows, checksum) of a backup: VALID if it can be read."""
-    rows = spark.read.parquet(path)
-    return rows.agg(F.lit("VALID").alias("status"), F.count("*").alias("n_rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("checksum"))
+    """(status, n_rows, checksum, issues) of a backup: VALID if it holds the rows that its manifest counts, with their checksum."""
+    n = checksum = None
+    if not paths.exists(spark, f"{path}/_manifest.json"):
+        issues = "no manifest"
+    else:
+        manifest = json.loads(paths.read_text(spark, f"{path}/_manifest.json"))
+        try:
+            n, checksum = _measured(spark.read.schema(StructType.fromJson(manifest["schema"])).parquet(path))
+            issues = "" if n == manifest["rows"] else f"{manifest['rows']} rows expected"
+            issues = issues or ("" if str(checksum) == manifest["checksum"] else "rows differ")
+        except PySparkException as e:
+            issues = f"can't be read: {type(e).__name__}"
+    return spark.createDataFrame([("ISSUES_FOUND" if issues else "VALID", n, None if checksum is None else str(checksum), issues)], "status string, n_rows long, checksum string, issues string")

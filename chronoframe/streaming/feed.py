@@ -11,10 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from chronoframe.operators import risk
+
 
 def subscribe(spark: SparkSession, path: str, schema: StructType, prefix: str = "", key: str = "pk") -> DataFrame:
-    """A stream of the versions appended to a ledger folder whose keys start with ``prefix``."""
-    return spark.readStream.schema(schema).parquet(path).where(F.col(key).startswith(prefix))
+    """A stream of the versions committed to a ledger folder whose keys start with ``prefix``; what waits for its commit, and what a rewrite moved, lies out of its sight."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path).where(F.col(key).startswith(prefix))
 
 
 def deliver(feed: DataFrame, cursor: str, handle: Callable[[DataFrame, int], None], once: bool = False) -> StreamingQuery:
@@ -23,6 +25,17 @@ def deliver(feed: DataFrame, cursor: str, handle: Callable[[DataFrame, int], Non
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def observe(changes: DataFrame, text: str, folder: str, cursor: str, every_ms: int = 1000, once: bool = False) -> StreamingQuery:
+    """Insights into each micro-batch of changes, a folder a batch: one that is handed over again takes the place of its first try."""
+
+    def handle(batch: DataFrame, n: int) -> None:
+        now = batch.withColumn("at_ms", F.unix_millis(F.current_timestamp()))
+        risk.insights(now, text, "at_ms").write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    writer = changes.writeStream.foreachBatch(handle).option("checkpointLocation", cursor)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{every_ms} milliseconds")).start()
+
+
 def cursors(spark: SparkSession, folder: str) -> list[str]:
     """The names of cursors kept below ``folder``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
