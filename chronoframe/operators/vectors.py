@@ -71,8 +71,19 @@ class InvertedFile:
             cell = ((sample[:, None] - centres[None]) ** 2).sum(2).argmin(1)
             centres = np.array([sample[cell == i].mean(0) if (cell == i).any() else c for i, c in enumerate(centres)])
         self.centres, self.key, self.column = centres, key, column
-        near = F.array(*(F.struct(euclidean(F.col(column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres.tolist())))
-        self.rows = df.withColumn("cell", F.array_min(near)["i"])
+        self.rows = df.withColumn("cell", self.cell())
+
+    @classmethod
+    def of(cls, centres: list[list[float]], key: str, column: str) -> InvertedFile:
+        """With centres learnt before; ``rows``, which have a column ``cell``, are the caller's to give."""
+        made = cls.__new__(cls)
+        made.centres, made.key, made.column, made.rows = np.array(centres, float), key, column, None
+        return made
+
+    def cell(self) -> Column:
+        """The number of a vector's nearest centre."""
+        near = F.array(*(F.struct(euclidean(F.col(self.column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres.tolist())))
+        return F.array_min(near)["i"]
 
     def search(self, query: list[float], k: int = 10, probes: int = 4, metric: str = "euclidean") -> DataFrame:
         order = ((self.centres - np.array(query)) ** 2).sum(1).argsort()[:probes]

@@ -180,3 +180,44 @@ def test_feed_after_rewrite(spark, engine, tmp_path):
     engine.sql("INSERT INTO a VALUES (3, 'z')")
     run()
     assert sorted(seen) == ["x", "y", "z"] and rows(engine.sql("SELECT id FROM a")) == [(2,), (3,)]
+
+
+def test_fulltext_index(spark, engine):
+    """Scores through the index are those of a scan, after inserts, updates, erasing and in another engine."""
+    from chronoframe.operators import text
+
+    engine.sql("INSERT INTO a VALUES (1, 'running tests in rust'), (2, 'calm'), (3, NULL), (4, 'tests, tests and more testing')")
+    engine.sql("CREATE FULLTEXT INDEX words ON a (v)")
+    near = lambda df: {r.id: round(r.score, 9) for r in df.collect()}
+    scan = lambda: near(text.bm25(engine.tables["a"].read().na.fill(""), "id", "v", "tested rust"))
+    assert near(engine.sql("SELECT * FROM fulltext_search(a, 'tested rust')")) == scan() and set(scan()) == {1, 4}
+    engine.sql("UPDATE a SET v = 'a test of rust' WHERE id = 2")
+    engine.sql("DELETE FROM a WHERE id = 4")
+    assert near(engine.sql("SELECT * FROM fulltext_search(a, 'tested rust')")) == scan() and set(scan()) == {1, 2}
+    engine.tables["a"].forget(1)
+    again = Engine(spark, engine.root)
+    assert near(again.sql("SELECT * FROM fulltext_search(a, 'tested rust', 1)")) == scan() and set(scan()) == {2}
+    assert again.sql("SELECT * FROM fulltext_search(a, ', .')").count() == 0
+    with pytest.raises(ValueError, match="exists"):
+        again.sql("CREATE FULLTEXT INDEX words ON a (v)")
+    again.sql("DROP FULLTEXT INDEX words ON a")
+    with pytest.raises(ValueError, match="no full-text index"):
+        again.sql("SELECT * FROM fulltext_search(a, 'test')")
+
+
+def test_vector_index(spark, engine):
+    """Few rows are searched exactly, many through the cells, with most of the nearest found; new rows are found as well."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v").where("id < 1500")
+    engine.create_table("e", "id long, v array<float>", "id").insert(e)
+    engine.sql("CREATE VECTOR INDEX cells ON e (v) USING IVF_PQ WITH (nlist = 8)")
+    engine.sql("INSERT INTO e VALUES (9000, '" + str([float(x) for x in e.where("id = 50").first().v]) + "')")
+    hit = 0
+    for q in range(50, 1500, 250):
+        v = str([float(x) for x in e.where(f"id = {q}").first().v])
+        got = {r.id for r in engine.sql(f"SELECT id FROM vector_search(e, v, '{v}', 10)").collect()}
+        exact = {r.id for r in engine.sql(f"SELECT id, VECTOR_DISTANCE(v, '{v}', 'cosine') AS d FROM e ORDER BY d, id LIMIT 10").collect()}
+        assert q in got and (q != 50 or 9000 in got)
+        hit += len(got & exact)
+    assert hit >= 54
+    plan = lambda k: engine.sql(f"SELECT id FROM vector_search(e, v, '{v}', {k})")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell#" in plan(10) and "cell#" not in plan(200)
