@@ -499,7 +499,9 @@ def policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.apply(table(spark, sf_dir, "customer"), "customer", {"sales"}).select("c_custkey")
 
 
-@query("""SELECT * FROM (VALUES ('added', 's_acctbal'), ('added', 's_name'), ('added', 's_nationkey'), ('added', 's_suppkey'), ('removed', 'n_name'), ('removed', 'n_nationkey'), ('removed', 'n_regionkey')) t(change, name)""")
+@query("""WITH a AS (SELECT column_name AS name, column_type AS kind FROM (DESCRIBE nation)), b AS (SELECT column_name AS name, column_type AS kind FROM (DESCRIBE supplier))
+  SELECT CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'modified' END AS change, coalesce(a.name, b.name) AS name
+  FROM a FULL JOIN b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.kind <> b.kind""")
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(catalogue.schema_diff(table(spark, sf_dir, "nation").schema, table(spark, sf_dir, "supplier").schema), "change string, name string")
 
