@@ -71,6 +71,23 @@ def test_temporal_ranges(versions):
     assert at(temporal.application_time(versions, 100, 150)) == [2, 3, 7]
 
 
+@pytest.mark.parametrize("kind", ["long", "timestamp"])
+def test_asof_join(spark, kind):
+    """Against a search row by row: a hot key, gaps over many ranges, equal times, times before all and after all, nulls."""
+    import random
+
+    r = random.Random(4)
+    left = [(i, "hot" if i % 3 else f"k{i % 4}", r.randrange(-50, 4000)) for i in range(400)] + [(900, None, 5), (901, "hot", None), (902, "alone", 7)]
+    right = [("hot" if i % 2 else f"k{i % 5}", r.randrange(0, 400) * (1 if i % 7 else 9), i) for i in range(200)] + [("hot", None, -1), (None, 3, -2)]
+    a = spark.createDataFrame(left, "id int, k string, t long").withColumn("t", F.col("t").cast(kind))
+    b = spark.createDataFrame(right, "k string, u long, v int").withColumn("u", F.col("u").cast(kind))
+    got = temporal.asof_join(a, b, "k", "t", "u", "v", "found")
+    assert got.columns == ["id", "k", "t", "found"]
+    want = {i: max(((u, v) for j, u, v in right if j == k and None not in (t, u) and u <= t), default=(0, None))[1] for i, k, t in left}
+    assert {x.id: x.found for x in got.collect()} == want
+    assert temporal.asof_join(a, b.limit(0), "k", "t", "u", "v", "found").where("found is not null").count() == 0 and temporal.asof_join(a.limit(0), b, "k", "t", "u", "v", "found").count() == 0
+
+
 def test_timeseries(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("a", 120, 4.0), ("b", 60, 5.0)], "s string, bucket long, v double")
     full = timeseries.gapfill(df, "1m", "bucket", "s")
