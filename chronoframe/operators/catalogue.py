@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoframe.operators.store import Store
+
 
 def schema_diff(old: T.StructType, new: T.StructType) -> list[tuple[str, str]]:
     """(change, column) sorted: added, removed, or modified in type or nullability."""
@@ -18,14 +22,27 @@ def schema_diff(old: T.StructType, new: T.StructType) -> list[tuple[str, str]]:
 
 
 class Migrations:
-    """Ordered migrations, each with statements up and down."""
+    """Ordered migrations, each with statements up and down. With a ``store`` what is applied outlives the driver, with a hash of its statements."""
 
-    def __init__(self, run: Callable[[str], object]):
-        self.run, self.known, self.applied = run, {}, []
+    def __init__(self, run: Callable[[str], object], store: Store | None = None):
+        self.run, self.store, self.known = run, store, {}
+        self.applied = sorted(int(v) for v in store.names.get("migration", {})) if store else []
 
     def register(self, version: int, up: list[str], down: list[str]) -> None:
+        """ValueError if the version was applied with other statements."""
+        kept = self.store.names.get("migration", {}).get(str(version)) if self.store else None
+        if kept is not None and kept != self._hash(up, down):
+            raise ValueError(f"migration {version} was applied with other statements")
         self.known[version] = (up, down)
 
+    @staticmethod
+    def _hash(up: list[str], down: list[str]) -> str:
+        return hashlib.sha256(json.dumps([up, down]).encode()).hexdigest()
+
+    def _keep(self, version: int, value: str | None) -> None:
+        if self.store:
+            self.store.name(f"migration {version} {'applied' if value else 'rolled back'}", "migration", str(version), value)
+
     def pending(self) -> list[int]:
         return sorted(set(self.known) - set(self.applied))
 
@@ -35,6 +52,7 @@ class Migrations:
         for sql in self.known[version][0]:
             self.run(sql)
         self.applied.append(version)
+        self._keep(version, self._hash(*self.known[version]))
 
     def rollback(self, version: int) -> None:
         if version not in self.applied:
@@ -42,6 +60,7 @@ class Migrations:
         for sql in self.known[version][1]:
             self.run(sql)
         self.applied.remove(version)
+        self._keep(version, None)
 
     def apply_all(self) -> list[int]:
         todo = self.pending()
@@ -50,6 +69,27 @@ class Migrations:
         return todo
 
 
+class SchemaRegistry:
+    """Versions of named schemas, from 1, kept in a store; an unchanged schema gets no new version."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def versions(self, name: str) -> list[T.StructType]:
+        return [T.StructType.fromJson(x) for x in self.store.names.get("schema", {}).get(name, [])]
+
+    def register(self, name: str, schema: T.StructType) -> int:
+        held = self.versions(name)
+        if not held or held[-1] != schema:
+            held.append(schema)
+            self.store.name(f"schema {name} {len(held)}", "schema", name, [x.jsonValue() for x in held])
+        return len(held)
+
+    def diff(self, name: str, old: int, new: int) -> list[tuple[str, str]]:
+        held = self.versions(name)
+        return schema_diff(held[old - 1], held[new - 1])
+
+
 class Policies:
     """Row policies, enforced: a role reads a table through the predicates that name it (one without roles lets everybody); a table without policies is open."""
 
@@ -81,8 +121,6 @@ class AuditLog:
 
     @staticmethod
     def _hash(before: str, seq: int, who: str, what: str) -> str:
-        import hashlib
-
         return hashlib.sha256(f"{before}|{seq}|{who}|{what}".encode()).hexdigest()
 
     def add(self, who: str, what: str) -> None:

@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+if TYPE_CHECKING:
+    from chronoframe.plans.engine import Engine
+
+
+class EventStores:
+    """The event stores that a store keeps by name: each a table of events, keyed by aggregate and number, and how often to take snapshots."""
+
+    COLUMNS = "event_key string, aggregate_id string, sequence_num long, event_type string, payload string, ts long, idempotency_key string"
+
+    def __init__(self, engine: Engine):
+        self.engine = engine
+
+    def create(self, name: str, snapshot_interval: int | None = None) -> None:
+        self.engine.create_table(name, self.COLUMNS, "event_key")
+        self.engine.store.name(f"create event store {name}", "events", name, {"snapshot_interval": snapshot_interval})
+
+    def get(self, name: str) -> dict | None:
+        """Its snapshot interval; None if there is no such store."""
+        return self.engine.named("events").get(name)
+
+    def names(self) -> list[str]:
+        return sorted(self.engine.named("events"))
+
+    def events(self, name: str) -> DataFrame:
+        return self.engine.tables[name].read().drop("event_key")
+
+    def append(self, name: str, new: DataFrame) -> None:
+        """Number new events on and commit them; of two writers at once one fails whole, so numbers stay without gaps or repeats."""
+        held = self.events(name)
+        first = held.groupBy("aggregate_id").agg(F.max("sequence_num").alias("_last"))
+        rows = append(held, new).join(first, "aggregate_id", "left").where("_last IS NULL OR sequence_num > _last")
+        self.engine.tables[name].insert(rows.withColumn("event_key", F.concat_ws("/", "aggregate_id", F.lpad(F.col("sequence_num").cast("string"), 20, "0"))))
+
 
 def append(store: DataFrame, new: DataFrame) -> DataFrame:
     """``store`` with ``new`` events numbered on from each aggregate's last; ValueError for an idempotency key that is taken."""

@@ -221,3 +221,36 @@ def test_vector_index(spark, engine):
     assert hit >= 54
     plan = lambda k: engine.sql(f"SELECT id FROM vector_search(e, v, '{v}', {k})")._jdf.queryExecution().optimizedPlan().toString()
     assert "cell#" in plan(10) and "cell#" not in plan(200)
+
+
+def test_registries(spark, engine):
+    """Event stores, schema versions and applied migrations outlive the engine."""
+    from chronoframe.operators import catalogue, events
+
+    stores = events.EventStores(engine)
+    stores.create("orders", 10)
+    schema = "aggregate_id string, event_type string, payload string, ts long, idempotency_key string"
+    stores.append("orders", spark.createDataFrame([("x", "made", '{"n": 1}', 1, "k"), ("x", "paid", '{"n": 2}', 2, None), ("y", "made", "{}", 1, None)], schema))
+    stores.append("orders", spark.createDataFrame([("x", "sent", '{"to": "z"}', 3, None)], schema))
+    with pytest.raises(ValueError, match="idempotency"):
+        stores.append("orders", spark.createDataFrame([("x", "made", "{}", 4, "k")], schema))
+    again = events.EventStores(Engine(spark, engine.root))
+    assert again.names() == ["orders"] and again.get("orders") == {"snapshot_interval": 10} and again.get("none") is None
+    assert [(r.sequence_num, r.event_type) for r in events.history(again.events("orders"), "x").collect()] == [(1, "made"), (2, "paid"), (3, "sent")]
+    assert {r.aggregate_id: r.state for r in events.fold(again.events("orders")).collect()} == {"x": {"n": "2", "to": "z"}, "y": None}
+
+    old, new = (spark.createDataFrame([], ddl).schema for ddl in ("id int, v string", "id long, w string"))
+    registry = catalogue.SchemaRegistry(engine.store)
+    assert [registry.register("s", x) for x in (old, old, new)] == [1, 1, 2]
+    later = catalogue.SchemaRegistry(Engine(spark, engine.root).store)
+    assert later.diff("s", 1, 2) == [("added", "w"), ("modified", "id"), ("removed", "v")]
+
+    m = catalogue.Migrations(engine.sql, engine.store)
+    m.register(1, ["CREATE TABLE made (id INTEGER PRIMARY KEY, v TEXT)"], ["DROP TABLE made"])
+    assert m.apply_all() == [1]
+    n = catalogue.Migrations(engine.sql, Engine(spark, engine.root).store)
+    assert n.applied == [1]
+    with pytest.raises(ValueError, match="other statements"):
+        n.register(1, ["SELECT 1"], [])
+    m.rollback(1)
+    assert m.pending() == [1] and "made" not in Engine(spark, engine.root).tables
