@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.llm import jaccard_join, license_scan, media, packing, pieces, quality_classifier, quality_rules, queries, secret_scan, stages, toxicity, url_filter
+from chronoframe.llm import _shared, jaccard_join, license_scan, media, packing, pieces, quality_classifier, quality_rules, queries, secret_scan, stages, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -243,6 +243,19 @@ def test_jaccard_large_group(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
 
 
+def test_long_rows_in_small_row_groups(spark):
+    """Whatever reads an intermediate table holds few of its long rows at once."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "concat_ws(' ', transform(sequence(0, 99999), i -> hex(xxhash64(id, i)))) AS text")
+    written = _shared.cut(rows, "long-rows")
+    files = [pq.ParquetFile(p.removeprefix("file://")).metadata for p in written.inputFiles()]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 == written.distinct().count()
+    assert max(g.total_byte_size for g in groups) < 24 << 20
+    _shared.discard(written)
+
+
 def test_jaccard_text_ids(spark):
     with pytest.raises(TypeError):
         jaccard_join.ngram_jaccard_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
