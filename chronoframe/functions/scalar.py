@@ -1,11 +1,14 @@
-"""Scalar functions whose meaning differs from Spark's of the same name. All are native column expressions."""
+"""Scalar functions whose meaning differs from Spark's of the same name. All but ``exp_c`` are native column expressions."""
 
 from __future__ import annotations
 
+import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds of each interval unit.
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
@@ -47,6 +50,19 @@ def log_base10(x: Column) -> Column:
     return F.when(x > 0, F.log10(x))
 
 
+@F.arrow_udf(T.DoubleType())
+def exp_c(x: pa.Array) -> pa.Array:
+    """The exponential of the C library, bit for bit; infinite beyond the range."""
+
+    def one(v: float | None) -> float | None:
+        try:
+            return None if v is None else math.exp(v)
+        except OverflowError:
+            return math.inf
+
+    return pa.array([one(v) for v in x.to_pylist()], pa.float64())
+
+
 def week_simple(ts: Column) -> Column:
     """Weeks counted from January 1, from 1."""
     return (F.floor((F.dayofyear(ts) - 1) / 7) + 1).cast("int")

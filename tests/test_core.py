@@ -32,6 +32,21 @@ def test_scalars(spark):
     assert list(got) == ["x y", "ab", "", "", "Hello World", None, 3.0, None, 2, 10_000]
 
 
+def test_exp_and_rounding_as_in_sql(spark, tmp_path):
+    """The exponential to the last bit and scaled rounding, also where keys are large: 60 times the keys of sf0.1."""
+    import duckdb
+
+    orders = spark.range(0, 900_000, 61).selectExpr("id AS o_orderkey", "id AS o_custkey", "100000D + id / 7 AS o_totalprice").union(spark.createDataFrame([(1_000_000, None, None)], "o_orderkey long, o_custkey long, o_totalprice double"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.sql(f"SELECT o_orderkey, ex, sq, lg, l FROM ({catalog.oracle_sql()['fn_numeric']})").fetchall()
+    assert rows(catalog.queries()["fn_numeric"](spark, str(tmp_path)).select("o_orderkey", "ex", "sq", "lg", "l")) == sorted(want, key=str)
+    sql = Engine(spark, "").sql
+    assert rows(sql("SELECT exp(1000), exp(NULL), isnan(exp(double('nan'))), typeof(round(1.25, 1)), round(exp(0), 3)")) == [(float("inf"), None, True, "decimal", 1.0)]
+    assert rows(sql("SELECT transform(array(0D, NULL), x -> round(exp(x), 2)) AS a")) == [([1.0, None],)]
+
+
 @pytest.mark.parametrize(("given", "seconds"), [("1s", 1), ("5m", 300), ("1h", 3600), ("7d", 604800), ("1w", 604800), ("3600", 3600), ("250ms", 1), ("2500ms", 2)])
 def test_intervals(given, seconds):
     assert scalar.interval_seconds(given) == seconds
