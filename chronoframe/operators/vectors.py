@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,6 +64,35 @@ def knn(df: DataFrame, key: str, column: str, queries: dict[int, list[float]], k
     return ranked.where(F.col("rank") <= k).select("query", key, "distance", "rank")
 
 
+def nearest_centres(centres: list[np.ndarray], column: Column, n: int = 1, whole: bool = True) -> Column:
+    """Per piece of a vector the numbers of the ``n`` nearest of that piece's centres, by Euclidean distance and then by number, one piece after another.
+
+    Pieces as wide as their centres follow each other; ``whole`` vectors have no more numbers than that. The first n stand for a piece that has no distance.
+    """
+    ends = np.cumsum([c.shape[1] for c in centres]).tolist()
+
+    def near(vectors: pa.Array) -> pa.Array:
+        sizes, flat = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(), vectors.flatten()
+        even = len(vectors) > 0 and (sizes == sizes[0]).all() and sizes[0] >= ends[-1] and not flat.null_count
+        rows = flat.to_numpy().reshape(len(vectors), sizes[0]) if even else vectors.to_pylist()
+        out = []
+        for c, end in zip(centres, ends):
+            begin = end - c.shape[1]
+            fits = np.ones(len(rows), bool) if even else [v is not None and len(v) >= end and None not in v[begin:end] for v in rows]
+            fits = np.array(fits, bool) & ((sizes == ends[-1]) | (not whole))
+            x = rows[:, begin:end] if even else np.array([v[begin:end] if f else [0.0] * len(c[0]) for v, f in zip(rows, fits)], float).reshape(len(rows), end - begin)
+            d = np.zeros((len(x), len(c)))
+            with np.errstate(all="ignore"):
+                for i in range(end - begin):
+                    d += (x[:, i, None] - c[None, :, i]) ** 2
+                order = np.sqrt(d).argsort(axis=1, kind="stable")
+            out.append(np.where(fits[:, None], order, np.arange(len(c)))[:, :n])
+        found = np.concatenate(out, axis=1)
+        return pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], pa.array(found.ravel(), pa.int32()))
+
+    return F.arrow_udf(near, T.ArrayType(T.IntegerType()))(column.cast("array<double>"))
+
+
 class InvertedFile:
     """Clustered search: k-means cells over a bounded sample; a query looks at the ``probes`` nearest cells only."""
 
@@ -82,34 +115,124 @@ class InvertedFile:
 
     def cell(self) -> Column:
         """The number of a vector's nearest centre."""
-        near = F.array(*(F.struct(euclidean(F.col(self.column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres.tolist())))
-        return F.array_min(near)["i"]
+        return F.get(nearest_centres([self.centres], F.col(self.column)), 0)
 
     def search(self, query: list[float], k: int = 10, probes: int = 4, metric: str = "euclidean") -> DataFrame:
         order = ((self.centres - np.array(query)) ** 2).sum(1).argsort()[:probes]
         return search(self.rows.where(F.col("cell").isin(order.tolist())), self.key, self.column, query, k, metric)
 
+    def _asked(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(query, asked, cells): the vectors asked for, and the ``probes`` cells nearest to each."""
+        return queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("asked"), nearest_centres([self.centres], F.col(self.column), probes).alias("cells"))
+
     def search_all(self, queries: DataFrame, k: int = 10, probes: int = 4, metric: str = "euclidean") -> DataFrame:
         """(query, key, distance, rank) for each row of ``queries``, which has the index's columns."""
-        near = F.array(*(F.struct(euclidean(F.col(self.column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres.tolist())))
-        asked = queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("asked"), F.explode(F.slice(F.sort_array(near), 1, probes)["i"]).alias("cell"))
-        found = self.rows.join(asked, "cell").select("query", self.key, METRICS[metric](F.col(self.column), F.col("asked")).alias("distance")).where("distance is not null")
-        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", self.key)))
-        return ranked.where(F.col("rank") <= k)
+        return nearest_in_cells(self.rows.select(self.key, "cell", self.column), self._asked(queries, probes), k, metric)
 
     def search_codes(self, queries: DataFrame, quantizer: "ProductQuantizer", k: int = 10, probes: int = 4, candidates: int = 100) -> DataFrame:
         """(query, key, distance, rank): the nearest ``candidates`` by codes in the probed cells, ranked again by their Euclidean distance."""
-        near = F.array(*(F.struct(euclidean(F.col(self.column), literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres.tolist())))
-        asked = queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("asked"), F.explode(F.slice(F.sort_array(near), 1, probes)["i"]).alias("cell"))
-        coded = self.rows.select(self.key, "cell", quantizer.encode(F.col(self.column)).alias("codes"))
-        rough = coded.join(asked, "cell").select("query", self.key, euclidean(quantizer.decode(F.col("codes")), F.col("asked")).alias("rough"))
-        some = rough.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("rough", self.key))).where(F.col("r") <= candidates).select("query", self.key)
+        coded = self.rows.select(self.key, "cell", quantizer.decode(quantizer.encode(F.col(self.column))).alias(self.column))
+        some = nearest_in_cells(coded, self._asked(queries, probes), candidates).select("query", self.key)
         vectors = queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("asked"))
         found = some.join(self.rows.select(self.key, self.column), self.key).join(vectors, "query").select("query", self.key, euclidean(F.col(self.column), F.col("asked")).alias("distance"))
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", self.key)))
         return ranked.where(F.col("rank") <= k)
 
 
+#: Most rows and queries of a block of ``nearest_in_cells``, fewest blocks, and most numbers of a matrix of distances.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCKS, MATRIX = 65_536, 16_384, 32, 1 << 22
+
+
+def nearest_in_cells(rows: DataFrame, asked: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """(query, key, distance, rank): for each query the ``k`` nearest of the rows in its cells, from ``rows`` (key, cell, vector) and ``asked`` (query, asked, cells).
+
+    All pairs are measured, as matrices: rows and queries are dealt over blocks by the hash of their keys, each block of rows meets each block of queries
+    in a task of bounded memory, and ``k`` of each block of rows are left for a query.
+    """
+    key, _, column = rows.columns
+    rows, asked = (df.withColumn(c, F.col(c).cast("array<double>")).where(F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())) for df, c in ((rows, column), (asked, "asked")))
+    parts = max(BLOCKS, -(-rows.select(key).count() // BLOCK_ROWS))
+    turns = max(1, -(-asked.select("query").count() // BLOCK_QUERIES))
+
+    def dealt(df: DataFrame, by: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumns({own: F.pmod(F.xxhash64(by), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+
+    held = dealt(rows, key, "_part", parts, "_turn", turns).groupBy("_part", "_turn")
+    wanted = dealt(asked, "query", "_turn", turns, "_part", parts).groupBy("_part", "_turn")
+    types = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField(key, rows.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    out = to_arrow_schema(types)
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _block(a.select([key, "cell", column]), b.select(["query", "asked", "cells"]), k, metric, out)
+
+    found = held.cogroup(wanted).applyInArrow(block, types)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", key)))
+    return ranked.where(F.col("rank") <= k)
+
+
+def _block(rows: pa.Table, asked: pa.Table, k: int, metric: str, out: pa.Schema) -> pa.Table:
+    """The ``k`` nearest rows of a block for each query; a row's place stands for its key, so that equal distances are in the order of keys."""
+    found = [out.empty_table()]
+    if rows.num_rows and asked.num_rows:
+        rows = rows.take(pc.sort_indices(rows.column(0), null_placement="at_start")).combine_chunks()
+        sizes, wanted = (pc.list_value_length(t.column(i)).to_numpy() for t, i in ((rows, 2), (asked, 1)))
+        probes = pc.list_value_length(asked.column(2)).to_numpy()
+        owner, cell_of = np.repeat(np.arange(len(probes)), probes), pc.list_flatten(asked.column(2)).to_numpy()
+        cells = rows.column(1).to_numpy()
+        for size in np.intersect1d(sizes, wanted):
+            for cell in np.unique(cells[sizes == size]):
+                r = np.flatnonzero((sizes == size) & (cells == cell))
+                q = np.intersect1d(owner[cell_of == cell], np.flatnonzero(wanted == size))
+                if len(q):
+                    x, y = (pc.list_flatten(t.column(i).take(pa.array(at))).to_numpy().reshape(len(at), size) for t, i, at in ((asked, 1, q), (rows, 2, r)))
+                    i, j, d = _nearest(x, y, k, metric)
+                    found.append(pa.Table.from_arrays([asked.column(0).take(pa.array(q[i])), rows.column(0).take(pa.array(r[j])), pa.array(d)], schema=out))
+    return pa.concat_tables(found)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``x`` and ``y`` and distances of the ``k`` rows of ``y`` nearest to each row of ``x``; of equal ones the first.
+
+    Euclidean distances are first had from products, with a bound of their error; only rows that may be among the k by it are measured as elsewhere.
+    """
+    step, size = max(1, MATRIX // len(y)), x.shape[1]
+    with np.errstate(all="ignore"):
+        x2, y2 = (x * x).sum(1), (y * y).sum(1)
+        quick = metric == "euclidean" and np.isfinite(x2.max() + y2.max()) and len(y) > k
+        out = []
+        for at in range(0, len(x), step):
+            some = x[at : at + step]
+            if quick:
+                rough = y2 - 2 * (some @ y.T)
+                error = 4 * (size + 8) * np.finfo(float).eps * (x2[at : at + step] + y2.max())
+                i, j = np.nonzero(rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + error)[:, None])
+            else:
+                i, j = (a.ravel() for a in np.indices((len(some), len(y))))
+            d = np.concatenate([_exact(some[i[p : p + 65_536]], y[j[p : p + 65_536]], metric) for p in range(0, len(i), 65_536)])
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((i[first] + at, j[first], d[first]))
+    return tuple(np.concatenate(a) for a in zip(*out))
+
+
+def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows to rows, summed in the order of the components, as the columns' functions do."""
+
+    def summed(terms: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(terms))
+        for i in range(terms.shape[1]):
+            out += terms[:, i]
+        return out
+
+    if metric == "euclidean":
+        return np.sqrt(summed((a - b) * (a - b)))
+    if metric == "dot":
+        return -summed(a * b)
+    size = np.sqrt(summed(a * a)) * np.sqrt(summed(b * b))
+    return 1 - np.where(size < 1e-10, 0.0, summed(a * b) / size)
+
+
 def quantize_int8(a: Column) -> Column:
     """(scale, codes): codes are the components by the largest absolute value, times 127."""
     scale = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
@@ -183,11 +306,7 @@ class ProductQuantizer:
 
     def encode(self, column: Column) -> Column:
         """The codes of a vector column."""
-        out = []
-        for p, c in enumerate(self.centres):
-            piece = F.slice(column, p * self.width + 1, self.width)
-            out.append(F.array_min(F.array(*(F.struct(euclidean(piece, literal(x)).alias("d"), F.lit(i).alias("i")) for i, x in enumerate(c.tolist()))))["i"])
-        return F.array(*out)
+        return nearest_centres(self.centres, column, whole=False)
 
     def decode(self, codes: Column) -> Column:
         tables = [F.array(*(literal(x) for x in c.tolist())) for c in self.centres]

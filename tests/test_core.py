@@ -163,6 +163,40 @@ def test_ivf_recall(spark):
     assert hit >= 40
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot"])
+def test_ivf_search_in_blocks(spark, metric, monkeypatch):
+    """All cells against each pair's own distance: equal vectors, other lengths, nulls, infinite and empty ones; and no join of single rows."""
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 4)
+    v = lambda i: [float((i * 7 + j * 3) % 11) + (1e-9 if i % 3 else 0.0) for j in range(4)]
+    data = [(i, v(i % 40)) for i in range(200)] + [(200, [1.0, 2.0]), (201, None), (202, [1.0, None, 2.0, 3.0]), (203, [0.0] * 4), (250, [2.0, 1.0]), (350, [])]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    index = vectors.InvertedFile(df.where("id < 200"), "id", "v", 4)
+    index.rows = df.withColumn("cell", index.cell())
+    asked = df.where("id % 50 = 0 or id = 203")
+    got = index.search_all(asked, 10, 4, metric)
+    pairs = asked.select(F.col("id").alias("query"), F.col("v").alias("q")).crossJoin(df).select("query", "id", vectors.METRICS[metric](F.col("v"), F.col("q")).alias("distance")).where("distance is not null")
+    from pyspark.sql import Window as W
+
+    want = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).where("rank <= 10")
+    assert rows(got) == rows(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_and_codes_of_odd_vectors(spark):
+    """Numbers of nearest centres against each centre's own distance, and not by an expression for each number of each centre."""
+    inf, nan = float("inf"), float("nan")
+    data = [[float(i % 3), 1.0, float(i % 5), 2.0] for i in range(30)] + [None, [], [1.0], [1.0, 2.0, 0.0], [1.0, None, 4.0, 2.0], [9.0] * 6, [inf, 0.0, nan, 0.0], [nan] * 4]
+    df = spark.createDataFrame(list(enumerate(data)), "id int, v array<float>")
+    even = df.where("id < 30")
+    index, codes = vectors.InvertedFile(even, "id", "v", 3), vectors.ProductQuantizer(even, "id", "v", 2, 4)
+    near = lambda v, centres: F.array_sort(F.array(*(F.struct(vectors.euclidean(v, vectors.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres.tolist()))))["i"]
+    v = F.col("v")
+    want = df.select("id", near(v, index.centres)[0], F.array(*(near(F.slice(v, 2 * p + 1, 2), c)[0] for p, c in enumerate(codes.centres))))
+    assert rows(df.select("id", index.cell(), codes.encode(v))) == rows(want)
+    assert rows(index._asked(df.withColumn("id", v.isNull()), 2).select("cells")) == rows(df.select(F.slice(near(v, index.centres), 1, 2)))
+    assert "lambdafunction" not in df.select(index.cell(), codes.encode(v))._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_ivf_query_recall(spark, sf):
     """The registered search, for every id divisible by 50, against brute force."""
