@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import cut
@@ -28,17 +28,46 @@ def stems(text: Column) -> Column:
     return F.transform(tokens(text), stem)
 
 
+def stems_of(query: str) -> list[str]:
+    """The distinct stems of a literal, by the same expressions as those of columns."""
+    return SparkSession.getActiveSession().range(1).select(F.array_distinct(stems(F.lit(query)))).first()[0]
+
+
 def matches(text: Column, query: str) -> Column:
     """Whether each stem of the query occurs in the text; a query without words matches nothing."""
     wanted, held = stems(F.lit(query)), stems(text)
     return (F.size(wanted) > 0) & F.forall(wanted, lambda s: F.array_contains(held, s))
 
 
+def spellings(stem_: str) -> list[str]:
+    """All words that have this stem."""
+
+    def cut_(w: str) -> str:
+        for n, suffix in SUFFIXES:
+            if len(w) > n and w.endswith(suffix):
+                return w[: -len(suffix)]
+        return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+    return [w for w in (stem_ + x for x in ("", "s", *(x for _, x in SUFFIXES))) if cut_(w) == stem_]
+
+
 def highlight(text: Column, query: str) -> Column:
-    """The words joined by single spaces, those that a query's stem fits between << and >>."""
-    wanted = stems(F.lit(query))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.when(F.array_contains(wanted, stem(F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))), F.concat(F.lit("<<"), w, F.lit(">>"))).otherwise(w)), " ")
+    """The words joined by single spaces, those that a query's stem fits between << and >>.
+
+    White space and marks go from the text at once, not word by word. A text that without marks has no word that begins with a stem is done then; in others
+    only the words are looked up.
+    """
+    wanted = stems_of(query)
+    joined = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
+    if not wanted:
+        return joined
+    bare = F.lower(F.regexp_replace(joined, r"[^\p{L}\p{N} ]+", ""))
+    fits = lambda w: w.isin(*(x for s in wanted for x in spellings(s)))
+    marked = F.zip_with(F.split(joined, " "), F.split(bare, " "), lambda w, b: F.when(fits(b), F.concat(F.lit("<<"), w, F.lit(">>"))).otherwise(w))
+    some = F.lit(False)
+    for s in wanted:
+        some = some | F.contains(bare, F.lit(s))
+    return F.when(some, F.array_join(marked, " ")).otherwise(joined)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:

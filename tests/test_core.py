@@ -142,6 +142,22 @@ def test_text_queries_take_whole_tables(spark, tmp_path):
     assert got == {i: " ".join(stem(x) for x in map(bare, (t or "").split()) if len(x.encode()) >= 2) or None for i, t in docs}
 
 
+def test_highlight_takes_marks_from_the_text_at_once(spark):
+    """Odd words against each word's own stem; no expression for each word where no word can fit."""
+    words = ["Li-censed", "licenses", "LICENSEES", "licensss", "licenstion", "lic.ens", "licens", "--", "license\u00a0x", "\u212aelvin", "kelvins", "licenſes", "x\tlicensing", "\n", "ΣΑΣ.", "İlicens", "l\u0301icenses", "licenseds", "sublicensed", "<<licensed>>", "𝒜 licens🙂ing", "kelvined"]
+    texts = [(0, None), (1, ""), (2, "  "), (3, " ".join(words)), (4, "\x0b".join(words) + " "), *((5 + i, f" {w}\r\n{w}") for i, w in enumerate(words))]
+    df = spark.createDataFrame(texts, "id int, t string")
+    for query in ("licensing licenses licensed", "kelvin", "", "- ,"):
+        wanted = text.stems(F.lit(query))
+        each = F.filter(F.split("t", r"\s+"), lambda w: w != "")
+        want = F.array_join(F.transform(each, lambda w: F.when(F.array_contains(wanted, text.stem(F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))), F.concat(F.lit("<<"), w, F.lit(">>"))).otherwise(w)), " ")
+        assert rows(df.select("id", text.highlight(F.col("t"), query))) == rows(df.select("id", want))
+        df.createOrReplaceTempView("odd_words")
+        assert rows(Engine(spark, "").sql(f"SELECT id, HIGHLIGHT(t, '{query}') AS m FROM odd_words")) == rows(df.select("id", want))
+    plan = df.select(text.highlight(F.col("t"), "licensed"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") and "regexp_replace(lambda" not in plan
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0])], "id int, v array<float>")
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
